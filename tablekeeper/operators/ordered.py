@@ -22,23 +22,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, key: str, order: list[str], bucket: Column, sums: dict[str, Column] | None = None,
-            seq_name: str = "seq") -> DataFrame:
+def running(df: DataFrame, key: str | list[str], order: list[str], bucket: Column,
+            sums: dict[str, Column] | None = None, seq_name: str = "seq") -> DataFrame:
     """Add ``seq_name`` (1-based position per key in ``order``) and a running sum
     column per entry of ``sums`` (name -> value expression)."""
     sums = sums or {}
+    keys = [key] if isinstance(key, str) else list(key)
     b = df.withColumn("_bucket", bucket)
     for name, expr in sums.items():
         b = b.withColumn(f"_v_{name}", expr)
-    per_bucket = b.groupBy(key, "_bucket").agg(
+    per_bucket = b.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_bn"), *[F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in sums])
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_bucket.select(
-        key, "_bucket", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_pn"),
+        *keys, "_bucket", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_pn"),
         *[F.coalesce(F.sum(f"_bs_{n}").over(earlier), F.lit(0)).alias(f"_ps_{n}") for n in sums])
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     within = inside.rowsBetween(Window.unboundedPreceding, 0)
-    j = b.join(prefix, [key, "_bucket"], "inner")
+    j = b.join(prefix, [*keys, "_bucket"], "inner")
     out = j.withColumn(seq_name, (F.col("_pn") + F.row_number().over(inside)).cast("bigint"))
     for n in sums:
         out = out.withColumn(n, F.col(f"_ps_{n}") + F.sum(f"_v_{n}").over(within))

@@ -1 +1,109 @@
-"""Registered queries."""
+"""Queries: batch rate limiter and the three streaming operators.
+
+Streaming queries lay the driver table out as time-ordered arrival files,
+run the stream to completion with ``availableNow`` and return what the sink
+received, read back as a batch DataFrame.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablekeeper.operators.checks import Rule
+from tablekeeper.operators.ratelimit import rate_limit
+from tablekeeper.plans import standins as S
+from tablekeeper.plans.q_checks import EMAIL_FORMAT
+from tablekeeper.plans.q_profile import pct_sql
+from tablekeeper.plans.registry import query, table
+from tablekeeper.session import shared_dir
+from tablekeeper.streaming import monitor as M
+
+LIMIT_MAX, LIMIT_SPAN = 2, 86400
+ARRIVAL_FILES = 6
+
+
+def _limit_sql(max_n: int, span_s: int) -> str:
+    span = span_s * 1_000_000
+    reset = f"(a.t - s.anchor_t >= {span})"
+    c = f"(CASE WHEN {reset} THEN 0 ELSE s.after END)"
+    return f"""
+WITH RECURSIVE a AS (SELECT key, ts, attempt_id, ok, epoch_us(ts) AS t,
+                       row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM {S.FIX_ATTEMPTS_SQL} x),
+s AS (SELECT key, rn, attempt_id, ts, ok, t AS anchor_t, ts AS anchor_ts, CAST(0 AS BIGINT) AS before,
+             (0 < {max_n}) AS allowed, CAST(CASE WHEN ok AND 0 < {max_n} THEN 1 ELSE 0 END AS BIGINT) AS after
+      FROM a WHERE rn = 1
+      UNION ALL
+      SELECT a.key, a.rn, a.attempt_id, a.ts, a.ok,
+        CASE WHEN {reset} THEN a.t ELSE s.anchor_t END, CASE WHEN {reset} THEN a.ts ELSE s.anchor_ts END,
+        {c}, {c} < {max_n}, {c} + CASE WHEN a.ok AND {c} < {max_n} THEN 1 ELSE 0 END
+      FROM s JOIN a ON a.key = s.key AND a.rn = s.rn + 1)
+SELECT key, attempt_id, ts, ok, anchor_ts AS window_start, before AS fixes_before, allowed, (allowed AND ok) AS counted
+FROM s"""
+
+
+@query("rate_limit", oracle=_limit_sql(LIMIT_MAX, LIMIT_SPAN))
+def q_rate_limit(spark, d):
+    return rate_limit(S.fix_attempts(spark, d), max_n=LIMIT_MAX, span_seconds=LIMIT_SPAN)
+
+
+def _arrive(spark, df, ts):
+    src = shared_dir(spark, "arrivals")
+    M.arrival_files(df, ts, src, ARRIVAL_FILES)
+    return spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@query("stream_rate_limit", oracle=_limit_sql(LIMIT_MAX, LIMIT_SPAN))
+def q_stream_rate_limit(spark, d):
+    stream = _arrive(spark, S.fix_attempts(spark, d), "ts")
+    sink = shared_dir(spark, "limit-sink")
+    q = M.run_rate_limit(stream, sink, {"availableNow": True}, max_n=LIMIT_MAX, span_seconds=LIMIT_SPAN)
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
+
+
+def email_events(spark, d):
+    """Events with a contact column that is missing on error events."""
+    e = table(spark, d, "events")
+    return e.select("event_id", "ts", "user_id", F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+                    .otherwise(F.format_string("user%d@example.com", "user_id")).alias("customer_email"))
+
+
+NULL_RATE_SPAN = "1 hour"
+
+
+@query("stream_null_rate", oracle=f"""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+  count(*) AS rows, count(*) FILTER (WHERE event_type = 'error') AS nulls,
+  {pct_sql("count(*) FILTER (WHERE event_type = 'error')", "count(*)")} AS null_pct
+FROM events GROUP BY 1""")
+def q_stream_null_rate(spark, d):
+    stream = _arrive(spark, email_events(spark, d), "ts")
+    sink = shared_dir(spark, "null-rate-sink")
+    q = M.run_null_rate(stream, "customer_email", "ts", sink, span=NULL_RATE_SPAN, delay="1 hour",
+                        trigger={"availableNow": True})
+    q.awaitTermination()
+    return M.null_rate_result(spark, sink)
+
+
+MONITOR_TABLE = "svc.db.mart.customer"
+
+
+@query("stream_monitor", oracle=f"""
+SELECT '{MONITOR_TABLE}.email.email_not_null' AS test_fqn, '{MONITOR_TABLE}' AS table_fqn, 'email' AS "column",
+  'email_not_null' AS test_name, count(*) FILTER (WHERE email IS NULL) AS failed_rows, count(*) AS total_rows,
+  CASE WHEN count(*) FILTER (WHERE email IS NULL) > 0 THEN 'Failed' ELSE 'Success' END AS status
+FROM {S.CUSTOMER_SPIKED_SQL} c
+UNION ALL
+SELECT '{MONITOR_TABLE}.email.email_format_check', '{MONITOR_TABLE}', 'email', 'email_format_check',
+  count(*) FILTER (WHERE email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}')), count(*),
+  CASE WHEN count(*) FILTER (WHERE email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}')) > 0
+       THEN 'Failed' ELSE 'Success' END
+FROM {S.CUSTOMER_SPIKED_SQL} c""")
+def q_stream_monitor(spark, d):
+    """Checks run on each arriving batch of the customer table; totals over all batches."""
+    stream = _arrive(spark, S.customer_spiked(spark, d), "c_custkey")
+    sink = shared_dir(spark, "monitor-sink")
+    rules = [Rule("not_null", "email", "email_not_null"), Rule("format", "email", "email_format_check", EMAIL_FORMAT)]
+    q = M.monitor(stream, MONITOR_TABLE, rules, sink, trigger={"availableNow": True})
+    q.awaitTermination()
+    return M.monitor_totals(spark, sink).drop("batches")
