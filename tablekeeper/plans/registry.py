@@ -36,5 +36,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tablekeeper.plans import (  # noqa: F401
         q_layers, q_profile, q_checks, q_lineage, q_diagnose, q_fixes, q_history,
-        q_sources, q_stream,
+        q_sources, q_stream, flagship,
     )
