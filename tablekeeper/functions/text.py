@@ -121,16 +121,35 @@ def issue_column(test_fqn: Column | str, test_name: Column | str, table_fqn: Col
 
 
 # ---------------------------------------------------------------- generated text
+def with_clean_message(df, col: str, out: str):
+    """Add ``out``: the first quoted passage of ``col`` when there is one; else
+    ``col`` with known lead-in phrases removed (white space trimmed after each
+    removal).  Then trim white space, surrounding double quotes, white space.
+
+    Each step is its own projected column, so no step re-embeds the whole
+    expression of the step before it.
+    """
+    src = F.col(col)
+    d = df.withColumn("_cm0", src)
+    for i, p in enumerate(MESSAGE_PREFIXES):
+        cur = F.col(f"_cm{i}")
+        d = d.withColumn(f"_cm{i + 1}", F.when(cur.contains(p), strip_ws(F.replace(cur, F.lit(p), F.lit(""))))
+                         .otherwise(cur))
+    last = F.col(f"_cm{len(MESSAGE_PREFIXES)}")
+    picked = F.when(src.rlike(r'"[^"]+"'), F.regexp_extract(src, r'"([^"]+)"', 1)).otherwise(last)
+    d = d.withColumn(out, strip_ws(F.regexp_replace(strip_ws(picked), r'^"+|"+$', "")))
+    return d.drop(*[f"_cm{i}" for i in range(len(MESSAGE_PREFIXES) + 1)])
+
+
 def clean_message(c: Column | str) -> Column:
-    """First quoted passage when there is one; else drop known lead-in phrases.
-    Then trim white space, surrounding double quotes, and white space again."""
+    """Column form of ``with_clean_message`` for a handful of values (its
+    expression grows with the number of lead-in phrases)."""
     s = _c(c)
-    quoted = F.regexp_extract(s, r'"([^"]+)"', 1)
     stripped = s
     for p in MESSAGE_PREFIXES:
         stripped = F.when(stripped.contains(p), strip_ws(F.replace(stripped, F.lit(p), F.lit("")))) \
             .otherwise(stripped)
-    picked = F.when(s.rlike(r'"[^"]+"'), quoted).otherwise(stripped)
+    picked = F.when(s.rlike(r'"[^"]+"'), F.regexp_extract(s, r'"([^"]+)"', 1)).otherwise(stripped)
     return strip_ws(F.regexp_replace(strip_ws(picked), r'^"+|"+$', ""))
 
 
@@ -140,26 +159,39 @@ def has_metrics(text: Column | str) -> Column:
 
 def fix_sql_part(text: Column | str) -> Column:
     """SQL part of a generated answer: text before the marker, labels removed,
-    cut at the earliest statement keyword that stands as a whole word."""
+    cut at the earliest statement keyword that stands as a whole word.
+
+    Every step is one regex over the previous value (referenced once), so the
+    expression stays linear in the number of labels.
+    """
     t = _c(text)
     head = F.when(has_metrics(t), strip_ws(F.split_part(t, F.lit(METRICS_MARKER), F.lit(1)))).otherwise(t)
     for label in FIX_LABELS:
-        head = F.when(head.startswith(label), strip_ws(F.substring(head, len(label) + 1, 1 << 30))).otherwise(head)
+        # a leading label goes, and the rest is trimmed; without the label nothing changes
+        head = F.regexp_replace(head, r"(?s)^" + _re_quote(label) + r"\s*(.*?)\s*$", "$1")
     kw = "|".join(SQL_KEYWORDS)
-    lead = F.regexp_extract(head, rf"(?is)^(.*?)\b({kw})\b", 1)
-    found = head.rlike(rf"(?is)\b({kw})\b")
-    return F.when(found, strip_ws(F.substring(head, F.length(lead) + 1, 1 << 30))).otherwise(head)
+    return F.regexp_replace(head, rf"(?is)^.*?\b({kw})\b(.*?)\s*$", "$1$2")
+
+
+def _re_quote(s: str) -> str:
+    return "".join("\\" + ch if ch in r".^$*+?{}[]\|()" else ch for ch in s)
+
+
+def metric_lines(text: Column | str) -> Column:
+    """Trimmed lines of the metrics block (text between the first and second marker)."""
+    block = strip_ws(F.split_part(_c(text), F.lit(METRICS_MARKER), F.lit(2)))
+    return F.transform(F.split(block, "\n"), lambda l: strip_ws(l))
+
+
+def metric_from_lines(text: Column | str, lines: Column, key: str) -> Column:
+    value = lambda l: strip_ws(F.split_part(l, F.lit(":"), F.lit(2)))
+    good = F.filter(lines, lambda l: l.startswith(f"{key}:") & value(l).rlike(r"^[+-]?[0-9]+$"))
+    parsed = F.when(F.size(good) > 0, value(F.element_at(good, -1)).cast("bigint"))
+    dflt = F.lit(METRIC_DEFAULTS[key]).cast("bigint")
+    return F.when(has_metrics(text), F.coalesce(parsed, dflt)).otherwise(dflt)
 
 
 def metric_value(text: Column | str, key: str) -> Column:
     """Integer after ``key:`` on the last line of the metrics block that holds a
     whole integer; the default when there is none (or no marker)."""
-    t = _c(text)
-    block = strip_ws(F.split_part(t, F.lit(METRICS_MARKER), F.lit(2)))
-    lines = F.transform(F.split(block, "\n"), lambda l: strip_ws(l))
-    value = lambda l: strip_ws(F.split_part(l, F.lit(":"), F.lit(2)))
-    good = F.filter(lines, lambda l: l.startswith(f"{key}:") & value(l).rlike(r"^[+-]?[0-9]+$"))
-    last = F.element_at(good, -1)
-    parsed = F.when(F.size(good) > 0, value(last).cast("bigint"))
-    return F.when(has_metrics(t), F.coalesce(parsed, F.lit(METRIC_DEFAULTS[key]).cast("bigint"))) \
-        .otherwise(F.lit(METRIC_DEFAULTS[key]).cast("bigint"))
+    return metric_from_lines(_c(text), metric_lines(text), key)

@@ -79,7 +79,7 @@ def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
     first = att.groupBy("key").agg(F.min(F.struct("t", "attempt_id")).alias("f")).select(
         F.col("f.attempt_id").alias("attempt_id"))
     chain = first
-    for level in reversed(levels):
+    for level in reversed(levels):   # the chain is used twice per level: cut it, or the plan doubles
         step = chain.join(level, "attempt_id", "inner").select(F.col("nxt").alias("attempt_id"))
         chain = chain.unionByName(step).distinct().checkpoint(eager=True)
     return att.join(chain, "attempt_id", "left_semi")

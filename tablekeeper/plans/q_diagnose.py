@@ -194,7 +194,7 @@ def _clean_sql(m: str) -> str:
 @query("clean_messages", oracle=f"SELECT conv_id, turn, {_clean_sql('message')} AS message FROM {MESSAGES_SQL} m")
 def q_clean_messages(spark, d):
     m = messages(spark, d)
-    return m.select("conv_id", "turn", T.clean_message("message").alias("message"))
+    return T.with_clean_message(m, "message", "cleaned").select("conv_id", "turn", F.col("cleaned").alias("message"))
 
 
 def _issues_inputs(spark, d):
