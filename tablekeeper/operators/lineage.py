@@ -6,8 +6,8 @@ already visited (anti join) and keeps the minimum depth.  The loop runs
 ``max_depth`` hops at most (the reference asks for 2-3).  The visited set
 is read twice per hop (to extend the frontier and to drop revisits), so it is
 cut from its lineage with a reliable ``checkpoint()`` into the cluster's
-checkpoint folder after every hop: the plan stays one hop deep and no hop is
-recomputed.  A node with a huge fan-out is a skewed join key; AQE's skew-join
+checkpoint folder every second hop: the plan never holds more than four
+copies of a hop (identical copies share one shuffle through exchange reuse).  A node with a huge fan-out is a skewed join key; AQE's skew-join
 split handles it, and frontier rows are de-duplicated before each join.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tablekeeper.session import checkpoint_dir
 
+_CUT_EVERY = 2
+
 def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int = 2,
           src: str = "src", dst: str = "dst", root_col: str = "root", include_self: bool = False) -> DataFrame:
     """All nodes within ``max_depth`` hops of each root: (root, node, depth = minimum hops).
@@ -32,17 +34,17 @@ def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth
         F.col("node").isNotNull() & F.col("_to").isNotNull()).distinct()
     seeds = roots.select(F.col(root_col).alias("root")).filter(F.col("root").isNotNull()).distinct()
     visited = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    if max_depth > 0:
-        checkpoint_dir(roots.sparkSession)
-        visited = visited.checkpoint(eager=True)
     for d in range(1, max_depth + 1):
         frontier = visited.filter(F.col("depth") == d - 1).select("root", "node")
         nxt = (frontier.join(hop, "node", "inner")
                .select("root", F.col("_to").alias("node")).distinct())
         nxt = nxt.join(visited.select("root", "node"), ["root", "node"], "left_anti")
-        # each hop reads the visited set twice; a reliable checkpoint keeps the plan
-        # one hop deep and the work of earlier hops from being redone
-        visited = visited.unionByName(nxt.select("root", "node", F.lit(d).alias("depth"))).checkpoint(eager=True)
+        visited = visited.unionByName(nxt.select("root", "node", F.lit(d).alias("depth")))
+        # each hop reads the visited set twice, so the plan doubles per hop; a reliable
+        # checkpoint every second hop keeps it at most four copies deep
+        if d % _CUT_EVERY == 0 and d < max_depth:
+            checkpoint_dir(roots.sparkSession)
+            visited = visited.checkpoint(eager=True)
     out = visited if include_self else visited.filter(F.col("depth") > 0)
     return out.select("root", "node", F.col("depth").cast("int").alias("depth"))
 

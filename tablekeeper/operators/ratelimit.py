@@ -16,8 +16,8 @@ chain is a fold, but it is computed without sorting any key in one task:
    as-of lookup done per (key, fine time bucket) plus a per-key window over
    bucket rows (bounded by the time span, not by rows);
 2. anchors = the ``next`` chain from each key's first attempt, by pointer
-   doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, each
-   level checkpointed to the shared checkpoint folder), then the chain set is
+   doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, every
+   second level checkpointed to the shared checkpoint folder), then the chain set is
    expanded from the top level down - log2(chain length) joins in all;
 3. each attempt's anchor is in its own span bucket or the one before (two
    equi-joins on (key, bucket), at most one anchor per bucket);
@@ -70,18 +70,22 @@ def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
     longest = int(bounds or 0) + 1
     top = max(0, (longest - 1).bit_length() - 1)
     checkpoint_dir(spark)
+    # J_{k+1} reads J_k twice and the chain step reads the chain twice, so each plan
+    # doubles per level; a reliable checkpoint every second level keeps them small
     levels = [nxt.filter(F.col("nxt").isNotNull()).checkpoint(eager=True)]
-    for _ in range(top):
+    for k in range(top):
         j = levels[-1]
         b = j.select(F.col("attempt_id").alias("nxt"), F.col("nxt").alias("nxt2"))
-        levels.append(j.join(b, "nxt", "inner").select("attempt_id", F.col("nxt2").alias("nxt"))
-                      .checkpoint(eager=True))
+        nj = j.join(b, "nxt", "inner").select("attempt_id", F.col("nxt2").alias("nxt"))
+        levels.append(nj.checkpoint(eager=True) if k % 2 == 1 or k == top - 1 else nj)
     first = att.groupBy("key").agg(F.min(F.struct("t", "attempt_id")).alias("f")).select(
         F.col("f.attempt_id").alias("attempt_id"))
     chain = first
-    for level in reversed(levels):   # the chain is used twice per level: cut it, or the plan doubles
+    for i, level in enumerate(reversed(levels)):
         step = chain.join(level, "attempt_id", "inner").select(F.col("nxt").alias("attempt_id"))
-        chain = chain.unionByName(step).distinct().checkpoint(eager=True)
+        chain = chain.unionByName(step).distinct()
+        if i % 2 == 1 and i < len(levels) - 1:
+            chain = chain.checkpoint(eager=True)
     return att.join(chain, "attempt_id", "left_semi")
 
 
