@@ -153,3 +153,19 @@ def tag_columns(columns: DataFrame, fixed: DataFrame, tag: str = DEFAULT_TAG) ->
     status = (F.when(~in_cat, "column not found").when(~fixed_col, "unchanged")
               .when(present, "already tagged").otherwise("tagged"))
     return j.select("table_fqn", "column", tags.alias("tags"), status.alias("status"))
+
+
+def issue_counters(issues: DataFrame, history: DataFrame, scans: DataFrame) -> DataFrame:
+    """Dashboard counters in one row: active (open) issues, fixes on the latest
+    history day, scans run, and the share of open issues whose fix was generated
+    (whole percent, truncated; 0 when there are none).  Three one-row aggregates."""
+    i = issues.agg(F.count_if(F.col("status") == "open").alias("active_issues"),
+                   F.count_if((F.col("status") == "open") & F.col("ai_generated")).alias("_ai"))
+    last_day = history.agg(F.max(F.to_date("fixed_at"))).scalar()
+    fixed = history.agg(F.count_if(F.to_date("fixed_at") == last_day).alias("fixed_today"))
+    return i.select(
+        "active_issues",
+        fixed.select("fixed_today").scalar().alias("fixed_today"),
+        scans.agg(F.count(F.lit(1))).scalar().alias("total_scanned"),
+        F.when(F.col("active_issues") == 0, F.lit(0))
+         .otherwise(F.floor(F.col("_ai") * 100 / F.col("active_issues"))).cast("int").alias("ai_generated_pct"))

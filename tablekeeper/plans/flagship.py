@@ -39,6 +39,30 @@ def steward_report(spark, sf_dir):
                     "status_before", "status_after", score.alias("severity_score"), band.alias("severity")))
 
 
-@query("steward_report")
+_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "email"]
+_ROOT_SQL = "(SELECT min(c_custkey) AS root FROM customer)"
+_NULLS_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS i, '{c}' AS c, count(*) FILTER (WHERE {c} IS NULL) AS n, "
+    f"{'0' if c == 'email' else f'count(*) FILTER (WHERE {c} IS NULL)'} AS n_after FROM {S.CUSTOMER_SPIKED_SQL} cs"
+    for i, c in enumerate(_COLS))
+_RESULTS_SQL = f"""(SELECT (SELECT min(c_custkey) FROM customer) AS node, c || '_not_null' AS test_name,
+  '{TABLE_FQN}.' || c || '.' || c || '_not_null' AS test_fqn, CASE WHEN n > 0 THEN 'Failed' ELSE 'Success' END AS status,
+  '' AS result, CAST(i AS BIGINT) AS result_id FROM ({_NULLS_SQL}) x)"""
+
+
+def _oracle() -> str:
+    from tablekeeper.plans.q_diagnose import _severity_sql
+    from tablekeeper.plans.q_profile import pct_sql
+    sev = _severity_sql(G.DEFAULT_SEVERITY, _RESULTS_SQL, _ROOT_SQL)
+    return f"""
+SELECT c AS column_name, n AS before_nulls, n_after AS after_nulls, n - n_after AS nulls_fixed,
+  {pct_sql('n - n_after', 'n', 1)} AS reduction_pct,
+  CASE WHEN n > 0 THEN 'Failed' ELSE 'Success' END AS status_before,
+  CASE WHEN n_after > 0 THEN 'Failed' ELSE 'Success' END AS status_after,
+  (SELECT severity_score FROM {sev} s1) AS severity_score, (SELECT severity FROM {sev} s2) AS severity
+FROM ({_NULLS_SQL}) x"""
+
+
+@query("steward_report", oracle=_oracle())
 def q_steward_report(spark, d):
     return steward_report(spark, d)

@@ -8,20 +8,27 @@ from tablekeeper.functions import text as T
 from tablekeeper.operators import diagnose as G
 from tablekeeper.operators.issues import open_issues
 from tablekeeper.plans import standins as S
-from tablekeeper.plans.q_lineage import DOWNSTREAM_IMPACT_SQL, FQN_INPUTS_SQL, ROOTS_SQL, UP3_SQL, fqn_inputs, roots
+from tablekeeper.plans.q_lineage import (FQN_INPUTS_SQL, ROOTS_SQL, _reach_sql, downstream_impact_sql,
+                                         fqn_inputs, roots)
 from tablekeeper.plans.registry import query, table
 
-FU_SQL = f"""(SELECT u.root, u.node, u.depth, t.test_name, t.test_fqn, t.result, t.result_id
-  FROM {UP3_SQL} u JOIN {S.TEST_RESULTS_SQL} t ON t.node = u.node WHERE t.status = 'Failed')"""
+def fu_sql(results_sql: str = S.TEST_RESULTS_SQL, roots_sql: str = ROOTS_SQL) -> str:
+    return f"""(SELECT u.root, u.node, u.depth, t.test_name, t.test_fqn, t.result, t.result_id
+  FROM {_reach_sql("up", 3, roots_sql)} u JOIN {results_sql} t ON t.node = u.node WHERE t.status = 'Failed')"""
 
-ROOT_CAUSE_SQL = f"""(WITH fu AS {FU_SQL},
+
+def root_cause_sql(results_sql: str = S.TEST_RESULTS_SQL, roots_sql: str = ROOTS_SQL) -> str:
+    return f"""(WITH fu AS {fu_sql(results_sql, roots_sql)},
 agg AS (SELECT root, count(DISTINCT node) AS fn, count(*) AS fr FROM fu GROUP BY root),
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node, test_fqn, result_id) AS rn
           FROM fu) x WHERE rn = 1)
 SELECT r.root, CASE WHEN f.root IS NOT NULL THEN 'failed' ELSE 'success' END AS status,
   CAST(coalesce(a.fn, 0) AS BIGINT) AS failing_nodes, CAST(coalesce(a.fr, 0) AS BIGINT) AS failing_results,
   f.node AS first_node, f.depth AS first_depth, f.test_name, f.test_fqn, f.result
-FROM {ROOTS_SQL} r LEFT JOIN agg a ON a.root = r.root LEFT JOIN first f ON f.root = r.root)"""
+FROM {roots_sql} r LEFT JOIN agg a ON a.root = r.root LEFT JOIN first f ON f.root = r.root)"""
+
+
+ROOT_CAUSE_SQL = root_cause_sql()
 
 
 def _scan(spark, d, results=None):
@@ -40,9 +47,9 @@ def _classify_sql(col: str) -> str:
             f"WHEN contains({n}, 'format') OR contains({n}, 'mismatch') THEN 'format_mismatch' ELSE 'unknown' END")
 
 
-def _severity_sql(p: G.SeverityParams) -> str:
+def _severity_sql(p: G.SeverityParams, results_sql: str = S.TEST_RESULTS_SQL, roots_sql: str = ROOTS_SQL) -> str:
     ts = " ".join(f"WHEN itype = '{k}' THEN {v}" for k, v in p.issue_type_scores.items())
-    return f"""(WITH fu AS {FU_SQL},
+    return f"""(WITH fu AS {fu_sql(results_sql, roots_sql)},
 firstnode AS (SELECT root, node FROM (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS rn
               FROM fu) x WHERE rn = 1),
 tests AS (SELECT fu.*, {_classify_sql('fu.test_name')} AS cls FROM fu JOIN firstnode f ON f.root = fu.root AND f.node = fu.node),
@@ -50,8 +57,8 @@ per AS (SELECT root, count(*) AS n FROM tests GROUP BY root),
 typed AS (SELECT root, cls FROM (SELECT root, cls, row_number() OVER (PARTITION BY root ORDER BY test_fqn, result_id) AS rn
           FROM tests WHERE cls <> 'unknown') x WHERE rn = 1),
 j AS (SELECT r.root, per.n, coalesce(typed.cls, 'unknown') AS itype, i.downstream_edges AS de, i.downstream_assets AS da
-      FROM {ROOTS_SQL} r LEFT JOIN per ON per.root = r.root LEFT JOIN typed ON typed.root = r.root
-      LEFT JOIN {DOWNSTREAM_IMPACT_SQL} i ON i.root = r.root),
+      FROM {roots_sql} r LEFT JOIN per ON per.root = r.root LEFT JOIN typed ON typed.root = r.root
+      LEFT JOIN {downstream_impact_sql(roots_sql)} i ON i.root = r.root),
 s AS (SELECT *, least({p.max_failing_test_score}, n * {p.failing_test_points}) AS tsc,
         CASE {ts} ELSE 0 END AS typ, least({p.max_downstream_impact_score}, de * {p.downstream_impact_points}) AS dsc FROM j)
 SELECT root, CASE WHEN n IS NOT NULL THEN 'failed' ELSE 'success' END AS status,
@@ -146,6 +153,12 @@ def q_issue_column(spark, d):
                     T.issue_column("test_fqn", "test_name", "table_fqn").alias("issue_column"))
 
 
+def _diagnosis_sql(name: str, fqn: str, table_fqn: str) -> str:
+    return (f"CASE WHEN {fqn} IS NOT NULL THEN 'We found ' || {_label_sql(name, fqn)} || ' in the ' || "
+            f"string_split({table_fqn}, '.')[-1] || ' table''s ' || {_column_sql(fqn, name, table_fqn)} || "
+            f"' column that needs attention.' ELSE '{G.NO_TEST_SENTENCE}' END")
+
+
 @query("diagnosis_text", oracle=f"""
 SELECT root, table_fqn,
   CASE WHEN test_fqn IS NOT NULL THEN {_label_sql('test_name', 'test_fqn')} END AS issue_label,
@@ -203,7 +216,27 @@ def _issues_inputs(spark, d):
     return res.filter(F.col("ts") < cut), res.filter(F.col("ts") >= cut), S.lineage_edges(spark, d), roots(spark, d)
 
 
-@query("open_issues")
+def _issues_sql(results_sql: str) -> str:
+    rc, sev = root_cause_sql(results_sql), _severity_sql(G.DEFAULT_SEVERITY, results_sql)
+    tf = "'svc.db.mart.t' || CAST(rc.root AS VARCHAR)"
+    return f"""(SELECT rc.root AS issue_id, {tf} AS table_fqn, coalesce(rc.test_fqn, 'unknown') AS test,
+  coalesce(rc.result, 'unknown') AS issue, sv.severity, sv.severity_score, sv.failing_tests_count, sv.issue_type,
+  sv.downstream_count, {_diagnosis_sql('rc.test_name', 'rc.test_fqn', tf)} AS diagnosis,
+  CAST(NULL AS VARCHAR) AS fix_sql, false AS ai_generated, CAST(NULL AS INTEGER) AS confidence_score,
+  CAST(NULL AS BIGINT) AS expected_rows_affected, CAST(NULL AS INTEGER) AS hours_saved, false AS fix_generated,
+  'open' AS status
+FROM {rc} rc JOIN {sev} sv ON sv.root = rc.root WHERE rc.status = 'failed')"""
+
+
+BEFORE_SQL = f"(SELECT * FROM {S.TEST_RESULTS_SQL} t WHERE ts < TIMESTAMP '2024-01-16 00:00:00')"
+AFTER_SQL = f"(SELECT * FROM {S.TEST_RESULTS_SQL} t WHERE ts >= TIMESTAMP '2024-01-16 00:00:00')"
+
+
+@query("open_issues", oracle=f"""
+SELECT * FROM {_issues_sql(AFTER_SQL)} cur
+UNION ALL
+SELECT * REPLACE ('closed' AS status) FROM {_issues_sql(BEFORE_SQL)} prev
+WHERE prev.status = 'open' AND prev.issue_id IN (SELECT root FROM {root_cause_sql(AFTER_SQL)} a WHERE status = 'success')""")
 def q_open_issues(spark, d):
     """Issues after two scans: the second scan opens issues for failing roots
     and closes earlier open issues whose root now passes."""

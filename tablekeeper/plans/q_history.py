@@ -185,3 +185,23 @@ def q_fix_history(spark, d):
     H.append_history(h.filter(F.col("fix_id") % 2 == 0), path)
     H.append_history(h.filter(F.col("fix_id") % 2 == 1), path)
     return spark.read.parquet(path).select(*h.columns, "fix_date")
+
+
+@query("issue_counters", oracle=f"""
+WITH iss AS (SELECT issue_id, CASE WHEN issue_id % 3 = 0 THEN 'applied' WHEN issue_id % 3 = 1 THEN 'closed'
+                                ELSE 'open' END AS status, issue_id % 4 = 2 AS ai_generated
+             FROM (SELECT DISTINCT user_id AS issue_id FROM events) r),
+     a AS (SELECT count(*) FILTER (WHERE status = 'open') AS active,
+                  count(*) FILTER (WHERE status = 'open' AND ai_generated) AS ai FROM iss)
+SELECT active AS active_issues,
+  (SELECT count(*) FROM {FH} h WHERE CAST(fixed_at AS DATE) = (SELECT max(CAST(fixed_at AS DATE)) FROM {FH} h2))
+    AS fixed_today,
+  (SELECT count(*) FROM (SELECT DISTINCT CAST(ts AS DATE) FROM events) s) AS total_scanned,
+  CAST(CASE WHEN active = 0 THEN 0 ELSE floor(ai * 100 / active) END AS INTEGER) AS ai_generated_pct
+FROM a""")
+def q_issue_counters(spark, d):
+    r = roots(spark, d)
+    issues = H.decide(r.select(F.col("root").alias("issue_id"), F.lit("open").alias("status"),
+                               (F.col("root") % 4 == 2).alias("ai_generated")), _decisions(spark, d))
+    scans = S.test_results(spark, d).select(F.to_date("ts").alias("scan_day")).distinct()
+    return H.issue_counters(issues, S.fix_history_input(spark, d), scans)

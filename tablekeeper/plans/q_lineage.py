@@ -18,9 +18,9 @@ def roots(spark, d):
 ROOTS_SQL = "(SELECT DISTINCT user_id AS root FROM events)"
 
 
-def _reach_sql(direction: str, depth: int) -> str:
+def _reach_sql(direction: str, depth: int, roots_sql: str = ROOTS_SQL) -> str:
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    return (f"(WITH RECURSIVE t(root, node, depth) AS (SELECT root, root, 0 FROM {ROOTS_SQL} r "
+    return (f"(WITH RECURSIVE t(root, node, depth) AS (SELECT root, root, 0 FROM {roots_sql} r "
             f"UNION ALL SELECT t.root, e.{b}, t.depth + 1 FROM t JOIN {S.LINEAGE_EDGES_SQL} e ON e.{a} = t.node "
             f"WHERE t.depth < {depth}) SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM t "
             f"GROUP BY root, node)")
@@ -41,12 +41,16 @@ def q_trace_upstream(spark, d):
     return lineage.trace(S.lineage_edges(spark, d), roots(spark, d), "up", 3)
 
 
-DOWNSTREAM_IMPACT_SQL = f"""(SELECT r.root, CAST(coalesce(count(e.dst), 0) AS BIGINT) AS downstream_edges,
+def downstream_impact_sql(roots_sql: str = ROOTS_SQL) -> str:
+    return f"""(SELECT r.root, CAST(coalesce(count(e.dst), 0) AS BIGINT) AS downstream_edges,
   CAST(count(DISTINCT e.dst) AS BIGINT) AS downstream_assets
-FROM {ROOTS_SQL} r LEFT JOIN {DOWN1_SQL} re ON re.root = r.root
+FROM {roots_sql} r LEFT JOIN {_reach_sql("down", 1, roots_sql)} re ON re.root = r.root
 LEFT JOIN {S.LINEAGE_EDGES_SQL} e ON e.src = re.node GROUP BY r.root)"""
 
 
+DOWNSTREAM_IMPACT_SQL = downstream_impact_sql()
+
+
 @query("downstream_impact", oracle=f"SELECT * FROM {DOWNSTREAM_IMPACT_SQL} x")
 def q_downstream_impact(spark, d):
     return lineage.downstream_impact(S.lineage_edges(spark, d), roots(spark, d), 2)
@@ -160,3 +164,12 @@ FROM {FQN_INPUTS_SQL} f""")
 def q_fqn_parts(spark, d):
     f = fqn_inputs(spark, d)
     return f.select("result_id", "fqn", *T.fqn_parts("fqn"))
+
+
+@query("resolve_node_names", oracle=f"""
+SELECT e.id, coalesce(k.fqn, CAST(e.id AS VARCHAR)) AS name
+FROM (SELECT DISTINCT dst AS id FROM {S.LINEAGE_EDGES_SQL} x) e LEFT JOIN {KNOWN_NODES_SQL} k ON k.id = e.id""")
+def q_resolve_node_names(spark, d):
+    """Single-id lookup: every edge target by its catalogue name, or its id when unknown."""
+    ids = S.lineage_edges(spark, d).select(F.col("dst").alias("id")).distinct()
+    return lineage.resolve_name(ids, known_nodes(spark, d).select("id", "fqn"), "id", "id", "fqn")
