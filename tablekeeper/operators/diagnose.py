@@ -59,10 +59,15 @@ def failing_upstream(results: DataFrame, edges: DataFrame, roots: DataFrame, up_
 def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
     """Per root: status, failing node and test counts, first failing node and its first test."""
     fu = failing_upstream(results, edges, roots, up_depth)
-    per_root = fu.groupBy("root").agg(
-        F.count_distinct("node").alias("failing_nodes"),
-        F.count(F.lit(1)).alias("failing_results"),
-        F.min(F.struct("depth", "node", "test_fqn", "result_id", "test_name", "result")).alias("first"))
+    # two-level aggregate: per (root, node) first, then per root - no single-distinct
+    # plan that would send all nodes of a large root to one reducer
+    per_node = fu.groupBy("root", "node").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("depth", "node", "test_fqn", "result_id", "test_name", "result")).alias("f"))
+    per_root = per_node.groupBy("root").agg(
+        F.count(F.lit(1)).alias("failing_nodes"),
+        F.sum("n").alias("failing_results"),
+        F.min("f").alias("first"))
     r = roots.select("root").distinct()
     j = r.join(per_root, "root", "left")
     return j.select(
@@ -80,7 +85,7 @@ def first_node_tests(results: DataFrame, edges: DataFrame, roots: DataFrame, up_
     fu = failing_upstream(results, edges, roots, up_depth)
     first = fu.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("f")).select(
         "root", F.col("f.node").alias("first_node"))
-    return fu.join(first, (fu["root"] == first["root"]) & (fu["node"] == first["first_node"]), "left_semi")
+    return fu.join(first.withColumnRenamed("first_node", "node"), ["root", "node"], "left_semi")
 
 
 def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: SeverityParams = DEFAULT_SEVERITY,

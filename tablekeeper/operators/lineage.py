@@ -64,8 +64,11 @@ def downstream_impact(edges: DataFrame, roots: DataFrame, max_depth: int = 2, sr
                       dst: str = "dst", root_col: str = "root") -> DataFrame:
     """Per root: downstream edge count (severity) and distinct non-NULL targets (display)."""
     ie = impact_edges(edges, roots, max_depth, src, dst, root_col)
-    counted = ie.groupBy("root").agg(F.count(F.lit(1)).alias("downstream_edges"),
-                                     F.count_distinct("dst").alias("downstream_assets"))
+    # two-level count: (root, target) first, so a root with a huge downstream set is
+    # spread by target before the per-root totals combine map-side
+    per_target = ie.groupBy("root", "dst").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_target.groupBy("root").agg(F.sum("n").alias("downstream_edges"),
+                                             F.count("dst").alias("downstream_assets"))
     r = roots.select(F.col(root_col).alias("root")).distinct()
     return (r.join(counted, "root", "left")
             .select("root", F.coalesce("downstream_edges", F.lit(0)).cast("bigint").alias("downstream_edges"),
