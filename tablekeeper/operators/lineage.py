@@ -5,8 +5,8 @@ hop joins the current frontier to the edge list, drops (root, node) pairs
 already visited (anti join) and keeps the minimum depth.  The loop runs
 ``max_depth`` hops at most (the reference asks for 2-3).  The visited set
 is read twice per hop (to extend the frontier and to drop revisits), so it is
-cut from its lineage with a reliable ``checkpoint()`` into the cluster's
-checkpoint folder every second hop: the plan never holds more than four
+cut from its lineage every second hop by writing it as a table into the
+cluster's checkpoint folder (``session.materialize``): the plan never holds more than four
 copies of a hop (identical copies share one shuffle through exchange reuse).  A node with a huge fan-out is a skewed join key; AQE's skew-join
 split handles it, and frontier rows are de-duplicated before each join.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeeper.session import checkpoint_dir
+from tablekeeper.session import materialize
 
 _CUT_EVERY = 2
 
@@ -43,8 +43,7 @@ def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth
         # each hop reads the visited set twice, so the plan doubles per hop; a reliable
         # checkpoint every second hop keeps it at most four copies deep
         if d % _CUT_EVERY == 0 and d < max_depth:
-            checkpoint_dir(roots.sparkSession)
-            visited = visited.checkpoint(eager=True)
+            visited = materialize(visited, "trace")
     out = visited if include_self else visited.filter(F.col("depth") > 0)
     return out.select("root", "node", F.col("depth").cast("int").alias("depth"))
 

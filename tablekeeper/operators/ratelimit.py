@@ -17,7 +17,7 @@ chain is a fold, but it is computed without sorting any key in one task:
    bucket rows (bounded by the time span, not by rows);
 2. anchors = the ``next`` chain from each key's first attempt, by pointer
    doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, every
-   second level checkpointed to the shared checkpoint folder), then the chain set is
+   second level written as a table to the shared checkpoint folder), then the chain set is
    expanded from the top level down - log2(chain length) joins in all;
 3. each attempt's anchor is in its own span bucket or the one before (two
    equi-joins on (key, bucket), at most one anchor per bucket);
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekeeper.operators.ordered import running
-from tablekeeper.session import checkpoint_dir
+from tablekeeper.session import materialize
 
 MAX_FIXES_PER_HOUR = 10    # fixed values: the reference's limiter defaults
 SPAN_SECONDS = 3600
@@ -64,20 +64,18 @@ def next_attempts(att: DataFrame, span_us: int, fine_us: int) -> DataFrame:
 
 def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
     """Attempts on the ``next`` chain from each key's first attempt."""
-    spark = att.sparkSession
     bounds = att.groupBy("key").agg(((F.max("t") - F.min("t")) / span_us).cast("bigint").alias("b")) \
         .agg(F.max("b")).first()[0]
     longest = int(bounds or 0) + 1
     top = max(0, (longest - 1).bit_length() - 1)
-    checkpoint_dir(spark)
     # J_{k+1} reads J_k twice and the chain step reads the chain twice, so each plan
-    # doubles per level; a reliable checkpoint every second level keeps them small
-    levels = [nxt.filter(F.col("nxt").isNotNull()).checkpoint(eager=True)]
+    # doubles per level; writing every second level as a table keeps them small
+    levels = [materialize(nxt.filter(F.col("nxt").isNotNull()), "limit-next")]
     for k in range(top):
         j = levels[-1]
         b = j.select(F.col("attempt_id").alias("nxt"), F.col("nxt").alias("nxt2"))
         nj = j.join(b, "nxt", "inner").select("attempt_id", F.col("nxt2").alias("nxt"))
-        levels.append(nj.checkpoint(eager=True) if k % 2 == 1 or k == top - 1 else nj)
+        levels.append(materialize(nj, "limit-jump") if k % 2 == 1 or k == top - 1 else nj)
     first = att.groupBy("key").agg(F.min(F.struct("t", "attempt_id")).alias("f")).select(
         F.col("f.attempt_id").alias("attempt_id"))
     chain = first
@@ -85,7 +83,7 @@ def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
         step = chain.join(level, "attempt_id", "inner").select(F.col("nxt").alias("attempt_id"))
         chain = chain.unionByName(step).distinct()
         if i % 2 == 1 and i < len(levels) - 1:
-            chain = chain.checkpoint(eager=True)
+            chain = materialize(chain, "limit-chain")
     return att.join(chain, "attempt_id", "left_semi")
 
 

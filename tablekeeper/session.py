@@ -61,3 +61,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, purpose: str):
+    """Cut a plan's lineage by writing it as a parquet table in the shared
+    checkpoint folder and reading it back: one job (an eager reliable
+    ``checkpoint()`` computes the plan twice - a count, then the file write),
+    and later stages get exact sizes for their join planning.  Survives
+    executor loss like any table; never a machine-local folder on a cluster."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
