@@ -27,6 +27,8 @@ chain is a fold, but it is computed without sorting any key in one task:
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,12 @@ SPAN_SECONDS = 3600
 OUT_COLUMNS = ["key", "attempt_id", "ts", "ok", "window_start", "fixes_before", "allowed", "counted"]
 
 
-def _micros(ts: str):
+def micros(df: DataFrame, ts: str):
+    """Microseconds since the epoch, independent of the session time zone for
+    wall-clock (timestamp_ntz) columns; instants (timestamp) use their UTC value."""
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        epoch = F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
@@ -93,7 +100,7 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
     allowed (not blocked) and counted (allowed and successful)."""
     span_us = int(span_seconds) * 1_000_000
     fine_us = min(span_us, 3600 * 1_000_000)
-    att = attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), _micros(ts).alias("t"),
+    att = attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
                           F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
     nxt = next_attempts(att, span_us, fine_us)
     anchors = chain_anchors(att, nxt, span_us)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablekeeper.operators.checks import Rule, fused_row_checks
 from tablekeeper.operators.profile import pct
-from tablekeeper.operators.ratelimit import MAX_FIXES_PER_HOUR, SPAN_SECONDS
+from tablekeeper.operators.ratelimit import MAX_FIXES_PER_HOUR, SPAN_SECONDS, micros
 from tablekeeper.session import shared_dir
 
 POLL_INTERVAL = "30 seconds"   # fixed value: the reference's auto-scan interval
@@ -123,7 +123,7 @@ def stream_rate_limit(stream: DataFrame, key: str = "key", ts: str = "ts", attem
     each key's rows are sorted before folding.  State per key is three values.
     """
     s = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp_ntz").alias("ts"),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+                      micros(stream, ts).alias("t"),
                       F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
     return s.groupBy("key").applyInPandasWithState(
         _limiter(max_n, int(span_seconds) * 1_000_000), LIMIT_OUT, LIMIT_STATE, "append",

@@ -187,3 +187,17 @@ def test_run_suite_fuses_and_reports(spark):
     out = {r["test_name"]: r for r in checks.run_suite({"shop.customers": c}, rules).collect()}
     assert out["email_not_null"]["status"] == "Failed" and out["email_format"]["failed_rows"] == 0
     assert out["id_unique"]["status"] == "Success" and out["id_unique"]["total_rows"] == 7
+
+
+def test_rate_limit_wall_clock_across_dst(spark):
+    """Wall-clock timestamps: elapsed time must not depend on the session zone."""
+    rows = [(1, dt.datetime(2024, 3, 10, 1, 30), 0, True), (1, dt.datetime(2024, 3, 10, 2, 29), 1, True),
+            (1, dt.datetime(2024, 3, 10, 2, 31), 2, True)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, attempt_id long, ok boolean")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = {r["attempt_id"]: r["allowed"] for r in rate_limit(df, max_n=1, span_seconds=3600).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {0: True, 1: False, 2: True}
