@@ -27,8 +27,6 @@ chain is a fold, but it is computed without sorting any key in one task:
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +42,14 @@ OUT_COLUMNS = ["key", "attempt_id", "ts", "ok", "window_start", "fixes_before",
 def micros(df: DataFrame, ts: str):
     """Microseconds since the epoch, independent of the session time zone for
     wall-clock (timestamp_ntz) columns; instants (timestamp) use their UTC value."""
+    c = F.col(ts)
     if df.schema[ts].dataType.typeName() == "timestamp_ntz":
-        epoch = F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+        # calendar arithmetic only: days since the epoch plus the time of day
+        # (timestamp_diff / casts to timestamp would go through the session zone)
+        return (F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000
+                + F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c).cast("bigint") * 60_000_000
+                + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint"))
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def next_attempts(att: DataFrame, span_us: int, fine_us: int) -> DataFrame:
