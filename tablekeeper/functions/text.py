@@ -46,9 +46,15 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# White space removed by ``strip_ws``: the Latin-1 characters Python's str.strip() removes.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+WS_CLASS = r"[ \t\n\r\x0B\f\x1C-\x1F\x85\xA0]"          # the same set as a regex class (Java)
+WS_LINE = r"[ \t\r\x0B\f\x1C-\x1F\x85\xA0]"           # ... without the line break
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Remove leading and trailing white space (spaces, tabs, line breaks)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing white space (built-in btrim, no regex)."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 # ---------------------------------------------------------------- names
@@ -166,27 +172,31 @@ def fix_sql_part(text: Column | str) -> Column:
     """
     t = _c(text)
     head = F.when(has_metrics(t), strip_ws(F.split_part(t, F.lit(METRICS_MARKER), F.lit(1)))).otherwise(t)
-    for label in FIX_LABELS:
-        # a leading label goes, and the rest is trimmed; without the label nothing changes
-        head = F.regexp_replace(head, r"(?s)^" + _re_quote(label) + r"\s*(.*?)\s*$", "$1")
+    # labels are tried in order, each once; any label found means the rest is trimmed.
+    # One anchored regex does the whole chain: (?=any label)(label1\s*)?...(labelN\s*)?
+    labels = [_re_quote(x) for x in FIX_LABELS]
+    chain = "(?=" + "|".join(labels) + ")" + "".join(f"(?:{x}{WS_CLASS}*)?" for x in labels)
+    head = F.regexp_replace(head, r"(?s)^" + chain + r"(.*?)" + WS_CLASS + "*$", "$1")
     kw = "|".join(SQL_KEYWORDS)
-    return F.regexp_replace(head, rf"(?is)^.*?\b({kw})\b(.*?)\s*$", "$1$2")
+    pos = F.regexp_instr(head, F.lit(rf"(?i)\b({kw})\b"))
+    return F.when(pos > 0, strip_ws(F.substring(head, pos, 1 << 30))).otherwise(head)
 
 
 def _re_quote(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()" else ch for ch in s)
 
 
-def metric_lines(text: Column | str) -> Column:
-    """Trimmed lines of the metrics block (text between the first and second marker)."""
-    block = strip_ws(F.split_part(_c(text), F.lit(METRICS_MARKER), F.lit(2)))
-    return F.transform(F.split(block, "\n"), lambda l: strip_ws(l))
+def metric_block(text: Column | str) -> Column:
+    """Text between the first and the second metrics marker."""
+    return F.split_part(_c(text), F.lit(METRICS_MARKER), F.lit(2))
 
 
-def metric_from_lines(text: Column | str, lines: Column, key: str) -> Column:
-    value = lambda l: strip_ws(F.split_part(l, F.lit(":"), F.lit(2)))
-    good = F.filter(lines, lambda l: l.startswith(f"{key}:") & value(l).rlike(r"^[+-]?[0-9]+$"))
-    parsed = F.when(F.size(good) > 0, value(F.element_at(good, -1)).cast("bigint"))
+def metric_from_block(text: Column | str, block: Column, key: str) -> Column:
+    """Last line ``key: <int>[: ...]`` of the block whose value (text between the
+    first and second colon, trimmed) is a whole integer; else the default."""
+    pattern = rf"(?md)^{WS_LINE}*{key}:{WS_LINE}*([+-]?[0-9]+){WS_LINE}*(?::.*)?$"
+    found = F.regexp_extract_all(block, F.lit(pattern), 1)
+    parsed = F.try_element_at(found, F.lit(-1)).try_cast("bigint")
     dflt = F.lit(METRIC_DEFAULTS[key]).cast("bigint")
     return F.when(has_metrics(text), F.coalesce(parsed, dflt)).otherwise(dflt)
 
@@ -194,4 +204,4 @@ def metric_from_lines(text: Column | str, lines: Column, key: str) -> Column:
 def metric_value(text: Column | str, key: str) -> Column:
     """Integer after ``key:`` on the last line of the metrics block that holds a
     whole integer; the default when there is none (or no marker)."""
-    return metric_from_lines(_c(text), metric_lines(text), key)
+    return metric_from_block(_c(text), metric_block(text), key)

@@ -97,15 +97,14 @@ def suggest_fix(issues: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def parse_responses(df: DataFrame, text_col: str) -> DataFrame:
-    """Batch parse of generated answers: SQL part and the three metrics
-    (the metrics block is split into lines once and shared by all three)."""
+    """Batch parse of generated answers: SQL part and the three metrics."""
     t = F.col(text_col)
-    d = df.withColumn("_lines", T.metric_lines(t))
-    return d.select(
+    block = T.metric_block(t)
+    return df.select(
         *df.columns,
         T.fix_sql_part(t).alias("fix_sql"),
         T.has_metrics(t).alias("has_metrics"),
-        *[T.metric_from_lines(t, F.col("_lines"), k).alias(k) for k in T.METRIC_KEYS],
+        *[T.metric_from_block(t, block, k).alias(k) for k in T.METRIC_KEYS],
     )
 
 

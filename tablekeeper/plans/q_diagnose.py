@@ -193,7 +193,8 @@ MESSAGES_SQL = """(SELECT conv_id, turn, CASE conv_id % 3
 
 
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    ws = " || ".join(f"chr({ord(ch)})" for ch in T.WHITESPACE)
+    return f"trim({x}, {ws})"
 
 
 def _clean_sql(m: str) -> str:

@@ -18,8 +18,11 @@ from tablekeeper.session import shared_dir
 from tablekeeper.sources.versions import VersionedTable
 
 
+WS_SQL = " || ".join(f"chr({ord(ch)})" for ch in T.WHITESPACE)
+
+
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS_SQL})"
 
 
 @query("fix_fill_null", oracle=f"""
