@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SUCCESS, FAILED = "Success", "Failed"
 
 CHECK_COLUMNS = ["test_fqn", "table_fqn", "column", "test_name", "status", "failed_rows", "total_rows", "result"]
+CHECK_SCHEMA = ("test_fqn string, table_fqn string, column string, test_name string, status string, "
+                "failed_rows bigint, total_rows bigint, result string")
 
 
 def _row(df_agg: DataFrame, table_fqn: str, column: str, test_name: str) -> DataFrame:
@@ -196,6 +198,11 @@ def run_suite(tables: dict[str, DataFrame], rules: dict[str, list[Rule]]) -> Dat
             elif r.kind == "reference":
                 parent, pk = r.arg
                 parts.append(check_reference(df, r.column, parent, pk, fqn, r.test_name))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession if tables else None
+        if spark is None:
+            raise ValueError("run_suite needs at least one table")
+        return spark.createDataFrame([], CHECK_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
