@@ -60,7 +60,10 @@ def fix_timeline(h: DataFrame, action: str = "approved") -> DataFrame:
 
 
 def fixes_over_time(h: DataFrame, unit: str = "day") -> DataFrame:
-    return (h.groupBy(F.date_trunc(unit, "fixed_at").alias("period"))
+    period = F.date_trunc(unit, "fixed_at")
+    if h.schema["fixed_at"].dataType.typeName() == "timestamp_ntz":
+        period = period.cast("timestamp_ntz")      # keep wall-clock periods zone-free
+    return (h.groupBy(period.alias("period"))
             .agg(F.count(F.lit(1)).alias("fixes"), F.coalesce(F.sum("rows_affected"), F.lit(0)).cast("bigint")
                  .alias("rows_affected"))
             .orderBy("period"))
