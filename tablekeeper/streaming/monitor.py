@@ -29,12 +29,32 @@ def _write_batch(sink: str):
     return write
 
 
-def _run(query_df: DataFrame, sink: str, output_mode: str, trigger: dict, checkpoint: str | None = None):
+def _start(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a stateful query with ``state_partitions`` state-store partitions.
+
+    A stateful query fixes its partition count at its first start (later runs
+    take it from the checkpoint).  The default is the cluster's parallelism
+    (total executor cores), not the session's shuffle setting, which is sized
+    for batch shuffles.  The setting is applied around ``start()`` only: the
+    query clones the session configuration when it starts.
+    """
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
+def _run(query_df: DataFrame, sink: str, output_mode: str, trigger: dict, checkpoint: str | None = None,
+         state_partitions: int | None = None):
     spark = query_df.sparkSession
     ck = checkpoint or shared_dir(spark, "stream-ckpt")
-    q = (query_df.writeStream.outputMode(output_mode).foreachBatch(_write_batch(sink))
-         .option("checkpointLocation", ck).trigger(**trigger).start())
-    return q
+    w = (query_df.writeStream.outputMode(output_mode).foreachBatch(_write_batch(sink))
+         .option("checkpointLocation", ck).trigger(**trigger))
+    return _start(w, spark, state_partitions)
 
 
 def monitor(stream: DataFrame, table_fqn: str, rules: list[Rule], sink: str,
@@ -69,9 +89,10 @@ def windowed_null_rate(stream: DataFrame, column: str, ts: str, span: str = POLL
 
 
 def run_null_rate(stream: DataFrame, column: str, ts: str, sink: str, span: str = POLL_INTERVAL,
-                  delay: str = "1 hour", trigger: dict | None = None, checkpoint: str | None = None):
+                  delay: str = "1 hour", trigger: dict | None = None, checkpoint: str | None = None,
+                  state_partitions: int | None = None):
     agg = windowed_null_rate(stream, column, ts, span, delay)
-    return _run(agg, sink, "update", trigger or {"processingTime": POLL_INTERVAL}, checkpoint)
+    return _run(agg, sink, "update", trigger or {"processingTime": POLL_INTERVAL}, checkpoint, state_partitions)
 
 
 def null_rate_result(spark: SparkSession, sink: str) -> DataFrame:
@@ -130,8 +151,9 @@ def stream_rate_limit(stream: DataFrame, key: str = "key", ts: str = "ts", attem
         GroupStateTimeout.NoTimeout)
 
 
-def run_rate_limit(stream: DataFrame, sink: str, trigger: dict, checkpoint: str | None = None, **kw):
-    return _run(stream_rate_limit(stream, **kw), sink, "append", trigger, checkpoint)
+def run_rate_limit(stream: DataFrame, sink: str, trigger: dict, checkpoint: str | None = None,
+                   state_partitions: int | None = None, **kw):
+    return _run(stream_rate_limit(stream, **kw), sink, "append", trigger, checkpoint, state_partitions)
 
 
 def arrival_files(df: DataFrame, ts: str, path: str, files: int) -> None:
