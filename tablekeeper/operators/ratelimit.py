@@ -13,7 +13,7 @@ iff fewer than max_n successful attempts precede it there.  The anchor
 chain is a fold, but it is computed without sorting any key in one task:
 
 1. ``next(x)`` = first attempt of the same key at or after ts(x) + span: an
-   as-of lookup done per (key, fine time bucket) plus a per-key window over
+   as-of lookup done per (key, one-minute bucket) plus a per-key window over
    bucket rows (bounded by the time span, not by rows);
 2. anchors = the ``next`` chain from each key's first attempt, by pointer
    doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, every
@@ -35,6 +35,10 @@ from tablekeeper.session import materialize
 
 MAX_FIXES_PER_HOUR = 10    # fixed values: the reference's limiter defaults
 SPAN_SECONDS = 3600
+# Width of the time buckets that split a key's attempts across tasks (as-of
+# lookup, running counts): a key's burst within one minute is the largest
+# unit that stays in one task; bucket rows per key grow with the time span only.
+FINE_BUCKET_SECONDS = 60
 
 OUT_COLUMNS = ["key", "attempt_id", "ts", "ok", "window_start", "fixes_before", "allowed", "counted"]
 
@@ -101,7 +105,7 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
     """Per attempt: window start, successful fixes before it in the window,
     allowed (not blocked) and counted (allowed and successful)."""
     span_us = int(span_seconds) * 1_000_000
-    fine_us = min(span_us, 3600 * 1_000_000)
+    fine_us = min(span_us, FINE_BUCKET_SECONDS * 1_000_000)
     att = attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
                           F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
     nxt = next_attempts(att, span_us, fine_us)
