@@ -12,11 +12,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablekeeper import schemas
 from tablekeeper.operators import fixes
 from tablekeeper.sources.versions import VersionedTable
 
-RESULT_SCHEMA = ("table_name string, version_before int, version_after int, success boolean, "
-                 "rows_affected bigint, message string")
+RESULT_SCHEMA = schemas.FIX_RESULT
 
 
 @dataclass
@@ -71,7 +71,5 @@ def rollback(spark: SparkSession, table: VersionedTable, to_version: int, id_col
     changed = fixes.before_after(table.read(current), table.read(to_version), id_col, columns)
     restored = changed.count()
     table.restore(to_version)
-    return spark.createDataFrame(
-        [(name, current, to_version, True, restored, "reverted")],
-        "table_name string, version_before int, version_after int, success boolean, rows_restored bigint, "
-        "action string")
+    return spark.createDataFrame([(name, current, to_version, True, restored, "reverted")],
+                                 schemas.ROLLBACK_RESULT)

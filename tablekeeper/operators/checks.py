@@ -21,11 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekeeper import schemas
+
 SUCCESS, FAILED = "Success", "Failed"
 
 CHECK_COLUMNS = ["test_fqn", "table_fqn", "column", "test_name", "status", "failed_rows", "total_rows", "result"]
-CHECK_SCHEMA = ("test_fqn string, table_fqn string, column string, test_name string, status string, "
-                "failed_rows bigint, total_rows bigint, result string")
+CHECK_SCHEMA = schemas.CHECK_RESULT
 
 
 def _row(df_agg: DataFrame, table_fqn: str, column: str, test_name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tablekeeper import schemas
 from tablekeeper.operators.checks import Rule, fused_row_checks
 from tablekeeper.operators.profile import pct
 from tablekeeper.operators.ratelimit import MAX_FIXES_PER_HOUR, SPAN_SECONDS, micros
@@ -106,8 +107,7 @@ def null_rate_result(spark: SparkSession, sink: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stateful limiter
-LIMIT_OUT = ("key long, attempt_id long, ts timestamp_ntz, ok boolean, window_start timestamp_ntz, "
-             "fixes_before long, allowed boolean, counted boolean")
+LIMIT_OUT = schemas.LIMIT_DECISION
 LIMIT_STATE = "anchor_us long, anchor_ts timestamp_ntz, count long"
 
 
