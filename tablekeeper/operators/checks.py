@@ -9,8 +9,9 @@ Scale notes
 * Uniqueness groups by the key with map-side partial counts, so a key that
   holds a third of the table collapses before the shuffle.
 * Referential checks first count child rows per foreign key (partial
-  aggregation again), then anti-join only the distinct keys against the
-  distinct parent keys: a hot foreign key costs one row in the join.
+  aggregation again), then join only those distinct keys against the
+  distinct parent keys (a left join with a match flag; ``orphan_keys`` is the
+  anti-join form): a hot foreign key costs one row in the join.
 * SQL semantics for NULL: UNIQUE, FOREIGN KEY and CHECK all pass on NULL.
 """
 
