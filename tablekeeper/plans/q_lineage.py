@@ -8,6 +8,7 @@ from tablekeeper.functions import text as T
 from tablekeeper.operators import lineage
 from tablekeeper.plans import standins as S
 from tablekeeper.plans.registry import query, table
+from tablekeeper.session import materialize
 
 
 def roots(spark, d):
@@ -87,12 +88,16 @@ def graph_inputs(spark, d):
         F.col("root").alias("center"), F.col("src").alias("from_id"), F.col("node").alias("to_id"))
     down_e = lineage.impact_edges(edges, r, 2).select(
         F.col("root").alias("center"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
+    # each answer feeds the node union, the direction flags and the edge table:
+    # write it once instead of re-running the traces for every use
+    up_e = materialize(up_e, "graph-up-edges")
+    down_e = materialize(down_e, "graph-down-edges")
     ends = (up_e.select("center", F.col("from_id").alias("id"))
             .unionByName(up_e.select("center", F.col("to_id").alias("id")))
             .unionByName(down_e.select("center", F.col("from_id").alias("id")))
             .unionByName(down_e.select("center", F.col("to_id").alias("id")))
             .unionByName(r.select(F.col("root").alias("center"), F.col("root").alias("id"))).distinct())
-    nodes = ends.join(known_nodes(spark, d), "id")
+    nodes = materialize(ends.join(known_nodes(spark, d), "id"), "graph-nodes")
     cust = table(spark, d, "customer")
     center = r.join(cust, r["root"] == cust["c_custkey"]).select(
         F.col("root").alias("center"), F.format_string("svc.db.mart.t%d", "root").alias("center_fqn"),
