@@ -48,17 +48,25 @@ def severity_band(score) -> "F.Column":
     return F.when(s >= HIGH_AT, "high").when(s >= MEDIUM_AT, "medium").otherwise("low")
 
 
-def failing_upstream(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
+def upstream_reach(edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
+    """(root, node, depth) for each root's upstream nodes, the root itself at depth 0.
+    It depends on the lineage only, so one reach serves any number of scans."""
+    return trace(edges, roots, "up", up_depth, include_self=True)
+
+
+def failing_upstream(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
+                     reach: DataFrame | None = None) -> DataFrame:
     """Failed test results of each root's upstream nodes (depth 0 = the root itself)."""
-    up = trace(edges, roots, "up", up_depth, include_self=True)
+    up = reach if reach is not None else upstream_reach(edges, roots, up_depth)
     failed = results.filter(F.col("status") == "Failed").select(
         F.col("node").alias("_n"), "test_name", "test_fqn", "result", "result_id")
     return up.join(failed, up["node"] == failed["_n"], "inner").drop("_n")
 
 
-def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
+def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
+               reach: DataFrame | None = None) -> DataFrame:
     """Per root: status, failing node and test counts, first failing node and its first test."""
-    fu = failing_upstream(results, edges, roots, up_depth)
+    fu = failing_upstream(results, edges, roots, up_depth, reach)
     # two-level aggregate: per (root, node) first, then per root - no single-distinct
     # plan that would send all nodes of a large root to one reducer
     per_node = fu.groupBy("root", "node").agg(
@@ -80,16 +88,18 @@ def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth:
         F.col("first.result").alias("result"))
 
 
-def first_node_tests(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
+def first_node_tests(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
+                     reach: DataFrame | None = None) -> DataFrame:
     """Failing tests of each root's first failing node (the node severity looks at)."""
-    fu = failing_upstream(results, edges, roots, up_depth)
+    fu = failing_upstream(results, edges, roots, up_depth, reach)
     first = fu.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("f")).select(
         "root", F.col("f.node").alias("first_node"))
     return fu.join(first.withColumnRenamed("first_node", "node"), ["root", "node"], "left_semi")
 
 
 def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: SeverityParams = DEFAULT_SEVERITY,
-             up_depth: int = 3, down_depth: int = 2) -> DataFrame:
+             up_depth: int = 3, down_depth: int = 2, reach: DataFrame | None = None,
+             impact: DataFrame | None = None) -> DataFrame:
     """Severity score and breakdown per root.
 
     failed:  base + min(max_tests, points * tests of the first failing node)
@@ -97,11 +107,11 @@ def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: Sev
              + min(max_downstream, points * downstream edges), capped at the total.
     not failed: score 0, breakdown NULL.
     """
-    tests = first_node_tests(results, edges, roots, up_depth).withColumn("cls", T.classify_issue("test_name"))
+    tests = first_node_tests(results, edges, roots, up_depth, reach).withColumn("cls", T.classify_issue("test_name"))
     per_root = tests.groupBy("root").agg(
         F.count(F.lit(1)).alias("failing_tests_count"),
         F.min(F.when(F.col("cls") != T.ISSUE_UNKNOWN, F.struct("test_fqn", "result_id", "cls"))).alias("typed"))
-    impact = downstream_impact(edges, roots, down_depth)
+    impact = impact if impact is not None else downstream_impact(edges, roots, down_depth)
     r = roots.select("root").distinct()
     j = r.join(per_root, "root", "left").join(impact, "root", "left")
     p = params

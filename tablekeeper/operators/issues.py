@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekeeper.operators import diagnose as G
+from tablekeeper.operators.lineage import downstream_impact
+from tablekeeper.session import materialize
 
 ISSUE_COLUMNS = ["issue_id", "table_fqn", "test", "issue", "severity", "severity_score", "failing_tests_count",
                  "issue_type", "downstream_count", "diagnosis", "fix_sql", "ai_generated", "confidence_score",
                  "expected_rows_affected", "hours_saved", "fix_generated", "status"]
 
 
+def lineage_context(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Upstream reach and downstream impact of the roots, written once to the
+    shared folder: they depend on the lineage only and serve every scan."""
+    reach = materialize(G.upstream_reach(edges, roots), "issues-reach")
+    impact = materialize(downstream_impact(edges, roots), "issues-impact")
+    return reach, impact
+
+
 def open_issues(results: DataFrame, edges: DataFrame, roots: DataFrame, previous: DataFrame | None = None,
-                params: G.SeverityParams = G.DEFAULT_SEVERITY, table_fqn_format: str = "svc.db.mart.t%d") -> DataFrame:
+                params: G.SeverityParams = G.DEFAULT_SEVERITY, table_fqn_format: str = "svc.db.mart.t%d",
+                context: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scan -> issues.  ``previous``: an earlier issue table; its open issues
-    whose root passes this scan come back with status 'closed'."""
-    rc = G.root_cause(results, edges, roots).withColumn("table_fqn", F.format_string(table_fqn_format, "root"))
-    sev = G.severity(results, edges, roots, params).select(
+    whose root passes this scan come back with status 'closed'.  ``context``
+    (from ``lineage_context``) lets several scans share one lineage trace."""
+    reach, impact = context if context is not None else lineage_context(edges, roots)
+    rc = G.root_cause(results, edges, roots, reach=reach).withColumn(
+        "table_fqn", F.format_string(table_fqn_format, "root"))
+    sev = G.severity(results, edges, roots, params, reach=reach, impact=impact).select(
         "root", "severity_score", "severity", "failing_tests_count", "issue_type", "downstream_count")
     txt = G.diagnosis_text(rc).select("root", "diagnosis")
     cur = (rc.filter(F.col("status") == "failed").join(sev, "root").join(txt, "root")

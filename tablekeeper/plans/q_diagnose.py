@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablekeeper.functions import text as T
 from tablekeeper.operators import diagnose as G
-from tablekeeper.operators.issues import open_issues
+from tablekeeper.operators.issues import lineage_context, open_issues
 from tablekeeper.plans import standins as S
 from tablekeeper.plans.q_lineage import (FQN_INPUTS_SQL, ROOTS_SQL, _reach_sql, downstream_impact_sql,
                                          fqn_inputs, roots)
@@ -242,5 +242,6 @@ def q_open_issues(spark, d):
     """Issues after two scans: the second scan opens issues for failing roots
     and closes earlier open issues whose root now passes."""
     before, after, edges, r = _issues_inputs(spark, d)
-    previous = open_issues(before, edges, r)
-    return open_issues(after, edges, r, previous=previous)
+    context = lineage_context(edges, r)
+    previous = open_issues(before, edges, r, context=context)
+    return open_issues(after, edges, r, previous=previous, context=context)
