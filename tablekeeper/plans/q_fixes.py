@@ -235,3 +235,35 @@ def q_rollback(spark, d):
     vt = _versioned_customers(spark, d)
     apply_fix(spark, vt, FILL_FIX, "customer").collect()
     return rollback(spark, vt, 1, "c_custkey", ["email"], "customer")
+
+
+# ---------------------------------------------------------------- approve-and-apply flow
+FLOW_TABLE = "svc.db.mart.customer"
+FLOW_COLUMNS = ["c_custkey", "c_name", "email"]
+FLOW_DECIDED_AT = "2024-01-31 00:00:00"
+
+
+def _flow_sql() -> str:
+    parts = []
+    for c in FLOW_COLUMNS:
+        test = f"{FLOW_TABLE}.{c}.{c}_not_null"
+        sql = fixes.FIX_RULES[0][1].replace("{table}", FLOW_TABLE).replace("{column}", c).replace("'", "''")
+        parts.append(f"""SELECT TIMESTAMP '{FLOW_DECIDED_AT}' AS fixed_at, '{FLOW_TABLE}' AS table_fqn, '{test}' AS test,
+  'approved' AS action, '{c}' AS column_name, '{sql}' AS fix_sql, true AS allowed, n AS before_nulls,
+  CAST(0 AS BIGINT) AS after_nulls, n AS rows_affected, 1 AS version_before, 2 AS version_after
+FROM (SELECT count(*) FILTER (WHERE {c} IS NULL) AS n FROM {S.CUSTOMER_SPIKED_SQL} c) x WHERE n > 0""")
+    return " UNION ALL ".join(parts)
+
+
+@query("fix_flow", oracle=_flow_sql())
+def q_fix_flow(spark, d):
+    """Check the customer table, suggest fixes, approve every proposal, rate limit,
+    apply the allowed ones as one new version, verify and append the history."""
+    from tablekeeper.operators.flow import approve_and_apply
+    vt = _versioned_customers(spark, d)
+    decisions = spark.createDataFrame(
+        [(f"{FLOW_TABLE}.{c}.{c}_not_null", "approve", FLOW_DECIDED_AT) for c in FLOW_COLUMNS],
+        "test string, decision string, decided_at string").withColumn(
+        "decided_at", F.to_timestamp_ntz("decided_at"))
+    return approve_and_apply(spark, vt, FLOW_TABLE, FLOW_COLUMNS, decisions, rule_table(spark),
+                             history_path=shared_dir(spark, "flow-history"))

@@ -201,3 +201,24 @@ def test_rate_limit_wall_clock_across_dst(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {0: True, 1: False, 2: True}
+
+
+def test_approve_and_apply_flow(spark):
+    from tablekeeper.operators.flow import approve_and_apply
+    from tablekeeper.plans.q_fixes import rule_table
+    vt = VersionedTable(spark, shared_dir(spark, "flow"))
+    vt.commit(spark.createDataFrame([(1, None, None, None), (2, "x", None, "z"), (3, None, "y", None)],
+                                    "id long, a string, b string, c string"))
+    t = "shop.t"
+    decisions = spark.createDataFrame(
+        [(f"{t}.a.a_not_null", "approve", dt.datetime(2024, 1, 1, 0, 0, 0)),
+         (f"{t}.b.b_not_null", "approve", dt.datetime(2024, 1, 1, 0, 0, 10)),
+         (f"{t}.c.c_not_null", "reject", dt.datetime(2024, 1, 1, 0, 0, 20))],
+        "test string, decision string, decided_at timestamp_ntz")
+    out = {r["column_name"]: r for r in approve_and_apply(spark, vt, t, ["id", "a", "b", "c"], decisions,
+                                                          rule_table(spark), max_n=1, span_seconds=3600).collect()}
+    assert (out["a"]["action"], out["a"]["allowed"], out["a"]["rows_affected"]) == ("approved", True, 2)
+    assert (out["b"]["action"], out["b"]["allowed"], out["b"]["rows_affected"]) == ("approved", False, 0)
+    assert (out["c"]["action"], out["c"]["allowed"]) == ("rejected", False)
+    now = vt.read()
+    assert vt.current() == 2 and now.filter("a IS NULL").count() == 0 and now.filter("b IS NULL").count() == 2
