@@ -22,26 +22,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, key: str | list[str], order: list[str], bucket: Column,
+def running(df: DataFrame, key: str | list[str], order: list[str], bucket: Column | list[Column],
             sums: dict[str, Column] | None = None, seq_name: str = "seq") -> DataFrame:
     """Add ``seq_name`` (1-based position per key in ``order``) and a running sum
-    column per entry of ``sums`` (name -> value expression)."""
+    column per entry of ``sums`` (name -> value expression).
+
+    ``bucket`` is one order-compatible bucket column or a list of them, coarse
+    to fine (e.g. minute, second): level i sums the earlier buckets inside its
+    parent bucket, so each window sorts the rows of at most one finest bucket
+    (or the bucket rows below one parent) in one task.
+    """
     sums = sums or {}
     keys = [key] if isinstance(key, str) else list(key)
-    b = df.withColumn("_bucket", bucket)
+    levels = bucket if isinstance(bucket, list) else [bucket]
+    names = [f"_b{i}" for i in range(len(levels))]
+    b = df
+    for n, c in zip(names, levels):
+        b = b.withColumn(n, c)
     for name, expr in sums.items():
         b = b.withColumn(f"_v_{name}", expr)
-    per_bucket = b.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_bn"), *[F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in sums])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = per_bucket.select(
-        *keys, "_bucket", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_pn"),
-        *[F.coalesce(F.sum(f"_bs_{n}").over(earlier), F.lit(0)).alias(f"_ps_{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    out = b
+    prefix_n, prefix_s = [], {n: [] for n in sums}
+    for i in range(len(levels)):
+        parent = keys + names[:i]
+        per = b.groupBy(*parent, names[i]).agg(
+            F.count(F.lit(1)).alias("_bn"), *[F.sum(f"_v_{n}").alias(f"_bs_{n}") for n in sums])
+        earlier = Window.partitionBy(*parent).orderBy(names[i]).rowsBetween(Window.unboundedPreceding, -1)
+        pre = per.select(*parent, names[i], F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias(f"_pn{i}"),
+                         *[F.coalesce(F.sum(f"_bs_{n}").over(earlier), F.lit(0)).alias(f"_ps{i}_{n}") for n in sums])
+        out = out.join(pre, [*parent, names[i]], "inner")
+        prefix_n.append(F.col(f"_pn{i}"))
+        for n in sums:
+            prefix_s[n].append(F.col(f"_ps{i}_{n}"))
+    inside = Window.partitionBy(*keys, *names).orderBy(*order)
     within = inside.rowsBetween(Window.unboundedPreceding, 0)
-    j = b.join(prefix, [*keys, "_bucket"], "inner")
-    out = j.withColumn(seq_name, (F.col("_pn") + F.row_number().over(inside)).cast("bigint"))
+    total_n = prefix_n[0]
+    for c in prefix_n[1:]:
+        total_n = total_n + c
+    out = out.withColumn(seq_name, (total_n + F.row_number().over(inside)).cast("bigint"))
     for n in sums:
-        out = out.withColumn(n, F.col(f"_ps_{n}") + F.sum(f"_v_{n}").over(within))
-    drop = ["_bucket", "_pn", "_bn"] + [f"_v_{n}" for n in sums] + [f"_ps_{n}" for n in sums]
+        acc = prefix_s[n][0]
+        for c in prefix_s[n][1:]:
+            acc = acc + c
+        out = out.withColumn(n, acc + F.sum(f"_v_{n}").over(within))
+    drop = names + [f"_v_{n}" for n in sums] + [f"_pn{i}" for i in range(len(levels))] + \
+        [f"_ps{i}_{n}" for i in range(len(levels)) for n in sums]
     return out.drop(*[c for c in drop if c in out.columns])

@@ -13,8 +13,8 @@ iff fewer than max_n successful attempts precede it there.  The anchor
 chain is a fold, but it is computed without sorting any key in one task:
 
 1. ``next(x)`` = first attempt of the same key at or after ts(x) + span: an
-   as-of lookup done per (key, one-minute bucket) plus a per-key window over
-   bucket rows (bounded by the time span, not by rows);
+   as-of lookup over the key's distinct instants, split minute -> second so
+   that no task sorts more than one key's second (see ``next_attempts``);
 2. anchors = the ``next`` chain from each key's first attempt, by pointer
    doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, every
    second level written as a table to the shared checkpoint folder), then the chain set is
@@ -22,7 +22,7 @@ chain is a fold, but it is computed without sorting any key in one task:
 3. each attempt's anchor is in its own span bucket or the one before (two
    equi-joins on (key, bucket), at most one anchor per bucket);
 4. successful attempts before each attempt in its window come from the
-   two-level running count of ``ordered.running``.
+   bucketed running count of ``ordered.running`` (minute, then second).
 """
 
 from __future__ import annotations
@@ -35,10 +35,6 @@ from tablekeeper.session import materialize
 
 MAX_FIXES_PER_HOUR = 10    # fixed values: the reference's limiter defaults
 SPAN_SECONDS = 3600
-# Width of the time buckets that split a key's attempts across tasks (as-of
-# lookup, running counts): a key's burst within one minute is the largest
-# unit that stays in one task; bucket rows per key grow with the time span only.
-FINE_BUCKET_SECONDS = 60
 
 OUT_COLUMNS = ["key", "attempt_id", "ts", "ok", "window_start", "fixes_before", "allowed", "counted"]
 
@@ -56,23 +52,36 @@ def micros(df: DataFrame, ts: str):
     return F.unix_micros(c.cast("timestamp"))
 
 
-def next_attempts(att: DataFrame, span_us: int, fine_us: int) -> DataFrame:
-    """(attempt_id, nxt): first attempt of the same key with t >= t + span (NULL if none)."""
-    a = att.select("key", "t", "attempt_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("pid"))
-    p = att.select("key", (F.col("t") + span_us).alias("t"), F.lit(None).cast("bigint").alias("attempt_id"),
-                   F.lit(0).alias("kind"), F.col("attempt_id").alias("pid"))
-    rows = a.unionByName(p).withColumn("fb", F.floor(F.col("t") / fine_us).cast("bigint"))
-    cand = F.when(F.col("kind") == 1, F.struct("t", "attempt_id"))
-    fwd = (Window.partitionBy("key", "fb").orderBy("t", "kind", "attempt_id")
-           .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def next_attempts(att: DataFrame, span_us: int) -> DataFrame:
+    """(attempt_id, nxt): first attempt of the same key with t >= t + span (NULL if none).
+
+    Attempts at the same instant collapse first (per (key, t) the smallest id -
+    a partial aggregate, so a burst at one instant is one row).  The as-of
+    lookup over the remaining instants then runs in three levels, none of which
+    sorts more than one key's second in one task: inside (key, second), else
+    the first instant of a later second of the same minute (window over at most
+    60 second-rows), else the first instant of a later minute (window over the
+    key's minute-rows, which grow with its time span only).
+    """
+    inst = att.groupBy("key", "t").agg(F.min("attempt_id").alias("id"))
+    a = inst.select("key", "t", F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("pid"))
+    p = att.select("key", (F.col("t") + span_us).alias("t"), F.lit(0).alias("kind"),
+                   F.lit(None).cast("bigint").alias("id"), F.col("attempt_id").alias("pid"))
+    rows = (a.unionByName(p).withColumn("sec", F.floor(F.col("t") / 1_000_000).cast("bigint"))
+            .withColumn("mnt", F.floor(F.col("t") / 60_000_000).cast("bigint")))
+    cand = F.when(F.col("kind") == 1, F.struct("t", "id"))
+    fwd = Window.partitionBy("key", "sec").orderBy("t", "kind").rowsBetween(Window.currentRow,
+                                                                             Window.unboundedFollowing)
     here = rows.withColumn("hit", F.first(cand, ignorenulls=True).over(fwd)).filter(F.col("kind") == 0)
-    buckets = rows.groupBy("key", "fb").agg(F.min(cand).alias("first_att"))
-    later = Window.partitionBy("key").orderBy("fb").rowsBetween(1, Window.unboundedFollowing)
-    buckets = buckets.withColumn("next_first", F.first("first_att", ignorenulls=True).over(later)).select(
-        "key", "fb", "next_first")
-    j = here.join(buckets, ["key", "fb"], "left")
+    secs = rows.groupBy("key", "mnt", "sec").agg(F.min(cand).alias("f"))
+    later_sec = Window.partitionBy("key", "mnt").orderBy("sec").rowsBetween(1, Window.unboundedFollowing)
+    secs = secs.select("key", "mnt", "sec", F.first("f", ignorenulls=True).over(later_sec).alias("in_minute"))
+    mins = rows.groupBy("key", "mnt").agg(F.min(cand).alias("f"))
+    later_min = Window.partitionBy("key").orderBy("mnt").rowsBetween(1, Window.unboundedFollowing)
+    mins = mins.select("key", "mnt", F.first("f", ignorenulls=True).over(later_min).alias("after_minute"))
+    j = here.join(secs, ["key", "mnt", "sec"], "left").join(mins, ["key", "mnt"], "left")
     return j.select(F.col("pid").alias("attempt_id"),
-                    F.coalesce(F.col("hit.attempt_id"), F.col("next_first.attempt_id")).alias("nxt"))
+                    F.coalesce(F.col("hit.id"), F.col("in_minute.id"), F.col("after_minute.id")).alias("nxt"))
 
 
 def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
@@ -105,10 +114,9 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
     """Per attempt: window start, successful fixes before it in the window,
     allowed (not blocked) and counted (allowed and successful)."""
     span_us = int(span_seconds) * 1_000_000
-    fine_us = min(span_us, FINE_BUCKET_SECONDS * 1_000_000)
     att = attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
                           F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
-    nxt = next_attempts(att, span_us, fine_us)
+    nxt = next_attempts(att, span_us)
     anchors = chain_anchors(att, nxt, span_us)
     anc = anchors.select("key", F.floor(F.col("t") / span_us).cast("bigint").alias("sb"),
                          F.col("t").alias("a_t"), F.col("attempt_id").alias("a_id"), F.col("ts").alias("a_ts"))
@@ -122,7 +130,8 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
     w = j.select("key", "ts", "t", "attempt_id", "ok",
                  F.when(use_same, F.col("id1")).otherwise(F.col("id2")).alias("anchor_id"),
                  F.when(use_same, F.col("ts1")).otherwise(F.col("ts2")).alias("window_start"))
-    r = running(w, ["key", "anchor_id"], ["t", "attempt_id"], F.floor(F.col("t") / fine_us),
+    r = running(w, ["key", "anchor_id"], ["t", "attempt_id"],
+                [F.floor(F.col("t") / 60_000_000), F.floor(F.col("t") / 1_000_000)],
                 sums={"ok_upto": F.col("ok").cast("bigint")}, seq_name="_pos")
     before = F.col("ok_upto") - F.col("ok").cast("bigint")
     return r.select(

@@ -115,3 +115,17 @@ def test_trace_equals_bfs(spark, seed):
             frontier = nxt
         want |= {(root, n, d) for n, d in seen.items() if d > 0}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_rate_limit_sub_second_instants(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(150):
+        key = 0 if rnd.random() < 0.5 else rnd.randint(1, 3)
+        us = rnd.choice([rnd.randint(0, 3_000_000), rnd.randint(55_000_000, 65_000_000), 1_000_000])
+        rows.append((key, BASE + dt.timedelta(microseconds=us), i, rnd.random() < 0.6))
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, attempt_id long, ok boolean")
+    got = {r["attempt_id"]: (r["window_start"], r["fixes_before"], r["allowed"])
+           for r in rate_limit(df, max_n=2, span_seconds=1).collect()}
+    assert got == _fold(rows, 2, 1)
