@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tablekeeper.functions import text as T
 from tablekeeper.operators.lineage import downstream_impact, trace
+from tablekeeper.session import materialize
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,8 @@ def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: Sev
              + min(max_downstream, points * downstream edges), capped at the total.
     not failed: score 0, breakdown NULL.
     """
+    if reach is None:   # read twice below (first node, its tests): write it once
+        reach = materialize(upstream_reach(edges, roots, up_depth), "severity-reach")
     tests = first_node_tests(results, edges, roots, up_depth, reach).withColumn("cls", T.classify_issue("test_name"))
     per_root = tests.groupBy("root").agg(
         F.count(F.lit(1)).alias("failing_tests_count"),
