@@ -222,3 +222,25 @@ def test_approve_and_apply_flow(spark):
     assert (out["c"]["action"], out["c"]["allowed"]) == ("rejected", False)
     now = vt.read()
     assert vt.current() == 2 and now.filter("a IS NULL").count() == 0 and now.filter("b IS NULL").count() == 2
+
+
+def test_apply_dedupe_and_format_fixes(spark):
+    vt = VersionedTable(spark, shared_dir(spark, "t"))
+    vt.commit(spark.createDataFrame([(1, "a@x.com"), (2, "a@x.com"), (3, "B@X.COM "), (4, None), (5, None)],
+                                    "id long, email string"))
+    r = _one(apply_fix(spark, vt, Fix("dedupe", "email", keys=["email"], id_col="id"), "c"))
+    assert r["success"] and r["rows_affected"] == 1 and vt.read().count() == 4      # NULL e-mails are kept
+    r = _one(apply_fix(spark, vt, Fix("fix_format", "email", valid=r"^[a-z]+@[a-z]+\.com$",
+                                      pattern=r"^\s*(\S+)\s*$", replacement="$1"), "c"))
+    assert r["success"] and r["rows_affected"] == 1 and r["version_after"] == 3
+    assert sorted(x["email"] or "" for x in vt.read().collect()) == ["", "", "B@X.COM", "a@x.com"]
+
+
+def test_versioned_commit_verification_keeps_pointer(spark):
+    import pytest
+    vt = VersionedTable(spark, shared_dir(spark, "t"))
+    vt.commit(spark.range(3))
+    with pytest.raises(RuntimeError):
+        vt.commit(spark.range(5), expected_rows=4)
+    assert vt.current() == 1 and vt.read().count() == 3
+    assert vt.commit(spark.range(7), expected_rows=7) == 3 and vt.read().count() == 7
