@@ -50,7 +50,16 @@ def exact_share_predicate(df: DataFrame, key: str, share: float) -> Column:
     driver never sees more than that many numbers whatever the table size.
     """
     base = df.select(F.col(key).alias("_k"), _order_key(key).alias("_h")).filter(F.col("_k").isNotNull())
-    n = base.count()
+
+    def histogram(prefix: str):
+        level = min(32, len(prefix) + _PREFIX)
+        part = base.filter(F.col("_h").startswith(prefix)) if prefix else base
+        return (part.groupBy(F.substring("_h", 1, level).alias("p"))
+                .agg(F.count("*").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+                .orderBy("p").collect())
+
+    counts = histogram("")
+    n = sum(r["n"] for r in counts)          # the first pass also gives the row count
     k = share_count(n, share)
     if k <= 0:
         return F.lit(False)
@@ -58,11 +67,8 @@ def exact_share_predicate(df: DataFrame, key: str, share: float) -> Column:
         return F.col(key).isNotNull()
     prefix, need = "", k
     while len(prefix) < 32:
-        level = min(32, len(prefix) + _PREFIX)
-        part = base.filter(F.col("_h").startswith(prefix)) if prefix else base
-        counts = (part.groupBy(F.substring("_h", 1, level).alias("p"))
-                  .agg(F.count("*").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
-                  .orderBy("p").collect())
+        if prefix:
+            counts = histogram(prefix)
         cum = 0
         for row in counts:
             if cum + row["n"] >= need:
