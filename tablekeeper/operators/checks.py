@@ -6,8 +6,10 @@ test_name, status ('Success' / 'Failed'), failed_rows, total_rows, result.
 Scale notes
 * Row-local checks (not-null, expression, format, generated column) over one
   table are fused into ONE aggregate: one scan, partial counts per task.
-* Uniqueness groups by the key with map-side partial counts, so a key that
-  holds a third of the table collapses before the shuffle.
+* Uniqueness first counts rows per 64-bit key hash (map-side partial counts:
+  a key holding a third of the table collapses before the shuffle, and only
+  8-byte hashes move); only rows whose hash repeats are grouped by their real
+  key values, which keeps the result exact without shuffling long unique keys.
 * Referential checks first count child rows per foreign key (partial
   aggregation again), then join only those distinct keys against the
   distinct parent keys (a left join with a match flag; ``orphan_keys`` is the
@@ -129,32 +131,58 @@ def check_generated(df: DataFrame, column: str, expression: str, table_fqn: str,
 
 
 # ------------------------------------------------------------ keyed checks
+def _all_not_null(columns: list[str]) -> Column:
+    c = F.col(columns[0]).isNotNull()
+    for x in columns[1:]:
+        c = c & F.col(x).isNotNull()
+    return c
+
+
+def key_hash_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows per 64-bit hash of the key (NULL hash for keys with a NULL part).
+    Only 8-byte hashes are shuffled, whatever the size of the key values."""
+    h = F.when(_all_not_null(columns), F.xxhash64(*[F.col(c) for c in columns]))
+    return df.select(h.alias("_kh")).groupBy("_kh").agg(F.count(F.lit(1)).alias("_hn"))
+
+
+def duplicate_candidates(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Rows whose key hash occurs more than once - the only rows that can be
+    duplicates.  The hash set is small when duplicates are rare, and AQE then
+    broadcasts it, so unique rows (and their long key values) never move."""
+    counts = counts if counts is not None else key_hash_counts(df, columns)
+    multi = counts.filter(F.col("_kh").isNotNull() & (F.col("_hn") > 1)).select("_kh")
+    h = F.when(_all_not_null(columns), F.xxhash64(*[F.col(c) for c in columns]))
+    return df.withColumn("_kh", h).join(multi, "_kh", "left_semi").drop("_kh")
+
+
 def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Key groups with more than one row (groups with a NULL key part are skipped)."""
-    not_null = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        not_null = not_null & F.col(c).isNotNull()
-    keyed = df.filter(not_null)
-    return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    """Key groups with more than one row (groups with a NULL key part are skipped).
+    Exact: candidates are grouped by the real key values."""
+    cand = duplicate_candidates(df, columns)
+    return cand.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
 def check_unique(df: DataFrame, columns: list[str], table_fqn: str, test_name: str | None = None) -> DataFrame:
     """failed_rows = surplus rows (rows beyond the first of each duplicate key).
 
-    One scan: rows are counted per key (partial counts before the shuffle),
-    and the per-key counts give both the total and the surplus.
+    Two stages: rows are counted per key hash (8-byte shuffle, partial counts
+    map-side, so a hot key collapses too); only rows whose hash repeats are
+    grouped by their real key, so the surplus is exact while long key values
+    of unique rows are never shuffled.
     """
     name = test_name or f"{'_'.join(columns)}_unique"
-    not_null = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        not_null = not_null & F.col(c).isNotNull()
-    per_key = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    agg = per_key.agg(
-        F.coalesce(F.sum(F.when(not_null & (F.col("n") > 1), F.col("n") - 1)), F.lit(0)).alias("failed_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"))
+    counts = key_hash_counts(df, columns)
+    total = counts.agg(F.coalesce(F.sum("_hn"), F.lit(0))).scalar()
+    dups = duplicate_keys_from(duplicate_candidates(df, columns, counts), columns)
+    agg = dups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failed_rows")).select(
+        "failed_rows", total.alias("total_rows"))
     return _row(agg, table_fqn, "_".join(columns), name)
 
 
+def duplicate_keys_from(cand: DataFrame, columns: list[str]) -> DataFrame:
+    return cand.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
 def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Distinct child keys missing from the parent, with their row counts."""
     per_key = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,9 @@ nothing is updated in place.
 
 Scale notes
 * ``dedupe`` finds the minimum id per key with a partial aggregate (a hot
-  key collapses map-side) and keeps rows by a semi join on (key, id), which
-  hashes on the id too, so no window sorts a hot key inside one task.
+  key collapses map-side), only among rows whose key hash repeats, and drops
+  the losers with an anti join on (key, id) - no window sorts a hot key
+  inside one task and long unique keys are not shuffled.
 * ``before_after`` joins two versions on the row id; ``fix_impact`` profiles
   both versions with one aggregate each.
 """
@@ -45,24 +46,28 @@ def dedupe(df: DataFrame, keys: list[str], id_col: str, null_keys: str = "keep")
     null_keys="keep": rows with a NULL key part are never duplicates (UNIQUE semantics).
     null_keys="group": NULL keys form one group, as GROUP BY does.
     Rows with a NULL id are kept (``NULL NOT IN (...)`` is not true).
+
+    Keep mode looks for losers only among rows whose key hash repeats
+    (``checks.duplicate_candidates``: an 8-byte-hash count first), groups those
+    by their real key values (exact), and removes the losers with an anti join
+    - broadcast by AQE when they are few, so long unique keys never move.
     """
     if null_keys not in ("keep", "group"):
         raise ValueError(null_keys)
-    has_null_key = F.lit(False)
-    for k in keys:
-        has_null_key = has_null_key | F.col(k).isNull()
-    base = df if null_keys == "group" else df.filter(~has_null_key)
-    mins = base.groupBy(*keys).agg(F.min(id_col).alias("_min_id"))
-    cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(mins[k]) if null_keys == "group" else (df[k] == mins[k])
-        cond = c if cond is None else cond & c
-    cond = cond & (df[id_col] == mins["_min_id"])
-    kept = df.join(mins, cond, "left_semi")
-    extra = df.filter(F.col(id_col).isNull())
-    if null_keys == "keep":
-        extra = df.filter(has_null_key | F.col(id_col).isNull())
-    return kept.unionByName(extra)
+    if null_keys == "group":
+        mins = df.groupBy(*keys).agg(F.min(id_col).alias("_min_id"))
+        cond = None
+        for k in keys:
+            c = df[k].eqNullSafe(mins[k])
+            cond = c if cond is None else cond & c
+        kept = df.join(mins, cond & (df[id_col] == mins["_min_id"]), "left_semi")
+        return kept.unionByName(df.filter(F.col(id_col).isNull()))
+    from tablekeeper.operators.checks import _all_not_null, duplicate_candidates
+    cand = duplicate_candidates(df.filter(_all_not_null(keys)), keys)
+    mins = cand.groupBy(*keys).agg(F.min(id_col).alias("_min_id"))
+    losers = (cand.filter(F.col(id_col).isNotNull()).join(mins, keys, "inner")
+              .filter(F.col(id_col) != F.col("_min_id")).select(*keys, id_col).distinct())
+    return df.join(losers, [*keys, id_col], "left_anti").select(*df.columns)
 
 
 def fix_format(df: DataFrame, column: str, valid: str, pattern: str, replacement: str) -> DataFrame:
