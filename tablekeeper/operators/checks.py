@@ -145,10 +145,19 @@ def key_hash_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(h.alias("_kh")).groupBy("_kh").agg(F.count(F.lit(1)).alias("_hn"))
 
 
+def has_wide_key(df: DataFrame, columns: list[str]) -> bool:
+    """Keys with a variable-width (string/binary) part are worth a hash pre-pass;
+    fixed-width keys are as cheap to shuffle as their hash."""
+    return any(df.schema[c].dataType.typeName() in ("string", "binary") for c in columns)
+
+
 def duplicate_candidates(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Rows whose key hash occurs more than once - the only rows that can be
     duplicates.  The hash set is small when duplicates are rare, and AQE then
-    broadcasts it, so unique rows (and their long key values) never move."""
+    broadcasts it, so unique rows (and their long key values) never move.
+    For fixed-width keys the rows are returned as they are."""
+    if counts is None and not has_wide_key(df, columns):
+        return df
     counts = counts if counts is not None else key_hash_counts(df, columns)
     multi = counts.filter(F.col("_kh").isNotNull() & (F.col("_hn") > 1)).select("_kh")
     h = F.when(_all_not_null(columns), F.xxhash64(*[F.col(c) for c in columns]))
@@ -158,7 +167,7 @@ def duplicate_candidates(df: DataFrame, columns: list[str], counts: DataFrame |
 def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     """Key groups with more than one row (groups with a NULL key part are skipped).
     Exact: candidates are grouped by the real key values."""
-    cand = duplicate_candidates(df, columns)
+    cand = duplicate_candidates(df.filter(_all_not_null(columns)), columns)
     return cand.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
@@ -171,6 +180,14 @@ def check_unique(df: DataFrame, columns: list[str], table_fqn: str, test_name: s
     of unique rows are never shuffled.
     """
     name = test_name or f"{'_'.join(columns)}_unique"
+    if not has_wide_key(df, columns):
+        # fixed-width keys: one scan, counts per key give both the total and the surplus
+        per_key = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+        agg = per_key.agg(
+            F.coalesce(F.sum(F.when(_all_not_null(columns) & (F.col("n") > 1), F.col("n") - 1)), F.lit(0))
+            .alias("failed_rows"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"))
+        return _row(agg, table_fqn, "_".join(columns), name)
     counts = key_hash_counts(df, columns)
     total = counts.agg(F.coalesce(F.sum("_hn"), F.lit(0))).scalar()
     dups = duplicate_keys_from(duplicate_candidates(df, columns, counts), columns)
