@@ -19,7 +19,7 @@ from tablekeeper.session import shared_dir
 from tablekeeper.streaming import monitor as M
 
 LIMIT_MAX, LIMIT_SPAN = 2, 86400
-ARRIVAL_FILES = 6
+ARRIVAL_BATCHES = 6
 
 
 def _limit_sql(max_n: int, span_s: int) -> str:
@@ -47,9 +47,13 @@ def q_rate_limit(spark, d):
 
 
 def _arrive(spark, df, ts):
+    """The table as a stream arriving in time order: time-ranged files, a
+    micro-batch takes as many consecutive files as the cluster has cores."""
     src = shared_dir(spark, "arrivals")
-    M.arrival_files(df, ts, src, ARRIVAL_FILES)
-    return spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    per_batch = spark.sparkContext.defaultParallelism
+    M.arrival_files(df, ts, src, ARRIVAL_BATCHES * per_batch)
+    return (spark.readStream.schema(spark.read.parquet(src).schema)
+            .option("maxFilesPerTrigger", per_batch).parquet(src))
 
 
 @query("stream_rate_limit", oracle=_limit_sql(LIMIT_MAX, LIMIT_SPAN))

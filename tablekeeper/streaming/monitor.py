@@ -159,8 +159,9 @@ def run_rate_limit(stream: DataFrame, sink: str, trigger: dict, checkpoint: str
 def arrival_files(df: DataFrame, ts: str, path: str, files: int) -> None:
     """Lay ``df`` out as ``files`` parquet files over disjoint, increasing time
     ranges and stamp each file's modification time in that order, so a file
-    stream source with maxFilesPerTrigger=1 delivers the rows in time order.
-    One distributed write; the driver handles one (path, min ts) pair per file.
+    stream source delivers the rows in time order (a micro-batch takes the next
+    ``maxFilesPerTrigger`` files).  One distributed write with ``files`` tasks;
+    the driver handles one (path, min ts) pair per file.
     """
     spark = df.sparkSession
     df.repartitionByRange(files, F.col(ts)).sortWithinPartitions(ts).write.mode("overwrite").parquet(path)
