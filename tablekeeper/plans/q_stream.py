@@ -47,10 +47,12 @@ def q_rate_limit(spark, d):
 
 
 def _arrive(spark, df, ts):
-    """The table as a stream arriving in time order: time-ranged files, a
-    micro-batch takes as many consecutive files as the cluster has cores."""
+    """The table as a stream arriving in time order: time-ranged files; a
+    micro-batch takes as many consecutive files as the input has scan splits
+    (at most the cluster's cores)."""
     src = shared_dir(spark, "arrivals")
-    per_batch = spark.sparkContext.defaultParallelism
+    # files per batch follow the input's size (its scan splits), up to the cluster's cores
+    per_batch = max(1, min(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
     M.arrival_files(df, ts, src, ARRIVAL_BATCHES * per_batch)
     return (spark.readStream.schema(spark.read.parquet(src).schema)
             .option("maxFilesPerTrigger", per_batch).parquet(src))
