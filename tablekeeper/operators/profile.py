@@ -101,3 +101,12 @@ def sample_rows(df: DataFrame, id_col: str, n: int = 10, column: str | None = No
     if column is not None:
         return df.filter(F.col(column).isNull()).orderBy(id_col).limit(n)
     return df.limit(n)
+
+
+def profile_tables(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``profile`` of many tables at once (one aggregate per table), labelled by table."""
+    out = None
+    for name, df in tables:
+        part = profile(df).select(F.lit(name).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

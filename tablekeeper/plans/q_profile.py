@@ -215,3 +215,35 @@ FROM customer""")
 def q_update_in(spark, d):
     ids = table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
     return faults.update_in(table(spark, d, "customer"), "c_custkey", ids, "o_custkey", {"c_mktsegment": "FLAGGED"})
+
+
+# The driver tables and their columns (the schema every scale factor shares).
+ALL_TABLES = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": LINEITEM_COLS,
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+def _profile_all_sql() -> str:
+    parts = []
+    for t, cols in ALL_TABLES.items():
+        parts.append(f"SELECT '{t}' AS table_name, * FROM ({_profile_sql(t, cols)}) p_{t}")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_all", oracle=_profile_all_sql())
+def q_profile_all(spark, d):
+    """Profile every driver table (the 'scan all tables' case): one aggregate per table."""
+    return profile.profile_tables([(t, table(spark, d, t)) for t in ALL_TABLES])
