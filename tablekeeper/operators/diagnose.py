@@ -49,10 +49,12 @@ def severity_band(score) -> "F.Column":
     return F.when(s >= HIGH_AT, "high").when(s >= MEDIUM_AT, "medium").otherwise("low")
 
 
-def upstream_reach(edges: DataFrame, roots: DataFrame, up_depth: int = 3) -> DataFrame:
+def upstream_reach(edges: DataFrame, roots: DataFrame, up_depth: int = 3, cut_every: int | None = None) -> DataFrame:
     """(root, node, depth) for each root's upstream nodes, the root itself at depth 0.
     It depends on the lineage only, so one reach serves any number of scans."""
-    return trace(edges, roots, "up", up_depth, include_self=True)
+    if cut_every is None:
+        return trace(edges, roots, "up", up_depth, include_self=True)
+    return trace(edges, roots, "up", up_depth, include_self=True, cut_every=cut_every)
 
 
 def failing_upstream(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
@@ -109,7 +111,7 @@ def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: Sev
     not failed: score 0, breakdown NULL.
     """
     if reach is None:   # read twice below (first node, its tests): write it once
-        reach = materialize(upstream_reach(edges, roots, up_depth), "severity-reach")
+        reach = materialize(upstream_reach(edges, roots, up_depth, cut_every=0), "severity-reach")
     tests = first_node_tests(results, edges, roots, up_depth, reach).withColumn("cls", T.classify_issue("test_name"))
     per_root = tests.groupBy("root").agg(
         F.count(F.lit(1)).alias("failing_tests_count"),

@@ -17,7 +17,7 @@ ISSUE_COLUMNS = ["issue_id", "table_fqn", "test", "issue", "severity", "severity
 def lineage_context(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upstream reach and downstream impact of the roots, written once to the
     shared folder: they depend on the lineage only and serve every scan."""
-    reach = materialize(G.upstream_reach(edges, roots), "issues-reach")
+    reach = materialize(G.upstream_reach(edges, roots, cut_every=0), "issues-reach")
     impact = materialize(downstream_impact(edges, roots), "issues-impact")
     return reach, impact
 

@@ -21,11 +21,13 @@ from tablekeeper.session import materialize
 _CUT_EVERY = 2
 
 def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int = 2,
-          src: str = "src", dst: str = "dst", root_col: str = "root", include_self: bool = False) -> DataFrame:
+          src: str = "src", dst: str = "dst", root_col: str = "root", include_self: bool = False,
+          cut_every: int = _CUT_EVERY) -> DataFrame:
     """All nodes within ``max_depth`` hops of each root: (root, node, depth = minimum hops).
 
     direction "down" follows src -> dst, "up" follows dst -> src.  Cycles are
     safe: a (root, node) pair is expanded once, at its smallest depth.
+    ``cut_every=0`` leaves the cuts to a caller that writes the result itself.
     """
     if direction not in ("down", "up"):
         raise ValueError(direction)
@@ -42,7 +44,7 @@ def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth
         visited = visited.unionByName(nxt.select("root", "node", F.lit(d).alias("depth")))
         # each hop reads the visited set twice, so the plan doubles per hop; a reliable
         # checkpoint every second hop keeps it at most four copies deep
-        if d % _CUT_EVERY == 0 and d < max_depth:
+        if cut_every and d % cut_every == 0 and d < max_depth:
             visited = materialize(visited, "trace")
     out = visited if include_self else visited.filter(F.col("depth") > 0)
     return out.select("root", "node", F.col("depth").cast("int").alias("depth"))
