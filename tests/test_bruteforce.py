@@ -129,3 +129,17 @@ def test_rate_limit_sub_second_instants(spark, seed):
     got = {r["attempt_id"]: (r["window_start"], r["fixes_before"], r["allowed"])
            for r in rate_limit(df, max_n=2, span_seconds=1).collect()}
     assert got == _fold(rows, 2, 1)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_exact_share_equals_md5_order(spark, seed):
+    import hashlib
+    from tablekeeper.operators.faults import exact_share_predicate, share_count
+    rnd = random.Random(seed)
+    keys = [rnd.randint(0, 400) for _ in range(700)] + [None] * 5      # repeats and NULL keys
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for share in (0.4, 0.13):
+        got = {r["k"] for r in df.filter(exact_share_predicate(df, "k", share)).collect()}
+        ordered = sorted((hashlib.md5(str(k).encode()).hexdigest(), k) for k in keys if k is not None)
+        n = share_count(len(ordered), share)
+        assert got == {k for _, k in ordered[:n]}
