@@ -244,3 +244,23 @@ def test_versioned_commit_verification_keeps_pointer(spark):
         vt.commit(spark.range(5), expected_rows=4)
     assert vt.current() == 1 and vt.read().count() == 3
     assert vt.commit(spark.range(7), expected_rows=7) == 3 and vt.read().count() == 7
+
+
+def test_edge_all_null_unknown_test_missing_node(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, email string")
+    p = {r["column_name"]: r for r in profile.profile(df).collect()}
+    assert p["email"]["null_pct"] == 100.0 and p["id"]["null_pct"] == 0.0
+    assert _one(checks.check_not_null(df, "email", "t"))["failed_rows"] == 2
+    assert fixes.fill_nulls(df, "email", "x").filter("email IS NULL").count() == 0
+    # a failing test whose name matches no class: scored as 'unknown' with no type points
+    res = spark.createDataFrame([(0, "row_count", "s.d.m.t0.c.row_count", "Failed", "r", 1)],
+                                "node long, test_name string, test_fqn string, status string, result string, result_id long")
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    r = _one(diagnose.severity(res, edges, spark.createDataFrame([(0,)], "root long")))
+    assert r["issue_type"] == "unknown" and r["issue_type_score"] == 0 and r["severity_score"] == 30 + 5 + 3
+    # an edge to a node missing from the catalogue: dropped from named edges, id kept by the lookup
+    nodes = spark.createDataFrame([(0, "svc.db.mart.a")], "id long, fqn string")
+    assert lineage.named_edges(edges, nodes).count() == 0
+    names = {r["id"]: r["name"] for r in lineage.resolve_name(spark.createDataFrame([(0,), (1,)], "id long"),
+                                                              nodes).collect()}
+    assert names == {0: "svc.db.mart.a", 1: "1"}
