@@ -35,3 +35,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.decontaminate import contamination
     return (contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share_inverse=20)
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), max_tokens=1024, end_id=2).drop("ids")
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.quality_rules import quality_rules
+    return (quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                    "kept", "score"))
