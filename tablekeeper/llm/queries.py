@@ -113,3 +113,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.suffix_array import byte_dedup
+    return byte_dedup(table(spark, sf_dir, "documents"), length=100, texts=False).drop("kept")
