@@ -17,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tablekeeper.session import shared_dir
@@ -169,6 +170,24 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTE
         yield make_block(np.concatenate(ids), pa.concat_arrays(texts))
 
 
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def expand(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The array's bytes by significance, so that its zero high bytes compress to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+
+
 BLOCK_SCHEMA = "block long, doc_id array<long>, ends array<long>, body binary, note binary"
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
                           ("body", pa.binary()), ("note", pa.binary())])
@@ -179,7 +198,7 @@ def read_block(batch: pa.RecordBatch, i: int) -> tuple[int, Block]:
     ids = batch.column("doc_id")[i].values.to_numpy(zero_copy_only=False)
     end = batch.column("ends")[i].values.to_numpy(zero_copy_only=False)
     start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64)
-    body = np.frombuffer(batch.column("body")[i].as_buffer(), np.uint8)
+    body = np.frombuffer(expand(batch.column("body")[i].as_buffer()), np.uint8)
     return batch.column("block")[i].as_py(), Block(ids, start, end, body)
 
 
@@ -198,13 +217,13 @@ def write_blocks(docs: DataFrame, note: Callable[[Block], bytes] | None = None,
         for k, b in enumerate(iter_blocks(batches, block_bytes)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([at + k], pa.int64()), pa.array([b.ids], pa.list_(pa.int64())),
-                 pa.array([b.end], pa.list_(pa.int64())), pa.array([b.body.tobytes()], pa.binary()),
+                 pa.array([b.end], pa.list_(pa.int64())), pa.array([squeeze(b.body, 3)], pa.binary()),
                  pa.array([note(b) if note else b""], pa.binary())], schema=_BLOCK_ARROW)
 
     spark = docs.sparkSession
     path = shared_dir(spark, "blocks")
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path))
+        .mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(path))   # bodies are compressed
     return spark.read.parquet(path)
 
 

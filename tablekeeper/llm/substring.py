@@ -2,7 +2,8 @@
 
 Suffixes start at words and matter down to a depth of ``window`` words, cut at
 three depths (4, 8 and ``window`` words) where the tree may have nodes; an edge
-is labelled by a 32-bit hash of its words, so a path of full depth has 96 bits.
+is labelled by a hash of its words (32, 32 and 24 bits), so a path of full depth
+has 88 bits.
 
 1. Each block sorts its suffixes and keeps one per path: the first, which has
    the smallest doc_id, as the block's documents are in order of doc_id.
@@ -16,8 +17,7 @@ is labelled by a 32-bit hash of its words, so a path of full depth has 96 bits.
 4. One bit per entry goes back to its block: whether the path also starts in a
    smaller doc_id.  The block marks the windows and their words.
 
-Two different windows share a 96-bit path with a chance of about 1e-16 for a
-billion windows.
+Among a billion windows, two different ones share a path with a chance of 2e-9.
 
 Nulls and odd rows: a null text has no words; rows with one doc_id never remove
 each other's words; a null doc_id counts as larger than all others and is kept
@@ -32,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.llm.blocks import Block, Words, each_block, ids_out, kept_bytes, mix, run_hash, write_blocks
+from tablekeeper.llm.blocks import (Block, Words, each_block, expand, ids_out, kept_bytes, mix, planes, run_hash,
+                                    squeeze, unplanes, write_blocks)
 
 WINDOW = 13
 CELLS = 4096
-GROUP = 1 << 19
+GROUP = 1 << 21
 
 
 def _paths(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +48,7 @@ def _paths(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = np.uint64(32)
     first = max(1, window // 3)
     four, rest = run_hash(w.hash, first), run_hash(w.hash, window - 2 * first)
-    return (at, (four[at] >> top << top) | (four[at + first] >> top), (rest[at + 2 * first] >> top).astype(np.uint32))
+    return (at, (four[at] >> top << top) | (four[at + first] >> top), (rest[at + 2 * first] >> np.uint64(40)).astype(np.uint32))
 
 
 def _entries(block: Block, window: int):
@@ -137,35 +138,34 @@ def _repeats(blocks: DataFrame, window: int, plan) -> DataFrame:
             if cut.size:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g[cut]), pa.array(np.full(cut.size, number)),
-                     pa.array([head[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                     pa.array([tail[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                     pa.array([_pack_docs(block.ids, doc[a:b]) for a, b in zip(cut, ends)], pa.binary())],
-                    ["part", "block", "head", "tail", "doc"])
+                     pa.array([_pack(head[a:b], tail[a:b], block.ids, doc[a:b]) for a, b in zip(cut, ends)], pa.binary())],
+                    ["part", "block", "entries"])
 
     def build(key, table):
-        get = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
-        heads = get("head", "<u8")
-        flags = _subtree(np.concatenate(heads), np.concatenate(get("tail", "<u4")),
-                         np.concatenate([_unpack_docs(x.as_py()) for x in table.column("doc")]))
+        heads, tails, ids = zip(*(_unpack(x.as_buffer()) for x in table.column("entries")))
+        flags = _subtree(np.concatenate(heads), np.concatenate(tails), np.concatenate(ids))
         parts = np.split(flags, np.cumsum([x.size for x in heads])[:-1])
         return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(parts), pa.int64()),
                          "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
     return (blocks.select("block", "doc_id", "ends", "body")
-            .mapInArrow(send, "part long, block long, head binary, tail binary, doc binary")
+            .mapInArrow(send, "part long, block long, entries binary")
             .groupBy("part").applyInArrow(build, "block long, part long, bits binary"))
 
 
-def _pack_docs(ids: np.ndarray, doc: np.ndarray) -> bytes:
-    """Ids of the documents that occur, then one index into them per entry."""
+def _pack(head: np.ndarray, tail: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sorted paths with their doc_ids: steps from path to path, the ids that occur, and one index into them per path."""
     seen, index = np.unique(doc, return_inverse=True)
-    kind = "<u2" if seen.size < 1 << 16 else "<u4"
-    return np.array([seen.size], "<u4").tobytes() + ids[seen].astype("<i8").tobytes() + index.astype(kind).tobytes()
+    return squeeze(np.array([head.size, seen.size], "<u4").tobytes() + planes(np.diff(head, prepend=np.uint64(0)))
+                   + planes(tail)[: 3 * tail.size] + planes(np.diff(ids[seen], prepend=0)) + planes(index.astype("<u4")))
 
 
-def _unpack_docs(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 4)[np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4", -1, 4 + 8 * n)]
+def _unpack(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = expand(raw)
+    n, docs = np.frombuffer(raw, "<u4", 2).tolist()
+    tail = unplanes(raw[8 + 8 * n: 8 + 11 * n] + bytes(n), "<u4", n)
+    ids = np.cumsum(unplanes(raw, "<i8", docs, 8 + 11 * n))
+    return np.cumsum(unplanes(raw, "<u8", n, 8)), tail, ids[unplanes(raw, "<u4", n, 8 + 11 * n + 8 * docs)]
 
 
 def _covered(w: Words, start: np.ndarray, window: int) -> np.ndarray:
