@@ -208,8 +208,9 @@ def write_blocks(docs: DataFrame, note: Callable[[Block], bytes] | None = None,
 
     Operators that come back to a block need it to be the same each time,
     whichever executor reads it, so the table is written once to the shared
-    folder.  Building it needs no shuffle.  ``note`` may add a few bytes of
-    statistics per block.
+    folder.  Building it needs no shuffle; it is bucketed by block, so that
+    joining answers to it moves the answers only.  ``note`` may add a few bytes
+    of statistics per block.
     """
     def pack(batches):
         from pyspark import TaskContext
@@ -222,9 +223,11 @@ def write_blocks(docs: DataFrame, note: Callable[[Block], bytes] | None = None,
 
     spark = docs.sparkSession
     path = shared_dir(spark, "blocks")
+    name = "blocks_" + path.rsplit("-", 1)[1]
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(path))   # bodies are compressed
-    return spark.read.parquet(path)
+        .mapInArrow(pack, BLOCK_SCHEMA).write.format("parquet").option("compression", "none")   # bodies are compressed
+        .option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
+    return spark.table(name)
 
 
 def each_block(batches: Iterator[pa.RecordBatch]):

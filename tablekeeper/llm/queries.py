@@ -119,3 +119,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.suffix_array import byte_dedup
     return byte_dedup(table(spark, sf_dir, "documents"), length=100, texts=False).drop("kept")
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.lines import line_dedup
+    return (line_dedup(table(spark, sf_dir, "documents"), texts=False)
+            .select("doc_id", "n_lines", "n_removed", "kept_sha256", "emptied"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.kneser_ney import classify
+    return (classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select("doc_id", "lang", "symbols", F.round("perplexity", 4).alias("perplexity"), F.round("peak", 3).alias("peak"), "kept"))

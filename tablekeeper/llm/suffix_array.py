@@ -37,15 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.llm.blocks import (Block, each_block, expand, ids_out, mix, planes, span_hash, squeeze, unplanes,
-                                    write_blocks)
+from tablekeeper.llm.blocks import Block, each_block, expand, ids_out, mix, planes, span_hash, squeeze, unplanes, write_blocks
 from tablekeeper.llm.decontaminate import suffix_array as rank_names
+from tablekeeper.llm.meeting import KEY_BITS, answers_by_block, cuts, shared_bits, shared_keys
 from tablekeeper.session import materialize
 
 LENGTH, GRAM = 100, 16
 BLOCK_BYTES = 2 << 20
 SHARD = 4 << 20
-KEY_BITS = 40
 
 
 # ---- induced sorting -------------------------------------------------------------------------------------------
@@ -210,53 +209,6 @@ class Segments:
         return np.flatnonzero(~self.copy & use[np.searchsorted(self.keys, self.short)]) if self.keys.size else self.start
 
 
-def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-    return list(zip(cut, [*cut[1:], part.size]))
-
-
-def _key_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of the short keys, so that sorted keys are sorted by part."""
-    return (keys * np.uint64(parts) >> np.uint64(KEY_BITS)).astype(np.int64)
-
-
-def _key_counts(blocks: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """Per block and part: bits of the block's distinct keys, whether another block has the key."""
-    def send(batches):
-        for _, _, number, block in each_block(batches):
-            keys = Segments(block, length, gram).keys
-            part = _key_part(keys, parts)
-            cuts = _cuts(part)
-            if cuts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(part[a]) for a, _ in cuts]), pa.array([number] * len(cuts)),
-                     pa.array([squeeze(np.array([b - a], "<u4").tobytes() + planes(np.diff(keys[a:b], prepend=np.uint64(0))))
-                               for a, b in cuts], pa.binary())], ["part", "block", "keys"])
-
-    def count(key, table):
-        each = []
-        for x in table.column("keys"):
-            raw = expand(x.as_buffer())
-            each.append(np.cumsum(unplanes(raw, "<u8", int(np.frombuffer(raw, "<u4", 1)[0]), 4)))
-        _, which, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        bits = np.split(times[which] > 1, np.cumsum([x.size for x in each])[:-1])
-        return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(each), pa.int64()),
-                         "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
-
-    return (blocks.select("block", "doc_id", "ends", "body").mapInArrow(send, "part long, block long, keys binary")
-            .groupBy("part").applyInArrow(count, "block long, part long, bits binary"))
-
-
-def _answers(bits: DataFrame) -> DataFrame:
-    return bits.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("answers"))
-
-
-def _shared(answers, keys: np.ndarray, parts: int) -> np.ndarray:
-    size = [b - a for a, b in _cuts(_key_part(keys, parts))]
-    each = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n) for a, n in zip(answers or [], size, strict=True)]
-    return np.concatenate(each).astype(np.bool_) if each else np.empty(0, np.bool_)
-
-
 def _sent(seg: Segments, shared: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments to send by part, and their parts."""
     own = seg.wanted(shared)
@@ -316,9 +268,9 @@ def _earlier(blocks: DataFrame, length: int, gram: int, key_parts: int, parts: i
     def send(batches):
         for batch, i, number, block in each_block(batches):
             seg = Segments(block, length, gram)
-            own, part = _sent(seg, _shared(batch.column("answers")[i].as_py(), seg.keys, key_parts), parts)
+            own, part = _sent(seg, shared_bits(batch.column("answers")[i].as_py(), seg.keys, key_parts), parts)
             raw = block.body.tobytes()
-            for a, b in _cuts(part):
+            for a, b in cuts(part):
                 s, n, d = seg.start[own[a:b]], seg.bytes[own[a:b]], block.ids[seg.doc[own[a:b]]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(part[a])]), pa.array([number]), pa.array([squeeze(
@@ -368,15 +320,15 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
     n_blocks = blocks.select("block").count()
     total = n_blocks * block_bytes
     key_parts = max(1, total // (64 << 20))
-    answers = materialize(_answers(_key_counts(blocks, length, gram, key_parts)), "key-answers")
+    answers = materialize(shared_keys(blocks, lambda b: Segments(b, length, gram).keys, key_parts), "key-answers")
     parts = max(1, total // shard)       # segments overlap, but only those that may repeat are sent
     first = blocks.join(answers, "block", "left")
-    bits = materialize(_answers(_earlier(first, length, gram, key_parts, parts)), "window-answers")
+    bits = materialize(answers_by_block(_earlier(first, length, gram, key_parts, parts)), "window-answers")
 
     def finish(batches):
         for batch, i, _, block in each_block(batches):
             seg = Segments(block, length, gram)
-            own, part = _sent(seg, _shared(batch.column("answers")[i].as_py(), seg.keys, key_parts), parts)
+            own, part = _sent(seg, shared_bits(batch.column("answers")[i].as_py(), seg.keys, key_parts), parts)
             late = np.zeros(block.body.size + 1, np.int64)
 
             def mark(a: np.ndarray, n: np.ndarray) -> None:
@@ -385,7 +337,7 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
 
             copies = np.flatnonzero(seg.copy)
             mark(seg.start[copies], seg.count[copies])
-            for (a, b), answer in zip(_cuts(part), batch.column("windows")[i].as_py() or [], strict=True):
+            for (a, b), answer in zip(cuts(part), batch.column("windows")[i].as_py() or [], strict=True):
                 n = seg.count[own[a:b]]
                 flags = np.unpackbits(np.frombuffer(expand(answer["bits"]), np.uint8), count=int(n.sum())).astype(np.bool_)
                 at = np.repeat(seg.start[own[a:b]] - (np.cumsum(n) - n), n) + np.arange(flags.size)
