@@ -21,8 +21,8 @@ in long lists only, so both classes are in ``MIN_LONG`` or more of those (the
 chance of fewer is below 1e-5 a pair).  Such classes, say near copies of one
 text or texts that mostly consist of one passage, are gathered by long lists
 and compared exactly: by prefix filtering on their rarest shingles in chunks of
-``CHUNK`` classes, pair of chunks by pair of chunks, and only links that join
-two parts of a chunk's graph come out.
+about ``CHUNK`` shingles, pair of chunks by pair of chunks, and only links that
+join two parts of a pair's graph come out.
 
 Linked classes are joined to components by label propagation with pointer
 jumping over written tables; no link or component reaches the driver.
@@ -44,7 +44,7 @@ from tablekeeper.session import materialize
 
 K, RUN = 64, 3
 SHORT, MIN_OVERLAP, MIN_LONG = 48, 3, 5
-CHUNK = 4096
+CHUNK = 1 << 19
 PERCENT = 80
 
 
@@ -301,12 +301,12 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     return links
 
 
-def _gathered(long_: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+def _gathered(long_: DataFrame, sets: DataFrame, size: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Links between classes of MIN_LONG long lists or more."""
     together = components(long_.select("a", "b").distinct())
-    spark = sets.sparkSession
     member = materialize(together.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "long-lists")
-    sizes = member.groupBy("cluster").count().withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
+    sizes = (member.join(size, "class").groupBy("cluster").agg(F.sum("n").alias("total"))
+             .select("cluster", F.ceil(F.col("total") / chunk).cast("int").alias("chunks")))
     dealt = member.join(sizes, "cluster").withColumn("i", F.expr("int(pmod(xxhash64(class), chunks))"))
     pairs = (dealt.select("class", "cluster", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
              .select("class", "cluster", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"),
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k
     likely = materialize(_estimated(short, classes, k, percent), "likely-pairs")
     wanted = likely.select(F.col("a").alias("class")).unionAll(likely.select("b")).unionAll(often).distinct()
     sets = materialize(_whole_sets(docs, wanted, shingle), "whole-sets")
-    links = _verified(likely, sets, percent).unionAll(_gathered(long_, sets, percent, chunk))
+    links = _verified(likely, sets, percent).unionAll(_gathered(long_, sets, size, percent, chunk))
     found = components(materialize(links, "verified-links"))
     of_class = (classes.select("n", "h1", "h2", F.col("class"))
                 .join(found, F.col("class") == F.col("node"), "left")
