@@ -263,11 +263,12 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     first = np.cumsum(size) - size
     nth = np.arange(flat.size) - first[owner]
     head = nth < (size - -(-percent * size // 100) + 1)[owner]
-    hv, ho = value[order][head], owner[head]
+    ranked = value[order]
+    hv, ho = ranked[head], owner[head]
     by = np.argsort(hv, kind="stable")
     hv, ho = hv[by], ho[by]
     begin, end = np.searchsorted(hv, np.arange(times.size)), np.searchsorted(hv, np.arange(times.size), "right")
-    heads = [value[order][f: f + c] for f, c in zip(first, np.bincount(owner[head], minlength=size.size))]
+    heads = [ranked[f: f + c] for f, c in zip(first, np.bincount(owner[head], minlength=size.size))]
     two, flag = bool(side.min(initial=0) != side.max(initial=0)), np.zeros(times.size, np.bool_)
     part, links = np.arange(size.size), []
     label = part.copy()
