@@ -314,8 +314,10 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), the sha256 of the kept bytes, and those bytes.
 
-    ``texts=False`` leaves ``kept`` null.
+    ``texts=False`` leaves ``kept`` null.  8 <= gram <= 16, gram <= length.
     """
+    if not 8 <= gram <= min(16, length):
+        raise ValueError("grams have 8 to 16 bytes and are no longer than windows")
     blocks = write_blocks(docs, lambda b: np.array([b.body.size], "<i8").tobytes(), block_bytes).drop("note")
     n_blocks = blocks.select("block").count()
     total = n_blocks * block_bytes
