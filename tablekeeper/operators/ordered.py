@@ -31,6 +31,9 @@ def running(df: DataFrame, key: str | list[str], order: list[str], bucket: Colum
     to fine (e.g. minute, second): level i sums the earlier buckets inside its
     parent bucket, so each window sorts the rows of at most one finest bucket
     (or the bucket rows below one parent) in one task.
+
+    No row is lost: rows with a NULL key are a key of their own, and rows with
+    a NULL order column come first in their key, as NULLs sort first.
     """
     sums = sums or {}
     keys = [key] if isinstance(key, str) else list(key)
@@ -50,7 +53,11 @@ def running(df: DataFrame, key: str | list[str], order: list[str], bucket: Colum
         earlier = Window.partitionBy(*parent).orderBy(names[i]).rowsBetween(Window.unboundedPreceding, -1)
         pre = per.select(*parent, names[i], F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias(f"_pn{i}"),
                          *[F.coalesce(F.sum(f"_bs_{n}").over(earlier), F.lit(0)).alias(f"_ps{i}_{n}") for n in sums])
-        out = out.join(pre, [*parent, names[i]], "inner")
+        on, match = [*parent, names[i]], F.lit(True)
+        for c in on:      # null-safe: a NULL key or time is a bucket like any other
+            pre = pre.withColumnRenamed(c, f"_on_{c}")
+            match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+        out = out.join(pre, match, "inner").drop(*[f"_on_{c}" for c in on])
         prefix_n.append(F.col(f"_pn{i}"))
         for n in sums:
             prefix_s[n].append(F.col(f"_ps{i}_{n}"))

@@ -7,6 +7,11 @@ Semantics per key, attempts in (ts, attempt_id) order, state (anchor, count):
 * an attempt is blocked when count >= max_n; an allowed, successful attempt
   adds one to the count.
 
+NULLs: no attempt is lost.  A NULL key is a key of its own; a NULL ``ok`` counts
+as not successful; an attempt without a time lies in no window, so it is not
+allowed, starts none, and comes out with NULL ``window_start`` and
+``fixes_before``.
+
 So the attempts split into windows [a_i, a_{i+1}) where a_{i+1} is the first
 attempt at or after a_i + span, and inside a window an attempt is allowed
 iff fewer than max_n successful attempts precede it there.  The anchor
@@ -53,7 +58,8 @@ def micros(df: DataFrame, ts: str):
 
 
 def next_attempts(att: DataFrame, span_us: int) -> DataFrame:
-    """(attempt_id, nxt): first attempt of the same key with t >= t + span (NULL if none).
+    """(attempt_id, nxt) for the first attempt of each instant: first attempt of the same key with
+    t >= t + span (NULL if none).
 
     Attempts at the same instant collapse first (per (key, t) the smallest id -
     a partial aggregate, so a burst at one instant is one row).  The as-of
@@ -65,8 +71,9 @@ def next_attempts(att: DataFrame, span_us: int) -> DataFrame:
     """
     inst = att.groupBy("key", "t").agg(F.min("attempt_id").alias("id"))
     a = inst.select("key", "t", F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("pid"))
-    p = att.select("key", (F.col("t") + span_us).alias("t"), F.lit(0).alias("kind"),
-                   F.lit(None).cast("bigint").alias("id"), F.col("attempt_id").alias("pid"))
+    # only the first attempt of an instant can be an anchor, so only it asks for its successor
+    p = inst.select("key", (F.col("t") + span_us).alias("t"), F.lit(0).alias("kind"),
+                    F.lit(None).cast("bigint").alias("id"), F.col("id").alias("pid"))
     rows = (a.unionByName(p).withColumn("sec", F.floor(F.col("t") / 1_000_000).cast("bigint"))
             .withColumn("mnt", F.floor(F.col("t") / 60_000_000).cast("bigint")))
     cand = F.when(F.col("kind") == 1, F.struct("t", "id"))
@@ -114,8 +121,13 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
     """Per attempt: window start, successful fixes before it in the window,
     allowed (not blocked) and counted (allowed and successful)."""
     span_us = int(span_seconds) * 1_000_000
-    att = attempts.select(F.col(key).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
-                          F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
+    # the key travels in a struct, which is never NULL, so that a NULL key joins like any other
+    every = attempts.select(F.struct(F.col(key).alias("v")).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
+                            F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
+    att = every.filter(F.col("t").isNotNull())
+    untimed = every.filter(F.col("t").isNull()).select(
+        "key.v", "attempt_id", "ts", "ok", F.col("ts").alias("window_start"), F.lit(None).cast("bigint").alias("fixes_before"),
+        F.lit(False).alias("allowed"), F.lit(False).alias("counted")).withColumnRenamed("v", "key")
     nxt = next_attempts(att, span_us)
     anchors = chain_anchors(att, nxt, span_us)
     anc = anchors.select("key", F.floor(F.col("t") / span_us).cast("bigint").alias("sb"),
@@ -132,10 +144,11 @@ def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id
                  F.when(use_same, F.col("ts1")).otherwise(F.col("ts2")).alias("window_start"))
     r = running(w, ["key", "anchor_id"], ["t", "attempt_id"],
                 [F.floor(F.col("t") / 60_000_000), F.floor(F.col("t") / 1_000_000)],
-                sums={"ok_upto": F.col("ok").cast("bigint")}, seq_name="_pos")
-    before = F.col("ok_upto") - F.col("ok").cast("bigint")
-    return r.select(
-        "key", "attempt_id", "ts", "ok", "window_start",
+                sums={"ok_upto": F.coalesce("ok", F.lit(False)).cast("bigint")}, seq_name="_pos")
+    before = F.col("ok_upto") - F.coalesce("ok", F.lit(False)).cast("bigint")
+    out = r.select(
+        F.col("key.v").alias("key"), "attempt_id", "ts", "ok", "window_start",
         F.least(before, F.lit(max_n)).cast("bigint").alias("fixes_before"),
         (before < max_n).alias("allowed"),
-        ((before < max_n) & F.col("ok")).alias("counted"))
+        ((before < max_n) & F.coalesce("ok", F.lit(False))).alias("counted"))
+    return out.unionByName(untimed)

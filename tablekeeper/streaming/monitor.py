@@ -8,6 +8,7 @@ Checkpoints go to the shared checkpoint folder.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,9 @@ def _write_batch(sink: str):
     return write
 
 
+_STARTING = threading.Lock()
+
+
 def _start(writer, spark: SparkSession, state_partitions: int | None):
     """Start a stateful query with ``state_partitions`` state-store partitions.
 
@@ -42,11 +46,12 @@ def _start(writer, spark: SparkSession, state_partitions: int | None):
     n = state_partitions or spark.sparkContext.defaultParallelism
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
-    spark.conf.set(key, str(n))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, old)
+    with _STARTING:        # starts of this library take turns, so that each clones and restores its own setting
+        spark.conf.set(key, str(n))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set(key, old)
 
 
 def _run(query_df: DataFrame, sink: str, output_mode: str, trigger: dict, checkpoint: str | None = None,
@@ -114,13 +119,21 @@ LIMIT_STATE = "anchor_us long, anchor_ts timestamp_ntz, count long"
 def _limiter(max_n: int, span_us: int):
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["t", "attempt_id"], kind="mergesort")
+        untimed = pdf[pdf["t"].isna()]
+        if len(untimed):                       # in no window: not allowed, as in the batch form
+            yield pd.DataFrame({"key": untimed["key"], "attempt_id": untimed["attempt_id"], "ts": untimed["ts"], "ok": untimed["ok"],
+                                "window_start": untimed["ts"], "fixes_before": pd.array([None] * len(untimed), "Int64"),
+                                "allowed": False, "counted": False})
+        pdf = pdf[pdf["t"].notna()].sort_values(["t", "attempt_id"], kind="mergesort")
+        if not len(pdf):
+            return
         if state.exists:
             anchor_us, anchor_ts, count = state.get
         else:
             anchor_us, anchor_ts, count = int(pdf["t"].iloc[0]), pdf["ts"].iloc[0], 0
         starts, before, allowed = [], [], []
-        for t, ts, ok in zip(pdf["t"].tolist(), pdf["ts"].tolist(), pdf["ok"].tolist()):
+        oks = [x is not None and x == x and bool(x) for x in pdf["ok"].tolist()]     # NULL: not successful
+        for t, ts, ok in zip(map(int, pdf["t"].tolist()), pdf["ts"].tolist(), oks):
             if t - anchor_us >= span_us:       # older than the anchor counts as inside the span
                 anchor_us, anchor_ts, count = t, ts, 0
             starts.append(anchor_ts)
@@ -132,7 +145,7 @@ def _limiter(max_n: int, span_us: int):
         state.update((anchor_us, anchor_ts, count))
         yield pd.DataFrame({"key": pdf["key"], "attempt_id": pdf["attempt_id"], "ts": pdf["ts"], "ok": pdf["ok"],
                             "window_start": starts, "fixes_before": before, "allowed": allowed,
-                            "counted": [a and o for a, o in zip(allowed, pdf["ok"].tolist())]})
+                            "counted": [a and o for a, o in zip(allowed, oks)]})
     return fold
 
 
