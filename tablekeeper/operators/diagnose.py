@@ -57,28 +57,34 @@ def upstream_reach(edges: DataFrame, roots: DataFrame, up_depth: int = 3, cut_ev
     return trace(edges, roots, "up", up_depth, include_self=True, cut_every=cut_every)
 
 
+def failing_nodes(results: DataFrame) -> DataFrame:
+    """One row per node with failed results: how many, the first, and the first whose test name classifies.
+
+    A node with a huge number of failures collapses map-side here, before the
+    lineage join copies it to every root that reaches it.
+    """
+    cls = T.classify_issue("test_name")
+    return results.filter((F.col("status") == "Failed") & F.col("node").isNotNull()).groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("test_fqn", "result_id", "test_name", "result")).alias("f"),
+        F.min(F.when(cls != T.ISSUE_UNKNOWN, F.struct("test_fqn", "result_id", cls.alias("cls")))).alias("typed"))
+
+
 def failing_upstream(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
                      reach: DataFrame | None = None) -> DataFrame:
-    """Failed test results of each root's upstream nodes (depth 0 = the root itself)."""
+    """Failing upstream nodes of each root (depth 0 = the root itself), one row per (root, node)."""
     up = reach if reach is not None else upstream_reach(edges, roots, up_depth)
-    failed = results.filter(F.col("status") == "Failed").select(
-        F.col("node").alias("_n"), "test_name", "test_fqn", "result", "result_id")
-    return up.join(failed, up["node"] == failed["_n"], "inner").drop("_n")
+    return up.join(failing_nodes(results), "node", "inner")
 
 
 def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
                reach: DataFrame | None = None) -> DataFrame:
     """Per root: status, failing node and test counts, first failing node and its first test."""
     fu = failing_upstream(results, edges, roots, up_depth, reach)
-    # two-level aggregate: per (root, node) first, then per root - no single-distinct
-    # plan that would send all nodes of a large root to one reducer
-    per_node = fu.groupBy("root", "node").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("depth", "node", "test_fqn", "result_id", "test_name", "result")).alias("f"))
-    per_root = per_node.groupBy("root").agg(
+    per_root = fu.groupBy("root").agg(
         F.count(F.lit(1)).alias("failing_nodes"),
         F.sum("n").alias("failing_results"),
-        F.min("f").alias("first"))
+        F.min(F.struct("depth", "node", "f")).alias("first"))
     r = roots.select("root").distinct()
     j = r.join(per_root, "root", "left")
     return j.select(
@@ -87,17 +93,8 @@ def root_cause(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth:
         F.coalesce("failing_nodes", F.lit(0)).cast("bigint").alias("failing_nodes"),
         F.coalesce("failing_results", F.lit(0)).cast("bigint").alias("failing_results"),
         F.col("first.node").alias("first_node"), F.col("first.depth").alias("first_depth"),
-        F.col("first.test_name").alias("test_name"), F.col("first.test_fqn").alias("test_fqn"),
-        F.col("first.result").alias("result"))
-
-
-def first_node_tests(results: DataFrame, edges: DataFrame, roots: DataFrame, up_depth: int = 3,
-                     reach: DataFrame | None = None) -> DataFrame:
-    """Failing tests of each root's first failing node (the node severity looks at)."""
-    fu = failing_upstream(results, edges, roots, up_depth, reach)
-    first = fu.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("f")).select(
-        "root", F.col("f.node").alias("first_node"))
-    return fu.join(first.withColumnRenamed("first_node", "node"), ["root", "node"], "left_semi")
+        F.col("first.f.test_name").alias("test_name"), F.col("first.f.test_fqn").alias("test_fqn"),
+        F.col("first.f.result").alias("result"))
 
 
 def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: SeverityParams = DEFAULT_SEVERITY,
@@ -110,12 +107,9 @@ def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: Sev
              + min(max_downstream, points * downstream edges), capped at the total.
     not failed: score 0, breakdown NULL.
     """
-    if reach is None:   # read twice below (first node, its tests): write it once
-        reach = materialize(upstream_reach(edges, roots, up_depth, cut_every=0), "severity-reach")
-    tests = first_node_tests(results, edges, roots, up_depth, reach).withColumn("cls", T.classify_issue("test_name"))
-    per_root = tests.groupBy("root").agg(
-        F.count(F.lit(1)).alias("failing_tests_count"),
-        F.min(F.when(F.col("cls") != T.ISSUE_UNKNOWN, F.struct("test_fqn", "result_id", "cls"))).alias("typed"))
+    first = (failing_upstream(results, edges, roots, up_depth, reach).groupBy("root")
+             .agg(F.min(F.struct("depth", "node", "n", "typed")).alias("first")))
+    per_root = first.select("root", F.col("first.n").alias("failing_tests_count"), F.col("first.typed").alias("typed"))
     impact = impact if impact is not None else downstream_impact(edges, roots, down_depth)
     r = roots.select("root").distinct()
     j = r.join(per_root, "root", "left").join(impact, "root", "left")
