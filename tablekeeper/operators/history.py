@@ -71,13 +71,20 @@ def fixes_over_time(h: DataFrame, unit: str = "day") -> DataFrame:
 
 def decide(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """approve -> applied, reject -> closed, no decision -> stays open.
-    decisions: (issue_id, decision); the last decision per issue is expected unique."""
-    d = decisions.select("issue_id", F.lower("decision").alias("decision"))
+    decisions: (issue_id, decision[, decided_at]); the last one of an issue counts."""
+    d = last_decisions(decisions, "issue_id").select("issue_id", "decision")
     j = issues.join(d, "issue_id", "left")
     return j.withColumn("status", F.when(F.col("decision") == "approve", "applied")
                         .when(F.col("decision") == "reject", "closed").otherwise(F.col("status")))
 
 
+def last_decisions(decisions: DataFrame, key: str) -> DataFrame:
+    """The last decision per issue by ``decided_at`` (if there; ties by decision): key, decision (lower case), decided_at."""
+    at = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp_ntz")
+    return (decisions.groupBy(key).agg(F.max(F.struct(at.alias("at"), F.lower("decision").alias("decision"))).alias("d"))
+            .select(key, "d.decision", F.col("d.at").alias("decided_at")))
+
+
 def audit_text(h: DataFrame, issue_cols: dict | None = None) -> DataFrame:
     """A text block per history entry, numbered per table in time order.
 
@@ -115,12 +122,11 @@ def notifications(events: DataFrame, routing: DataFrame) -> DataFrame:
     events: event_id, event_type, table_fqn, test, severity, severity_score,
             issue, column_name, rows_affected, before_nulls, after_nulls, error
     routing: event_type, enabled, team (fix_failed and error share the error team)
-    Disabled and unknown event types produce no message.  The routing table has
-    one row per event kind, so broadcasting it is safe.
+    Disabled and unknown event types produce no message.
     """
     kinds = events.sparkSession.createDataFrame(NOTIFY_KINDS, "event_type string, title string, color int")
     r = routing.filter(F.col("enabled")).join(kinds, "event_type", "inner")
-    j = events.join(F.broadcast(r), "event_type", "inner")
+    j = events.join(r, "event_type", "inner")
     v = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
     n = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     body = (F.when(F.col("event_type") == "issue_detected", F.format_string(
@@ -145,14 +151,14 @@ def tag_columns(columns: DataFrame, fixed: DataFrame, tag: str = DEFAULT_TAG) ->
     fixed column missing from the catalogue (status 'column not found').
     """
     f = fixed.select("table_fqn", "column").distinct().withColumn("_fixed", F.lit(True))
-    j = columns.join(f, ["table_fqn", "column"], "full_outer")
+    j = columns.withColumn("_catalogued", F.lit(True)).join(f, ["table_fqn", "column"], "full_outer")
+    none = F.array().cast(columns.schema["tags"].dataType)
     new = F.struct(F.lit(tag).alias("tagFQN"), F.lit("Classification").alias("source"),
                    F.lit("Manual").alias("labelType"))
-    present = F.exists(F.coalesce("tags", F.array().cast(columns.schema["tags"].dataType)),
-                       lambda t: t["tagFQN"] == F.lit(tag))
+    present = F.exists(F.coalesce("tags", none), lambda t: t["tagFQN"] == F.lit(tag))
     fixed_col = F.coalesce("_fixed", F.lit(False))
-    in_cat = F.col("tags").isNotNull()
-    tags = F.when(fixed_col & in_cat & ~present, F.array_append("tags", new)).otherwise(F.col("tags"))
+    in_cat = F.coalesce("_catalogued", F.lit(False))      # a catalogued column may have no tag list: then it is empty
+    tags = F.when(fixed_col & in_cat & ~present, F.array_append(F.coalesce("tags", none), new)).otherwise(F.col("tags"))
     status = (F.when(~in_cat, "column not found").when(~fixed_col, "unchanged")
               .when(present, "already tagged").otherwise("tagged"))
     return j.select("table_fqn", "column", tags.alias("tags"), status.alias("status"))

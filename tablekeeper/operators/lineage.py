@@ -16,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekeeper.functions.text import last_part
 from tablekeeper.session import materialize
 
 _CUT_EVERY = 2
+UNKNOWN_TYPE = "UNKNOWN"
+
 
 def trace(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int = 2,
           src: str = "src", dst: str = "dst", root_col: str = "root", include_self: bool = False,
@@ -108,10 +111,13 @@ def lineage_graph(center: DataFrame, nodes: DataFrame, up_edges: DataFrame, down
     (from -> center, 'data flow'), downstream (center -> to, 'impacts');
     duplicate (from, to) pairs keep the first label.
     """
-    nmap = nodes.select("center", F.col("id").alias("nid"), F.col("fqn").alias("nfqn"),
-                        F.col("name").alias("nname"), F.col("type").alias("ntype"))
-    c = center.select("center", F.col("center_fqn").alias("fqn"), F.col("center_name").alias("label"),
-                      F.col("center_type").alias("type"), F.lit(True).alias("is_center"),
+    # a node without a full name goes by its id, one without a name by the last part of its full name
+    fqn = F.coalesce("fqn", F.col("id").cast("string"))
+    nmap = nodes.select("center", F.col("id").alias("nid"), fqn.alias("nfqn"), F.coalesce("name", last_part(fqn)).alias("nname"),
+                        F.coalesce("type", F.lit(UNKNOWN_TYPE)).alias("ntype"))
+    cfqn = F.coalesce("center_fqn", F.col("center").cast("string"))
+    c = center.select("center", cfqn.alias("fqn"), F.coalesce("center_name", last_part(cfqn)).alias("label"),
+                      F.coalesce("center_type", F.lit(UNKNOWN_TYPE)).alias("type"), F.lit(True).alias("is_center"),
                       F.lit("center").alias("direction"), F.lit(0).alias("rank"))
     up = (up_edges.select("center", F.col("from_id").alias("nid")).join(nmap, ["center", "nid"])
           .select("center", F.col("nfqn").alias("fqn"), F.col("nname").alias("label"),
@@ -136,7 +142,7 @@ def lineage_graph(center: DataFrame, nodes: DataFrame, up_edges: DataFrame, down
     node_table = first.select("center", F.col("fqn").alias("id"), F.col("f.label").alias("label"),
                               F.col("f.type").alias("type"), F.col("f.is_center").alias("is_center"),
                               F.col("f.direction").alias("direction"))
-    cf = center.select("center", F.col("center_fqn").alias("cfqn"))
+    cf = center.select("center", cfqn.alias("cfqn"))
     e_up = (up.select("center", F.col("fqn").alias("from")).join(cf, "center")
             .select("center", "from", F.col("cfqn").alias("to"), F.lit("data flow").alias("label"),
                     F.lit(0).alias("rank")))
