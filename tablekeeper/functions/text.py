@@ -179,7 +179,7 @@ def fix_sql_part(text: Column | str) -> Column:
     head = F.regexp_replace(head, r"(?s)^" + chain + r"(.*?)" + WS_CLASS + "*$", "$1")
     kw = "|".join(SQL_KEYWORDS)
     pos = F.regexp_instr(head, F.lit(rf"(?i)\b({kw})\b"))
-    return F.when(pos > 0, strip_ws(F.substring(head, pos, 1 << 30))).otherwise(head)
+    return F.when(pos > 0, strip_ws(F.substr(head, pos))).otherwise(head)
 
 
 def _re_quote(s: str) -> str:

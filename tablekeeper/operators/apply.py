@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +60,18 @@ def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str) -
         affected = n.first()["rows_affected"]
         after = table.commit(out)
         row = (name, before, after, True, int(affected), f"Fix applied: {affected} rows affected")
-    except Exception as e:  # noqa: BLE001 - reported as a failed result, old version stays current
-        row = (name, before, before, False, 0, f"Fix failed: {type(e).__name__}")
+    except (AnalysisException, NumberFormatException, ArithmeticException, IllegalArgumentException, ValueError, KeyError) as e:
+        # the fix itself is wrong: reported, the old version stays current; a lost executor or store raises
+        row = (name, before, before, False, 0, f"Fix failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
     return spark.createDataFrame([row], RESULT_SCHEMA)
 
 
 def rollback(spark: SparkSession, table: VersionedTable, to_version: int, id_col: str, columns: list[str],
              name: str) -> DataFrame:
-    """Restore ``to_version``; rows_restored = rows that differ between the two versions."""
+    """Restore ``to_version``; rows_restored = rows that differ between the two versions, with those that
+    only one of them has (a removed duplicate comes back)."""
     current = table.current()
-    changed = fixes.before_after(table.read(current), table.read(to_version), id_col, columns)
-    restored = changed.count()
+    restored = fixes.changed_rows(table.read(current), table.read(to_version), id_col, columns).count()
     table.restore(to_version)
     return spark.createDataFrame([(name, current, to_version, True, restored, "reverted")],
                                  schemas.ROLLBACK_RESULT)

@@ -81,12 +81,11 @@ def suggest_fix(issues: DataFrame, rules: DataFrame) -> DataFrame:
     """One suggestion per failed issue from the rule table (joined on issue type).
 
     issues: (issue_id, table_fqn, test, issue, issue_type, issue_column, status)
-    rules:  (issue_type, template, confidence_score, hours_saved) - a fixed table
-    of a handful of rows; broadcast is safe because its size does not grow
-    with the data.
+    rules:  (issue_type, template, confidence_score, hours_saved); Spark picks the
+    join by the table's measured size.
     """
     failed = issues.filter(F.col("status") == "failed")
-    j = failed.join(F.broadcast(rules), "issue_type", "left")
+    j = failed.join(rules, "issue_type", "left")
     table = F.regexp_replace(F.col("table_fqn"), r"^.*\.([^.]+\.[^.]+)$", "$1")
     sql = F.replace(F.replace(F.col("template"), F.lit("{table}"), F.col("table_fqn")), F.lit("{column}"),
                     F.col("issue_column"))
@@ -134,6 +133,14 @@ def before_after(before: DataFrame, after: DataFrame, id_col: str, columns: list
     return j.filter(changed).withColumnRenamed("_id", id_col)
 
 
+def changed_rows(before: DataFrame, after: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Ids whose values in ``columns`` differ between two versions, or that only one version has."""
+    side = lambda df, p: df.select(F.col(id_col).alias(f"{p}_id"), F.struct(*columns).alias(f"{p}_v"), F.lit(True).alias(f"{p}_in"))
+    j = side(before, "b").join(side(after, "a"), F.col("b_id").eqNullSafe(F.col("a_id")), "full_outer")
+    return j.filter(F.col("b_in").isNull() | F.col("a_in").isNull() | ~F.col("b_v").eqNullSafe(F.col("a_v"))).select(
+        F.coalesce("b_id", "a_id").alias(id_col))
+
+
 def fix_impact(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """Nulls before/after, their difference, % reduction (1 decimal, only when
     there were nulls) and row counts - one aggregate per version."""

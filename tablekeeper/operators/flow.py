@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from tablekeeper.functions import text as T
 from tablekeeper.operators import checks, fixes, history
 from tablekeeper.operators.checks import Rule
 from tablekeeper.operators.ratelimit import MAX_FIXES_PER_HOUR, SPAN_SECONDS, rate_limit
+from tablekeeper.session import materialize
 from tablekeeper.sources.versions import VersionedTable
 
 FLOW_HISTORY = ("fixed_at timestamp_ntz, table_fqn string, test string, action string, column_name string, "
@@ -35,22 +37,35 @@ def _issues(spark: SparkSession, current: DataFrame, table_fqn: str, columns: li
                       F.col("failed_rows").alias("before_nulls"))
 
 
+def fill_value(df: DataFrame, column: str):
+    """What NULLs of the column become, by its type; None where there is no such value."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, StringType):
+        return fixes.DEFAULT_FILL
+    return 0 if isinstance(kind, NumericType) else None
+
+
 def approve_and_apply(spark: SparkSession, table: VersionedTable, table_fqn: str, columns: list[str],
                       decisions: DataFrame, rules: DataFrame, max_n: int = MAX_FIXES_PER_HOUR,
                       span_seconds: int = SPAN_SECONDS, history_path: str | None = None) -> DataFrame:
     """Run the flow; return (and optionally append) one history row per decided fix.
 
     decisions: (test, decision, decided_at) - 'approve' / 'reject' per issue test FQN.
-    Approved fixes of the table are rate limited per table in decision order;
-    blocked ones are recorded with ``allowed`` false and change nothing.
+    Of several decisions on an issue the last one by time counts.  Approved
+    fixes of the table are rate limited per table in decision order; blocked
+    ones are recorded with ``allowed`` false and change nothing.  A column whose
+    type has no fill value is reported as not fixable.
     """
     before_v = table.current()
     current = table.read(before_v)
     issues = _issues(spark, current, table_fqn, columns)
     sugg = fixes.suggest_fix(issues, rules).select("issue_id", "fix_sql")
-    dec = decisions.select("test", F.lower("decision").alias("decision"), "decided_at")
-    decided = (issues.filter(F.col("status") == "failed").join(sugg, "issue_id", "left").join(dec, "test", "inner"))
-    approved = decided.filter(F.col("decision") == "approve")
+    dec = history.last_decisions(decisions, "test")
+    decided = materialize(issues.filter(F.col("status") == "failed").join(sugg, "issue_id", "left").join(dec, "test", "inner"),
+                          "flow-decided")
+    fills = {c: fill_value(current, c) for c in columns}
+    fixable = F.col("issue_column").isin([c for c, v in fills.items() if v is not None])
+    approved = decided.filter((F.col("decision") == "approve") & fixable)
     attempts = approved.select(F.col("table_fqn").alias("key"), F.col("decided_at").alias("ts"),
                                F.col("issue_id").alias("attempt_id"), F.lit(True).alias("ok"))
     limited = rate_limit(attempts, max_n=max_n, span_seconds=span_seconds).select(
@@ -63,22 +78,24 @@ def approve_and_apply(spark: SparkSession, table: VersionedTable, table_fqn: str
     if fill_cols:
         repaired = current
         for c in fill_cols:
-            repaired = fixes.fill_nulls(repaired, c, fixes.DEFAULT_FILL)
+            repaired = fixes.fill_nulls(repaired, c, fills[c])
         after_v = table.commit(repaired)
     after = table.read(after_v)
     after_nulls = checks.fused_row_checks(after, table_fqn, [Rule("not_null", c, f"{c}_not_null") for c in columns]) \
         .select(F.col("test_fqn").alias("test"), F.col("failed_rows").alias("after_nulls"))
     rows = (decided.join(limited, "issue_id", "left").join(after_nulls, "test", "left")
             .select(F.col("decided_at").cast("timestamp_ntz").alias("fixed_at"), "table_fqn", "test",
-                    F.when(F.col("decision") == "approve", "approved").otherwise("rejected").alias("action"),
+                    F.when(F.col("decision") != "approve", "rejected").when(~fixable, "not fixable").otherwise("approved")
+                    .alias("action"),
                     F.col("issue_column").alias("column_name"), "fix_sql",
                     F.coalesce("allowed", F.lit(False)).alias("allowed"),
                     F.col("before_nulls").cast("bigint").alias("before_nulls"),
                     F.col("after_nulls").cast("bigint").alias("after_nulls"),
-                    (F.col("before_nulls") - F.col("after_nulls")).cast("bigint").alias("rows_affected"),
+                    F.when(F.coalesce("allowed", F.lit(False)), F.col("before_nulls") - F.col("after_nulls")).otherwise(0)
+                    .cast("bigint").alias("rows_affected"),
                     F.lit(before_v).cast("int").alias("version_before"),
                     F.lit(after_v).cast("int").alias("version_after")))
+    rows = materialize(rows, "flow-rows")
     if history_path:
         history.append_history(rows, history_path)
-        return spark.read.parquet(history_path).drop("fix_date")
     return rows

@@ -4,8 +4,8 @@ The library never creates hidden sessions inside operators; callers pass a
 ``SparkSession``.  ``get_spark`` is only a convenience for tests, the bench
 and the command line.  ``shared_dir`` resolves the folder that holds
 checkpoints and written intermediate tables: the cluster's
-``spark.checkpoint.dir`` when it is set, and a fresh scratch folder only when
-it is not (local runs and tests).
+``spark.checkpoint.dir`` when it is set; a fresh scratch folder in local runs
+and tests only, and an error on a cluster that names none.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tk-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

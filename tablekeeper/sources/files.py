@@ -50,14 +50,18 @@ def inline_rows(spark: SparkSession, rows: list, schema: T.StructType | str) ->
 
 def append_to(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """INSERT INTO ... SELECT by column name: when the target exists its columns
-    (and order) win; columns the source lacks are written as NULL."""
+    (and order) win; columns the source lacks are written as NULL.  A source
+    column that the target lacks is an error, and so is a target that is there
+    but can't be read."""
     spark = df.sparkSession
-    try:
-        target = spark.read.format(fmt).load(path).schema
-    except Exception:  # noqa: BLE001 - no target yet: first append creates it
-        target = None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    target = spark.read.format(fmt).load(path).schema if there else None
     if target is not None:
         have = set(df.columns)
+        extra = have - {f.name for f in target.fields}
+        if extra:
+            raise ValueError(f"{path} has no column {', '.join(sorted(extra))}")
         df = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
                          for f in target.fields])
     df.write.mode("append").format(fmt).save(path)

@@ -1,22 +1,27 @@
 """Versioned tables: row changes without UPDATE.
 
-A table lives under ``<root>/v=<n>/`` (parquet) with a pointer file
-``<root>/_CURRENT`` holding the current version number.  A change writes a
-complete new version, verifies it, and only then moves the pointer (write a
-temporary pointer file, rename it over the old one).  A failed write leaves
-the old version current; readers never see a half-written version; rollback
-is a pointer move back to an older version, whose files are never touched.
-
-The pointer is read and written through the Hadoop FileSystem of the
+A table lives under ``<root>/v=<n>/`` (parquet).  Which version is current is
+told by pointer files ``<root>/_pointers/<k>-v<n>``: each move adds one, empty
+and never changed, and the highest k counts.  Creating a file is one step, so a
+crash at any moment leaves the old version or the new one current, never none.
+A change writes a complete new version, verifies its row count, and only then
+adds the pointer.  Readers never see a half-written version; rollback is a new
+pointer to an older version, whose files are never touched.
+
+Pointers are listed and created through the Hadoop FileSystem of the
 session, so the same code works on a local disk, HDFS or an object store.
 Single writer per table is assumed.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+_POINTER = re.compile(r"(\d+)-v(\d+)")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -25,47 +30,32 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
-    finally:
-        stream.close()
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
-
-
 @dataclass
 class VersionedTable:
     spark: SparkSession
     root: str
 
     @property
-    def pointer(self) -> str:
-        return f"{self.root.rstrip('/')}/_CURRENT"
+    def pointers(self) -> str:
+        return f"{self.root.rstrip('/')}/_pointers"
+
+    def _moves(self) -> list[tuple[int, int]]:
+        """(move, version) of all pointers, in order."""
+        fs, p = _fs(self.spark, self.pointers)
+        names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(m[1]), int(m[2])) for m in map(_POINTER.fullmatch, names) if m)
+
+    def _point_to(self, version: int) -> None:
+        moves = self._moves()
+        fs, p = _fs(self.spark, f"{self.pointers}/{(moves[-1][0] if moves else 0) + 1}-v{version}")
+        fs.create(p, False).close()      # fails if another writer made the same move
 
     def version_path(self, n: int) -> str:
         return f"{self.root.rstrip('/')}/v={n}"
 
     def current(self) -> int | None:
-        t = _read_text(self.spark, self.pointer)
-        return int(t) if t else None
+        moves = self._moves()
+        return moves[-1][1] if moves else None
 
     def latest_written(self) -> int:
         fs, p = _fs(self.spark, self.root)
@@ -85,15 +75,20 @@ class VersionedTable:
         return self.spark.read.parquet(self.version_path(v))
 
     def commit(self, df: DataFrame, expected_rows: int | None = None) -> int:
-        """Write ``df`` as the next version, verify the row count, then swap the pointer."""
+        """Write ``df`` as the next version, verify its row count, then move the pointer.
+
+        The count is that of the rows handed to the write, observed as they
+        pass, or ``expected_rows`` where the caller knows it.
+        """
         n = self.latest_written() + 1
         path = self.version_path(n)
-        df.write.mode("errorifexists").parquet(path)
-        if expected_rows is not None:
-            got = self.spark.read.parquet(path).count()
-            if got != expected_rows:
-                raise RuntimeError(f"version {n} of {self.root} has {got} rows, expected {expected_rows}")
-        _write_text(self.spark, self.pointer, str(n))
+        seen = Observation(f"version-{n}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        want = seen.get["rows"] if expected_rows is None else expected_rows
+        got = self.spark.read.parquet(path).count()
+        if got != want:
+            raise RuntimeError(f"version {n} of {self.root} has {got} rows, expected {want}")
+        self._point_to(n)
         return n
 
     def restore(self, version: int) -> int:
@@ -101,7 +96,7 @@ class VersionedTable:
         fs, p = _fs(self.spark, self.version_path(version))
         if not fs.exists(p):
             raise FileNotFoundError(self.version_path(version))
-        _write_text(self.spark, self.pointer, str(version))
+        self._point_to(version)
         return version
 
 
