@@ -8,13 +8,15 @@ numbers of the result row.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekeeper import schemas
-from tablekeeper.operators import fixes
+from tablekeeper.operators import fixes, history
 from tablekeeper.sources.versions import VersionedTable
 
 RESULT_SCHEMA = schemas.FIX_RESULT
@@ -67,11 +69,21 @@ def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str) -
 
 
 def rollback(spark: SparkSession, table: VersionedTable, to_version: int, id_col: str, columns: list[str],
-             name: str) -> DataFrame:
+             name: str, entry: dict | None = None, history_path: str | None = None) -> DataFrame:
     """Restore ``to_version``; rows_restored = rows that differ between the two versions, with those that
-    only one of them has (a removed duplicate comes back)."""
+    only one of them has (a removed duplicate comes back).
+
+    With ``history_path`` the history gets an entry with action 'reverted' and
+    its time; ``entry`` names the fix that is taken back (fields of
+    ``schemas.HISTORY_ENTRY``).
+    """
     current = table.current()
     restored = fixes.changed_rows(table.read(current), table.read(to_version), id_col, columns).count()
     table.restore(to_version)
+    if history_path:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        own = {"table_fqn": name, **(entry or {}), "action": "reverted", "reverted_at": now, "fixed_at": now, "rows_affected": restored}
+        fields = T._parse_datatype_string(schemas.HISTORY_ENTRY).names
+        history.append_history(spark.createDataFrame([tuple(own.get(f) for f in fields)], schemas.HISTORY_ENTRY), history_path)
     return spark.createDataFrame([(name, current, to_version, True, restored, "reverted")],
                                  schemas.ROLLBACK_RESULT)

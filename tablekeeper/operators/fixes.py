@@ -100,15 +100,25 @@ def suggest_fix(issues: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def parse_responses(df: DataFrame, text_col: str) -> DataFrame:
-    """Batch parse of generated answers: SQL part and the three metrics."""
+def parse_responses(df: DataFrame, text_col: str, null_count: str | None = None) -> DataFrame:
+    """Batch parse of generated answers: SQL part and the three metrics.
+
+    ``null_count`` names the column with the null count of the issue's column:
+    an answer without a metrics block is then estimated from it, as in
+    ``fix_estimates`` (rows = nulls, hours = max(1, nulls div 100)).
+    """
     t = F.col(text_col)
     block = T.metric_block(t)
+    metric = {k: T.metric_from_block(t, block, k) for k in T.METRIC_KEYS}
+    if null_count:
+        n = F.coalesce(F.col(null_count).cast("bigint"), F.lit(0).cast("bigint"))
+        for k, v in (("expected_rows_affected", n), ("hours_saved", F.greatest(F.lit(1).cast("bigint"), (n / 100).cast("bigint")))):
+            metric[k] = F.when(T.has_metrics(t), metric[k]).otherwise(v)
     return df.select(
         *df.columns,
         T.fix_sql_part(t).alias("fix_sql"),
         T.has_metrics(t).alias("has_metrics"),
-        *[T.metric_from_block(t, block, k).alias(k) for k in T.METRIC_KEYS],
+        *[c.alias(k) for k, c in metric.items()],
     )
 
 

@@ -3,7 +3,9 @@ text, notifications and column tags.
 
 History rows (``fix_history``): fix_id, fixed_at, table_fqn, table_key,
 rows_affected, ai_generated, hours_saved (NULL = unknown), before_nulls,
-after_nulls, severity_score.
+after_nulls, severity_score; full entries (``schemas.HISTORY_ENTRY``) also have
+action, reverted_at, issue, test, column_name, fix_sql, confidence_score, model
+and nested before / after metrics.
 """
 
 from __future__ import annotations
@@ -52,9 +54,11 @@ def running_hours(h: DataFrame) -> DataFrame:
 
 
 def fix_timeline(h: DataFrame, action: str = "approved") -> DataFrame:
-    """Entries newest first; timestamp as its first 19 ISO characters."""
+    """Entries newest first; timestamp as its first 19 ISO characters.  The action is the entry's own
+    (approved, rejected, reverted) where entries have one, else ``action``."""
+    act = F.coalesce("action", F.lit("")) if "action" in h.columns else F.lit(action or "")
     return (h.select(F.date_format("fixed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "table_fqn",
-                     F.upper(F.coalesce(F.lit(action), F.lit(""))).alias("action"), "rows_affected", "fix_id",
+                     F.upper(act).alias("action"), "rows_affected", "fix_id",
                      "fixed_at")
             .orderBy(F.desc("fixed_at"), F.desc("fix_id")).drop("fixed_at"))
 
@@ -85,8 +89,13 @@ def last_decisions(decisions: DataFrame, key: str) -> DataFrame:
             .select(key, "d.decision", F.col("d.at").alias("decided_at")))
 
 
-def audit_text(h: DataFrame, issue_cols: dict | None = None) -> DataFrame:
-    """A text block per history entry, numbered per table in time order.
+#: fixed values: audit lines of full entries, by column
+AUDIT_LINES = [("issue", "Issue"), ("test", "Test"), ("fix_sql", "Fix SQL"), ("confidence_score", "Confidence"),
+               ("model", "Model")]
+
+
+def audit_text(h: DataFrame) -> DataFrame:
+    """A text block per history entry, numbered per table in time order; full entries add their own lines.
 
     The per-table document is these blocks in (table, seq) order; they are
     left as rows instead of being concatenated into one string, so a table
@@ -104,7 +113,15 @@ def audit_text(h: DataFrame, issue_cols: dict | None = None) -> DataFrame:
         F.coalesce(F.col("before_nulls").cast("string"), na),
         F.coalesce(F.col("after_nulls").cast("string"), na),
         F.when(F.col("ai_generated"), "yes").otherwise("no"))
-    return s.select("table_fqn", "seq", "fix_id", block.alias("audit"))
+    more = [F.concat(F.lit(f"\n- {label}: "), F.coalesce(F.col(c).cast("string"), na)) for c, label in AUDIT_LINES if c in h.columns]
+    return s.select("table_fqn", "seq", "fix_id", F.concat(block, *more).alias("audit"))
+
+
+def audit_document(h: DataFrame) -> DataFrame:
+    """One document per table: its blocks in order, parted by a blank line (for tables whose history fits a value)."""
+    return (audit_text(h).groupBy("table_fqn").agg(F.sort_array(F.collect_list(F.struct("seq", "fix_id", "audit"))).alias("b"))
+            .select("table_fqn", F.size("b").cast("bigint").alias("entries"),
+                    F.array_join(F.transform("b", lambda x: x["audit"]), "\n\n").alias("document")))
 
 
 # Notification kinds (title, colour) and default routing.

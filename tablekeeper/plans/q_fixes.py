@@ -170,6 +170,18 @@ def q_parse_responses(spark, d):
     return fixes.parse_responses(answers(spark, d), "answer")
 
 
+@query("parse_responses_fallback", oracle=f"""
+SELECT answer_id, nulls, confidence_score,
+  CASE WHEN has_metrics THEN expected_rows_affected ELSE nulls END AS expected_rows_affected,
+  CASE WHEN has_metrics THEN hours_saved WHEN nulls // 100 < 1 THEN 1 ELSE nulls // 100 END AS hours_saved
+FROM (SELECT *, answer_id % 1000 AS nulls FROM {PARSED_SQL} p) q""")
+def q_parse_responses_fallback(spark, d):
+    """Answers without a metrics block are estimated from the null count of their issue's column."""
+    a = answers(spark, d).withColumn("nulls", (F.col("answer_id") % 1000).cast("bigint"))
+    return fixes.parse_responses(a, "answer", null_count="nulls").select(
+        "answer_id", "nulls", "confidence_score", "expected_rows_affected", "hours_saved")
+
+
 @query("rewrite_fqn", oracle=f"""
 SELECT answer_id, fix_sql, regexp_replace(fix_sql, '{T.FOUR_PART_NAME}', '\\3.\\4', 'g') AS executable_sql
 FROM {PARSED_SQL} p""")
@@ -237,6 +249,24 @@ def q_rollback(spark, d):
     return rollback(spark, vt, 1, "c_custkey", ["email"], "customer")
 
 
+@query("rollback_dedupe", oracle="""
+SELECT 'orders' AS table_name, 2 AS version_before, 1 AS version_after, true AS success,
+  (SELECT count(*) FROM orders) - (SELECT count(DISTINCT o_custkey) FROM orders) AS rows_restored, 'reverted' AS action,
+  'reverted' AS history_action, true AS history_time,
+  (SELECT count(*) FROM orders) - (SELECT count(DISTINCT o_custkey) FROM orders) AS history_rows""")
+def q_rollback_dedupe(spark, d):
+    """Taking a de-duplication back restores the removed rows, counts them and writes a 'reverted' entry."""
+    vt = VersionedTable(spark, shared_dir(spark, "order-versions"))
+    vt.commit(table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    apply_fix(spark, vt, Fix("dedupe", "o_custkey", keys=["o_custkey"], id_col="o_orderkey"), "orders").collect()
+    path = shared_dir(spark, "revert-history")
+    out = rollback(spark, vt, 1, "o_orderkey", ["o_custkey"], "orders", {"test": "orders_unique"}, path)
+    h = spark.read.parquet(path)
+    return out.join(
+        h.select(F.col("table_fqn").alias("table_name"), F.col("action").alias("history_action"),
+                 F.col("reverted_at").isNotNull().alias("history_time"), F.col("rows_affected").alias("history_rows")), "table_name")
+
+
 # ---------------------------------------------------------------- approve-and-apply flow
 FLOW_TABLE = "svc.db.mart.customer"
 FLOW_COLUMNS = ["c_custkey", "c_name", "email"]

@@ -37,6 +37,61 @@ def q_running_hours(spark, d):
     return H.running_hours(S.fix_history_input(spark, d))
 
 
+@query("running_nulls", oracle=f"""
+SELECT fix_id, table_key, fixed_at, CAST(row_number() OVER w AS BIGINT) AS fixes_so_far,
+  CAST(sum(coalesce(hours_saved, 2)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hours_so_far
+FROM (SELECT fix_id, hours_saved, CASE WHEN fix_id % 7 = 0 THEN NULL ELSE table_key END AS table_key,
+        CASE WHEN fix_id % 11 = 0 THEN NULL ELSE fixed_at END AS fixed_at FROM {FH} h) x
+WINDOW w AS (PARTITION BY table_key ORDER BY fixed_at NULLS FIRST, fix_id)""")
+def q_running_nulls(spark, d):
+    """Running totals over a history with NULL keys and times: no row is lost."""
+    h = S.fix_history_input(spark, d)
+    return H.running_hours(h.withColumns({"table_key": F.when(F.col("fix_id") % 7 != 0, F.col("table_key")),
+                                          "fixed_at": F.when(F.col("fix_id") % 11 != 0, F.col("fixed_at"))}))
+
+
+def full_entries(spark, d):
+    """Full history entries of all events: errors stand for reverts."""
+    e = table(spark, d, "events")
+    test = F.element_at(F.array(*[F.lit(x) for x in S.TEST_NAMES]), (F.col("event_id") % 4 + 1).cast("int"))
+    nulls = F.floor("value").cast("bigint")
+    return e.select(
+        F.col("event_id").alias("fix_id"), F.col("ts").alias("fixed_at"), F.format_string("svc.db.mart.t%d", "user_id").alias("table_fqn"),
+        F.col("user_id").alias("table_key"), nulls.alias("rows_affected"), F.lit(False).alias("ai_generated"),
+        F.lit(2).alias("hours_saved"), (F.col("event_id") % 101).cast("int").alias("severity_score"),
+        F.when(F.col("event_type") == "error", "reverted").otherwise("approved").alias("action"),
+        F.when(F.col("event_type") == "error", F.col("ts")).alias("reverted_at"),
+        F.format_string("Found %d rows failing", nulls).alias("issue"), test.alias("test"), F.lit("email").alias("column_name"),
+        F.when(F.col("event_id") % 5 != 0, F.format_string("UPDATE t%d", "user_id")).alias("fix_sql"),
+        F.when(F.col("event_id") % 3 != 0, F.lit(92)).alias("confidence_score"), F.lit("rules").alias("model"),
+        F.struct(F.lit(None).cast("bigint").alias("rows"), nulls.alias("nulls")).alias("before"),
+        F.struct(F.lit(None).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("nulls")).alias("after"))
+
+
+@query("fix_timeline_actions", oracle="""
+SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'svc.db.mart.t' || CAST(user_id AS VARCHAR) AS table_fqn,
+  CASE WHEN event_type = 'error' THEN 'REVERTED' ELSE 'APPROVED' END AS action, CAST(floor(value) AS BIGINT) AS rows_affected,
+  event_id AS fix_id FROM events ORDER BY ts DESC, event_id DESC""")
+def q_fix_timeline_actions(spark, d):
+    return H.fix_timeline(full_entries(spark, d))
+
+
+@query("audit_document", oracle="""
+WITH e AS (SELECT *, 'svc.db.mart.t' || CAST(user_id AS VARCHAR) AS fqn, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS n,
+             event_id % 101 AS s FROM events),
+b AS (SELECT fqn, ts, event_id, 'Fix - ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || '- Table: ' || fqn || chr(10) || '- Severity: ' ||
+  CASE WHEN s >= 70 THEN 'HIGH' WHEN s >= 40 THEN 'MEDIUM' ELSE 'LOW' END || ' (' || CAST(s AS VARCHAR) || '/100)' || chr(10) ||
+  '- Impact: ' || n || ' rows affected' || chr(10) || '- Before: ' || n || ' nulls' || chr(10) || '- After: 0 nulls' || chr(10) ||
+  '- Generated: no' || chr(10) || '- Issue: Found ' || n || ' rows failing' || chr(10) || '- Test: ' ||
+  ['email_not_null','id_duplicate_check','phone_format_check','row_count'][event_id % 4 + 1] || chr(10) || '- Fix SQL: ' ||
+  CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE 'UPDATE t' || CAST(user_id AS VARCHAR) END || chr(10) || '- Confidence: ' ||
+  CASE WHEN event_id % 3 = 0 THEN 'N/A' ELSE '92' END || chr(10) || '- Model: rules' AS audit FROM e)
+SELECT fqn AS table_fqn, count(*) AS entries, string_agg(audit, chr(10) || chr(10) ORDER BY ts, event_id) AS document FROM b GROUP BY fqn""")
+def q_audit_document(spark, d):
+    h = full_entries(spark, d)
+    return H.audit_document(h.withColumns({"before_nulls": F.col("before.nulls"), "after_nulls": F.col("after.nulls")}))
+
+
 @query("fix_timeline", oracle=f"""
 SELECT strftime(fixed_at, '%Y-%m-%dT%H:%M:%S') AS timestamp, table_fqn, 'APPROVED' AS action, rows_affected, fix_id
 FROM {FH} h ORDER BY fixed_at DESC, fix_id DESC""")

@@ -22,13 +22,13 @@ LIMIT_MAX, LIMIT_SPAN = 2, 86400
 ARRIVAL_BATCHES = 6
 
 
-def _limit_sql(max_n: int, span_s: int) -> str:
+def _limit_sql(max_n: int, span_s: int, source: str = S.FIX_ATTEMPTS_SQL) -> str:
     span = span_s * 1_000_000
     reset = f"(a.t - s.anchor_t >= {span})"
     c = f"(CASE WHEN {reset} THEN 0 ELSE s.after END)"
     return f"""
 WITH RECURSIVE a AS (SELECT key, ts, attempt_id, ok, epoch_us(ts) AS t,
-                       row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM {S.FIX_ATTEMPTS_SQL} x),
+                       row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM {source} x),
 s AS (SELECT key, rn, attempt_id, ts, ok, t AS anchor_t, ts AS anchor_ts, CAST(0 AS BIGINT) AS before,
              (0 < {max_n}) AS allowed, CAST(CASE WHEN ok AND 0 < {max_n} THEN 1 ELSE 0 END AS BIGINT) AS after
       FROM a WHERE rn = 1
@@ -46,6 +46,28 @@ def q_rate_limit(spark, d):
     return rate_limit(S.fix_attempts(spark, d), max_n=LIMIT_MAX, span_seconds=LIMIT_SPAN)
 
 
+# attempts with NULL keys, times and flags; the recursion runs over keys made non-NULL
+NULLS_SQL = f"""(SELECT CASE WHEN attempt_id % 13 = 0 THEN -1 ELSE key END AS key, ts, attempt_id,
+  coalesce(CASE WHEN attempt_id % 17 = 0 THEN NULL ELSE ok END, false) AS ok FROM {S.FIX_ATTEMPTS_SQL} y
+  WHERE attempt_id % 11 <> 0)"""
+
+
+def attempts_with_nulls(spark, d):
+    i = F.col("attempt_id")
+    return S.fix_attempts(spark, d).select(F.when(i % 13 != 0, F.col("key")).alias("key"), F.when(i % 11 != 0, F.col("ts")).alias("ts"),
+                                           "attempt_id", F.when(i % 17 != 0, F.col("ok")).alias("ok"))
+
+
+@query("rate_limit_nulls", oracle=f"""
+SELECT nullif(key, -1) AS key, attempt_id, ts, CASE WHEN attempt_id % 17 = 0 THEN NULL ELSE ok END AS ok, window_start,
+  fixes_before, allowed, counted FROM ({_limit_sql(LIMIT_MAX, LIMIT_SPAN, NULLS_SQL)}) z
+UNION ALL SELECT CASE WHEN attempt_id % 13 = 0 THEN NULL ELSE key END, attempt_id, NULL,
+  CASE WHEN attempt_id % 17 = 0 THEN NULL ELSE ok END, NULL, NULL, false, false FROM {S.FIX_ATTEMPTS_SQL} x
+  WHERE attempt_id % 11 = 0""")
+def q_rate_limit_nulls(spark, d):
+    return rate_limit(attempts_with_nulls(spark, d), max_n=LIMIT_MAX, span_seconds=LIMIT_SPAN)
+
+
 def _arrive(spark, df, ts):
     """The table as a stream arriving in time order: time-ranged files; a
     micro-batch takes as many consecutive files as the input has scan splits
