@@ -176,8 +176,8 @@ def q_diagnosis_text(spark, d):
 
 
 def messages(spark, d):
-    """Generated answers: some quoted, some behind a lead-in phrase, some plain."""
-    c = table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    """All turns as generated answers: some quoted, some behind a lead-in phrase, some plain."""
+    c = table(spark, d, "conversations")
     k = F.col("conv_id") % 3
     msg = (F.when(k == 0, F.concat(F.lit("Here is a specific, detailed explanation of the data quality issue: "),
                                    F.col("text"), F.lit("  ")))
@@ -189,7 +189,7 @@ def messages(spark, d):
 MESSAGES_SQL = """(SELECT conv_id, turn, CASE conv_id % 3
     WHEN 0 THEN 'Here is a specific, detailed explanation of the data quality issue: ' || text || '  '
     WHEN 1 THEN 'Answer: "' || text || '" - done'
-    ELSE ' "' || text END AS message FROM conversations WHERE role = 'assistant')"""
+    ELSE ' "' || text END AS message FROM conversations)"""
 
 
 def _strip_sql(x: str) -> str:

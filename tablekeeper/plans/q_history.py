@@ -201,8 +201,8 @@ def tag_inputs(spark, d):
     cols = (tr.select("table_fqn", F.split_part("test_fqn", F.lit("."), F.lit(5)).alias("column")).distinct()
             .withColumn("tags", F.when(F.col("column") == "customer_id", F.array(F.struct(
                 F.lit("PII.Sensitive").alias("tagFQN"), F.lit("Classification").alias("source"),
-                F.lit("Manual").alias("labelType")))).otherwise(F.array().cast(
-                    "array<struct<tagFQN:string,source:string,labelType:string>>"))))
+                F.lit("Manual").alias("labelType")))).when(F.col("column") != "phone_number", F.array().cast(
+                    "array<struct<tagFQN:string,source:string,labelType:string>>"))))      # phone_number: no tag list
     h = S.fix_history_input(spark, d)
     fixed = (h.select("table_fqn", F.when(F.col("fix_id") % 4 == 0, "phone_number")
                       .when(F.col("fix_id") % 4 == 1, "customer_id").otherwise("customer_email").alias("column")))
@@ -218,7 +218,7 @@ j AS (SELECT coalesce(c.table_fqn, f.table_fqn) AS table_fqn, coalesce(c."column
         CASE WHEN c."column" = 'customer_id' THEN 'PII.Sensitive' END AS old_tag
       FROM cols c FULL OUTER JOIN fixed f ON c.table_fqn = f.table_fqn AND c."column" = f."column")
 SELECT table_fqn, "column",
-  CASE WHEN NOT in_cat THEN NULL
+  CASE WHEN NOT in_cat OR (old_tag IS NULL AND NOT is_fixed AND "column" = 'phone_number') THEN NULL
        ELSE array_to_string(list_concat(CASE WHEN old_tag IS NULL THEN [] ELSE [old_tag] END,
                                         CASE WHEN is_fixed THEN ['{H.DEFAULT_TAG}'] ELSE [] END), ',') END AS tag_list,
   CASE WHEN NOT in_cat THEN 'column not found' WHEN NOT is_fixed THEN 'unchanged' ELSE 'tagged' END AS status

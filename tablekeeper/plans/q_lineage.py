@@ -68,11 +68,29 @@ def q_lineage_named_edges(spark, d):
 
 
 def known_nodes(spark, d):
-    """Node catalogue (one segment of assets is not catalogued: its edges cannot resolve)."""
-    c = table(spark, d, "customer").filter(F.col("c_mktsegment") != "MACHINERY")
+    """Node catalogue for name look-up (one segment of assets is not catalogued: its edges cannot resolve)."""
+    return all_nodes(spark, d).filter(F.col("segment") != "MACHINERY").drop("segment")
+
+
+def graph_nodes(spark, d):
+    """The whole catalogue; some assets lack a full name, a name or a type."""
+    n, k = all_nodes(spark, d).drop("segment"), F.col("id")
+    return n.select("id", F.when(k % 10 != 7, F.col("fqn")).alias("fqn"), F.when(k % 10 != 6, F.col("name")).alias("name"),
+                    F.when(k % 10 != 5, F.col("type")).alias("type"))
+
+
+GRAPH_NODES_SQL = """(SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 10 = 7 THEN CAST(c_custkey AS VARCHAR) ELSE 'svc.db.mart.t' || CAST(c_custkey AS VARCHAR) END AS fqn,
+  CASE WHEN c_custkey % 10 = 6 THEN 't' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+  CASE WHEN c_custkey % 10 = 5 THEN 'UNKNOWN' WHEN c_mktsegment = 'BUILDING' THEN 'PIPELINE' ELSE 'TABLE' END AS type
+  FROM customer)"""
+
+
+def all_nodes(spark, d):
+    c = table(spark, d, "customer").withColumn("segment", F.col("c_mktsegment"))
     return c.select(F.col("c_custkey").alias("id"), F.format_string("svc.db.mart.t%d", "c_custkey").alias("fqn"),
                     F.col("c_name").alias("name"),
-                    F.when(F.col("c_mktsegment") == "BUILDING", "PIPELINE").otherwise("TABLE").alias("type"))
+                    F.when(F.col("c_mktsegment") == "BUILDING", "PIPELINE").otherwise("TABLE").alias("type"), "segment")
 
 
 KNOWN_NODES_SQL = """(SELECT c_custkey AS id, 'svc.db.mart.t' || CAST(c_custkey AS VARCHAR) AS fqn, c_name AS name,
@@ -97,7 +115,7 @@ def graph_inputs(spark, d):
             .unionByName(down_e.select("center", F.col("from_id").alias("id")))
             .unionByName(down_e.select("center", F.col("to_id").alias("id")))
             .unionByName(r.select(F.col("root").alias("center"), F.col("root").alias("id"))).distinct())
-    nodes = materialize(ends.join(known_nodes(spark, d), "id"), "graph-nodes")
+    nodes = materialize(ends.join(graph_nodes(spark, d), "id"), "graph-nodes")
     cust = table(spark, d, "customer")
     center = r.join(cust, r["root"] == cust["c_custkey"]).select(
         F.col("root").alias("center"), F.format_string("svc.db.mart.t%d", "root").alias("center_fqn"),
@@ -113,7 +131,7 @@ down_e AS (SELECT u.root AS center, e.src AS from_id, e.dst AS to_id FROM {DOWN1
 ends AS (SELECT DISTINCT center, id FROM (SELECT center, from_id AS id FROM up_e UNION ALL SELECT center, to_id FROM up_e
          UNION ALL SELECT center, from_id FROM down_e UNION ALL SELECT center, to_id FROM down_e
          UNION ALL SELECT root, root FROM {ROOTS_SQL} rr) x),
-nodes AS (SELECT ends.center, k.* FROM ends JOIN {KNOWN_NODES_SQL} k ON k.id = ends.id),
+nodes AS (SELECT ends.center, k.* FROM ends JOIN {GRAPH_NODES_SQL} k ON k.id = ends.id),
 ctr AS (SELECT r.root AS center, 'svc.db.mart.t' || CAST(r.root AS VARCHAR) AS center_fqn, c.c_name AS center_name,
         'TABLE' AS center_type FROM {ROOTS_SQL} r JOIN customer c ON c.c_custkey = r.root),
 upn AS (SELECT u.center, n.fqn, n.name AS label, n.type FROM up_e u JOIN nodes n ON n.center = u.center AND n.id = u.from_id),

@@ -50,33 +50,40 @@ MART_CUSTOMERS_COUNT_SQL = f"""(SELECT c.customer_id FROM {STG_ORDERS_SQL} o JOI
   ON o.customer_id = c.customer_id GROUP BY c.customer_id, c.customer_name)"""
 
 
-@query("row_count_report", oracle=f"""
-SELECT 'raw_customers count:' AS info, count(*) AS count FROM customer
-UNION ALL SELECT 'raw_orders count:', count(*) FROM orders
-UNION ALL SELECT 'raw_order_items count:', count(*) FROM lineitem
-UNION ALL SELECT 'raw_products count:', count(*) FROM part
-UNION ALL SELECT 'stg_customers count:', count(*) FROM customer
-UNION ALL SELECT 'stg_orders count:', count(*) FROM orders
-UNION ALL SELECT 'mart_customers count:', count(*) FROM {MART_CUSTOMERS_COUNT_SQL} m
-UNION ALL SELECT 'mart_orders count:', count(*) FROM orders
-UNION ALL SELECT 'mart_order_items count:', count(*) FROM {MART_ITEMS_SQL} mi
-UNION ALL SELECT 'mart_products count:', count(*) FROM part""")
+#: fixed values: labels of the count report, in order, and what DuckDB counts for each
+COUNT_REPORT = [
+    ("raw_customers count:", "customer"), ("raw_orders count:", "orders"), ("raw_order_items count:", "lineitem"),
+    ("raw_products count:", "part"), ("raw_supplies count:", "part"), ("raw_stores count:", "supplier"),
+    ("stg_customers count:", "customer"), ("stg_orders count:", "orders"), ("stg_order_items count:", "lineitem"),
+    ("stg_products count:", "part"), ("stg_supplies count:", "part"), ("stg_locations count:", "supplier"),
+    ("mart_customers count:", MART_CUSTOMERS_COUNT_SQL), ("mart_orders count:", "orders"),
+    ("mart_order_items count:", MART_ITEMS_SQL), ("mart_products count:", "part"),
+    ("mart_locations count:", "supplier"), ("mart_supplies count:", "part"),
+]
+
+
+@query("row_count_report", oracle=" UNION ALL ".join(
+    f"SELECT '{label}' AS info, count(*) AS count FROM {source} t{i}" for i, (label, source) in enumerate(COUNT_REPORT)))
 def q_row_count_report(spark, d):
-    so, sc = stg_orders(spark, d), stg_customers(spark, d)
-    items = layers.stage_order_items(S.raw_order_items(spark, d))
-    prods = layers.stage_products(S.raw_products(spark, d))
-    return profile.row_count_report([
-        ("raw_customers count:", S.raw_customers(spark, d)),
-        ("raw_orders count:", S.raw_orders(spark, d)),
-        ("raw_order_items count:", S.raw_order_items(spark, d)),
-        ("raw_products count:", S.raw_products(spark, d)),
-        ("stg_customers count:", sc),
-        ("stg_orders count:", so),
-        ("mart_customers count:", layers.mart_customers(so, sc)),
-        ("mart_orders count:", layers.mart_orders(so)),
-        ("mart_order_items count:", layers.mart_order_items(items, prods)),
-        ("mart_products count:", layers.mart_products(prods)),
-    ])
+    raw = [S.raw_customers(spark, d), S.raw_orders(spark, d), S.raw_order_items(spark, d), S.raw_products(spark, d),
+           S.raw_supplies(spark, d), S.raw_stores(spark, d)]
+    stages = [layers.stage_customers, layers.stage_orders, layers.stage_order_items, layers.stage_products, layers.stage_supplies,
+              layers.stage_locations]
+    customers, orders, items, products, supplies, locations = staged = [f(r) for f, r in zip(stages, raw)]
+    marts = [layers.mart_customers(orders, customers), layers.mart_orders(orders), layers.mart_order_items(items, products),
+             layers.mart_products(products), layers.mart_locations(locations), layers.mart_supplies(supplies)]
+    return profile.row_count_report([(label, df) for (label, _), df in zip(COUNT_REPORT, [*raw, *staged, *marts], strict=True)])
+
+
+@query("non_null_rows", oracle=f"""
+SELECT 'total' AS info, count(*) AS n FROM {S.CUSTOMER_SPIKED_SQL} a UNION ALL
+SELECT 'null', count(*) FROM {S.CUSTOMER_SPIKED_SQL} b WHERE email IS NULL UNION ALL
+SELECT 'non-null', count(email) FROM {S.CUSTOMER_SPIKED_SQL} c""")
+def q_non_null_rows(spark, d):
+    """Total, null and non-null rows of a column."""
+    c = S.customer_spiked(spark, d)
+    return profile.row_count_report([("total", c), ("null", profile.null_rows(c, "email")), ("non-null", profile.non_null_rows(c, "email"))]
+                                    ).withColumnRenamed("count", "n")
 
 
 MART_EMAIL_SQL = f"""(SELECT c.customer_id, s.customer_email FROM {STG_ORDERS_SQL} o

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablekeeper.operators.checks import Rule
 from tablekeeper.operators.ratelimit import rate_limit
 from tablekeeper.plans import standins as S
+from tablekeeper.plans.arrivals import arrival_files
 from tablekeeper.plans.q_checks import EMAIL_FORMAT
 from tablekeeper.plans.q_profile import pct_sql
 from tablekeeper.plans.registry import query, table
@@ -75,7 +76,7 @@ def _arrive(spark, df, ts):
     src = shared_dir(spark, "arrivals")
     # files per batch follow the input's size (its scan splits), up to the cluster's cores
     per_batch = max(1, min(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
-    M.arrival_files(df, ts, src, ARRIVAL_BATCHES * per_batch)
+    arrival_files(df, ts, src, ARRIVAL_BATCHES * per_batch)
     return (spark.readStream.schema(spark.read.parquet(src).schema)
             .option("maxFilesPerTrigger", per_batch).parquet(src))
 

@@ -75,6 +75,30 @@ RAW_PRODUCTS_SQL = """(SELECT p_partkey AS sku, p_name AS name, p_type AS type,
   CAST(round(p_retailprice * 100) AS BIGINT) AS price, p_brand AS description FROM part)"""
 
 
+def raw_supplies(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select((F.col("p_partkey") * 10).alias("id"), F.col("p_brand").alias("name"),
+                    F.round(F.col("p_retailprice") * 10).cast("bigint").alias("cost"),
+                    (F.col("p_size") % 2 == 0).alias("perishable"), F.col("p_partkey").alias("sku"))
+
+
+RAW_SUPPLIES_SQL = """(SELECT p_partkey * 10 AS id, p_brand AS name, CAST(round(p_retailprice * 10) AS BIGINT) AS cost,
+  p_size % 2 = 0 AS perishable, p_partkey AS sku FROM part)"""
+
+
+def raw_stores(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    opened = F.make_timestamp_ntz(F.lit(2016), (F.col("s_nationkey") % 12 + 1).cast("int"), (F.col("s_suppkey") % 28 + 1).cast("int"),
+                                  F.lit(9), F.lit(30), F.lit(0))
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), opened.alias("opened_at"),
+                    ((F.col("s_suppkey") % 1000) / 10000).cast("decimal(5,4)").alias("tax_rate"))
+
+
+RAW_STORES_SQL = """(SELECT s_suppkey AS id, s_name AS name,
+  make_timestamp(2016, s_nationkey % 12 + 1, s_suppkey % 28 + 1, 9, 30, 0) AS opened_at,
+  CAST((s_suppkey % 1000) / 10000 AS DECIMAL(5,4)) AS tax_rate FROM supplier)"""
+
+
 def customer_spiked(spark: SparkSession, d: str) -> DataFrame:
     """customer + an e-mail column that is NULL for 40 % of keys."""
     c = table(spark, d, "customer")
@@ -173,7 +197,7 @@ TEST_RESULTS_SQL = """(SELECT event_id AS result_id, user_id AS node,
 
 # ---------------------------------------------------------------- fix history
 def fix_history_input(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter(F.col("event_type") == "purchase")
+    e = table(spark, d, "events")
     return e.select(
         F.col("event_id").alias("fix_id"),
         F.col("ts").alias("fixed_at"),
@@ -193,7 +217,7 @@ FIX_HISTORY_SQL = """(SELECT event_id AS fix_id, ts AS fixed_at, 'svc.db.mart.t'
   user_id AS table_key, CAST(floor(value) AS INTEGER) AS rows_affected, (event_id % 3 = 0) AS ai_generated,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 8 + 1 AS INTEGER) END AS hours_saved,
   CAST(floor(value) AS INTEGER) AS before_nulls, 0 AS after_nulls, CAST(event_id % 101 AS INTEGER) AS severity_score
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 
 def fix_attempts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Invariants from the test strategy: counts add up, repairs are idempotent,
 severity is bounded and monotone, the batch limiter equals the streaming one."""
 
+from tablekeeper.plans.arrivals import arrival_files
 import itertools
 
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def test_batch_limiter_equals_streaming_limiter(spark):
     batch = {r["attempt_id"]: (r["window_start"], r["fixes_before"], r["allowed"])
              for r in rate_limit(att, max_n=2, span_seconds=86400).collect()}
     src = shared_dir(spark, "arrive")
-    M.arrival_files(att, "ts", src, 4)
+    arrival_files(att, "ts", src, 4)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     sink = shared_dir(spark, "sink")
     M.run_rate_limit(stream, sink, {"availableNow": True}, max_n=2, span_seconds=86400).awaitTermination()

@@ -1,5 +1,6 @@
 """Streaming pieces: idempotent batch sink, arrival order, stateful limiter."""
 
+from tablekeeper.plans.arrivals import arrival_files
 import datetime as dt
 import glob
 
@@ -25,7 +26,7 @@ def test_arrival_files_are_time_ordered(spark):
     rows = [(i, BASE + dt.timedelta(minutes=7 * i)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
     path = shared_dir(spark, "arrivals")
-    M.arrival_files(df, "ts", path, 4)
+    arrival_files(df, "ts", path, 4)
     files = sorted(glob.glob(path.replace("file:", "") + "/*.parquet"),
                    key=lambda f: __import__("os").path.getmtime(f))
     spans = [spark.read.parquet(f).agg(F.min("ts"), F.max("ts")).first() for f in files]
