@@ -147,18 +147,6 @@ def with_clean_message(df, col: str, out: str):
     return d.drop(*[f"_cm{i}" for i in range(len(MESSAGE_PREFIXES) + 1)])
 
 
-def clean_message(c: Column | str) -> Column:
-    """Column form of ``with_clean_message`` for a handful of values (its
-    expression grows with the number of lead-in phrases)."""
-    s = _c(c)
-    stripped = s
-    for p in MESSAGE_PREFIXES:
-        stripped = F.when(stripped.contains(p), strip_ws(F.replace(stripped, F.lit(p), F.lit("")))) \
-            .otherwise(stripped)
-    picked = F.when(s.rlike(r'"[^"]+"'), F.regexp_extract(s, r'"([^"]+)"', 1)).otherwise(stripped)
-    return strip_ws(F.regexp_replace(strip_ws(picked), r'^"+|"+$', ""))
-
-
 def has_metrics(text: Column | str) -> Column:
     return _c(text).contains(METRICS_MARKER)
 
@@ -199,9 +187,3 @@ def metric_from_block(text: Column | str, block: Column, key: str) -> Column:
     parsed = F.try_element_at(found, F.lit(-1)).try_cast("bigint")
     dflt = F.lit(METRIC_DEFAULTS[key]).cast("bigint")
     return F.when(has_metrics(text), F.coalesce(parsed, dflt)).otherwise(dflt)
-
-
-def metric_value(text: Column | str, key: str) -> Column:
-    """Integer after ``key:`` on the last line of the metrics block that holds a
-    whole integer; the default when there is none (or no marker)."""
-    return metric_from_block(_c(text), metric_block(text), key)

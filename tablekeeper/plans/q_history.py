@@ -9,6 +9,7 @@ from tablekeeper.plans import standins as S
 from tablekeeper.plans.q_lineage import roots
 from tablekeeper.plans.registry import query, table
 from tablekeeper.session import shared_dir
+from tablekeeper.sources.files import inline_rows
 
 FH = S.FIX_HISTORY_SQL
 
@@ -192,7 +193,7 @@ SELECT e.event_id, e.event_type, nullif(r.team, '') AS mention, r.title, r.color
     ELSE 'Error: ' || error END AS description
 FROM e JOIN r ON r.event_type = e.event_type""")
 def q_notifications(spark, d):
-    routing = spark.createDataFrame(ROUTING, "event_type string, enabled boolean, team string")
+    routing = inline_rows(spark, ROUTING, "event_type string, enabled boolean, team string")
     return H.notifications(notify_events(spark, d), routing)
 
 

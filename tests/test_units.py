@@ -175,7 +175,7 @@ def test_clean_message(spark):
     rows = [('Here is a specific, detailed explanation of the data quality issue: "We found 3 nulls."',),
             ("Here is a specific, detailed explanation of the data quality issue:  We found 4.  ",),
             ('  "plain" ',)]
-    got = [r[0] for r in spark.createDataFrame(rows, "m string").select(T.clean_message("m")).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "m string").transform(lambda d: T.with_clean_message(d, "m", "c")).select("c").collect()]
     assert got == ["We found 3 nulls.", "We found 4.", "plain"]
 
 
