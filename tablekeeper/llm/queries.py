@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablekeeper.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,14 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", oracle=oracles.SUBSTRING)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.substring import substring_dedup
     return (substring_dedup(table(spark, sf_dir, "documents"), window=13, texts=False)
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracle=oracles.CONTAMINATION)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.decontaminate import contamination
     return (contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share_inverse=20)
@@ -99,7 +101,7 @@ def conversation_events(conversations: DataFrame, chunk: int = 256) -> DataFrame
             .select("conv_id", "seq", "message", "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text"))
 
 
-@query("op10_chat_formatting")
+@query("op10_chat_formatting", oracle=oracles.CHATS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.chat import format_chats, read_back
     out = read_back(format_chats(conversation_events(table(spark, sf_dir, "conversations"))))
@@ -109,7 +111,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op2_minhash_near_dedup")
+@query("op2_minhash_near_dedup", oracle=oracles.NEAR_DUPLICATES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
@@ -121,7 +123,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup(table(spark, sf_dir, "documents"), length=100, texts=False).drop("kept")
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", oracle=oracles.LINES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.lines import line_dedup
     return (line_dedup(table(spark, sf_dir, "documents"), texts=False)
