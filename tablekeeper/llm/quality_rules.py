@@ -3,10 +3,10 @@
 Each document's rule statistics are counted over its whole text.  Documents
 that break a base rule fail outright.  The others are judged by an isolation
 forest: trees split a random statistic at a random value, and documents that
-are isolated after few splits are anomalous.  The forest is grown from at most
-``FIT_ROWS`` documents labelled good (those with the smallest hashes of their
-ids; ``TREE_ROWS`` for each tree); the threshold is the ``KEEP`` quantile of
-the scores of all documents labelled good.
+are isolated after few splits are anomalous.  The forest is grown from about
+``FIT_ROWS`` documents labelled good (a fixed share of them by the hash of
+their ids, never more than twice that; ``TREE_ROWS`` for each tree); the
+threshold is the ``KEEP`` quantile of the scores of all documents labelled good.
 
 Nulls and odd rows: a null text has no words and fails; a null doc_id stays
 null and has no label; of several labels of a document the lowest quality
@@ -169,7 +169,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
             .agg(F.min("quality").alias("quality")).where("quality > 0").select("doc_id"))
     trusted = stats.where(f"n_words >= {MIN_WORDS}").join(good, "doc_id")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    sample = trusted.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(fit_rows).toPandas()   # at most FIT_ROWS rows
+    share = int(min(1.0, fit_rows / max(1, trusted.count())) * (1 << 31))
+    drawn = trusted.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 31}L) < {share}L"))
+    sample = drawn.limit(2 * fit_rows).toPandas().sort_values(["doc_id", *COUNTS])   # about FIT_ROWS rows reach the driver
     if sample.empty:
         return stats.select("*", base.alias("base_failed"), F.lit(None).cast("double").alias("score"), (~base).alias("kept"))
     forest = spark.sparkContext.broadcast(Forest(features({k: sample[k].to_numpy() for k in COUNTS})))
