@@ -36,6 +36,7 @@ from tablekeeper.session import materialize
 
 MIN_WORDS, MIN_FUZZY = 4, 8
 PART = 1 << 21
+BLOCK_BYTES = 2 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -64,8 +65,8 @@ class Lines:
         less = (total[a + j] - total[a]) * back[a] + (total[a + self.words[line]] - total[a + j + 1]) * back[a + 1]
         size = np.concatenate([n, self.words[line] - 1]).astype(np.uint64)
         variant = mix(np.concatenate([whole, less]) ^ mix(size))
-        j, line = np.concatenate([np.zeros(own.size, np.int64), j + 1]), np.concatenate([own, line])
-        # only lines with variants of their own are alike a whole line but for one word
+        j = np.concatenate([np.zeros(own.size, np.int64), j + 1]).astype(np.int32)
+        line = np.concatenate([own, line]).astype(np.int32)
         order = np.lexsort((line, j, variant))
         self.variant, self.j, self.line = variant[order], j[order], line[order]
         self.first = np.ones(order.size, np.bool_)
@@ -80,22 +81,23 @@ class Lines:
         return short[np.flatnonzero(np.diff(short, prepend=~short[:1]))] if short.size else short
 
 
-def alike_earlier(variant: np.ndarray, j: np.ndarray, order: np.ndarray, fuzzy: np.ndarray) -> np.ndarray:
-    """Which entries have an alike entry of a smaller order; ``fuzzy``: whole lines long enough for an edit."""
-    by = np.lexsort((j, variant))
-    v, k, o, f = variant[by], j[by], order[by], fuzzy[by]
+def alike_earlier(v: np.ndarray, k: np.ndarray, o: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by variant v and place k, have an alike entry of a smaller order o.
+
+    f: whole lines long enough for an edit.
+    """
+    if not v.size:
+        return np.empty(0, np.bool_)
     group = np.ones(v.size, np.bool_)
     group[1:] = np.diff(v) != 0
     same = group.copy()
     same[1:] |= np.diff(k) != 0
     start, g = np.flatnonzero(same), np.cumsum(group) - 1
-    big = np.iinfo(np.int64).max
+    big = np.iinfo(o.dtype).max
     own = np.minimum.reduceat(o, start)[np.cumsum(same) - 1]
     whole = np.minimum.reduceat(np.where((k == 0) & f, o, big), np.flatnonzero(group))[g]
     cut = np.minimum.reduceat(np.where(k > 0, o, big), np.flatnonzero(group))[g]
-    out = np.empty(v.size, np.bool_)
-    out[by] = (own < o) | ((k > 0) & (whole < o)) | ((k == 0) & f & (cut < o))
-    return out
+    return (own < o) | ((k > 0) & (whole < o)) | ((k == 0) & f & (cut < o))
 
 
 def _sent(lines: Lines, shared: np.ndarray, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,10 @@ def _earlier(blocks: DataFrame, key_parts: int, parts: int, min_words: int, min_
         new[1:] = (np.diff(ids[by]) != 0) | (np.diff(block[by]) != 0)
         order = np.empty(by.size, np.int64)
         order[by] = np.cumsum(new)            # documents in order, those of one id by block
-        bits = np.split(alike_earlier(variant, j, order, fuzzy), np.cumsum(size)[:-1])
+        by = np.lexsort((j, variant))
+        flags = np.empty(by.size, np.bool_)
+        flags[by] = alike_earlier(variant[by], j[by], order[by], fuzzy[by])
+        bits = np.split(flags, np.cumsum(size)[:-1])
         return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(size), pa.int64()),
                          "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
@@ -163,13 +168,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN
 
     ``texts=False`` leaves ``kept`` null; ``touched_only`` returns documents that lost a line only.
     """
-    blocks = write_blocks(docs).drop("note")
-    # bytes are about five times the variants; entries that are sent are fewer
+    blocks = write_blocks(docs, None, BLOCK_BYTES).drop("note")
     n_blocks = blocks.select("block").count()
-    key_parts = max(1, n_blocks * 4 // 64)
+    key_parts = max(1, n_blocks * BLOCK_BYTES // (64 << 20))
     first = blocks.join(materialize(shared_keys(blocks, lambda b: Lines(b, min_words, min_fuzzy).keys(), key_parts),
                                     "variant-answers"), "block", "left")
-    parts = max(1, n_blocks * (1 << 18) // PART)
+    parts = max(1, n_blocks * (BLOCK_BYTES // 16) // PART)      # entries sent are fewer than a sixteenth of the bytes
     bits = materialize(_earlier(first, key_parts, parts, min_words, min_fuzzy), "line-answers")
 
     def finish(batches):
