@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.session import shared_dir
+from tablekeeper.session import materialize, shared_dir
 
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 4 << 20
@@ -230,6 +230,28 @@ def write_blocks(docs: DataFrame, note: Callable[[Block], bytes] | None = None,
     return spark.table(name)
 
 
+def write_bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """A written table dealt by key once, so that joins on the key move the other side only."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    name, n = "bucketed_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
+#: ids that are broadcast at most: 32 MB of them
+FEW_IDS = 4_000_000
+
+
+def if_few(ids: DataFrame, purpose: str) -> DataFrame:
+    """A written table of ids, to be broadcast if its counted rows are few; else joins are Spark's choice.
+
+    Joined to documents, few ids so come to the texts instead of moving them.
+    """
+    written = materialize(ids, purpose)
+    return F.broadcast(written) if written.count() <= FEW_IDS else written
+
+
 def each_block(batches: Iterator[pa.RecordBatch]):
     """(batch, row, block number, block) of every row of a block table."""
     for batch in batches:

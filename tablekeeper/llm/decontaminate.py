@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.llm.blocks import (NON_ALNUM, Block, Words, each_block, ids_out, iter_blocks, make_block,
+from tablekeeper.llm.blocks import (NON_ALNUM, Block, Words, each_block, ids_out, if_few, iter_blocks, make_block,
                                     write_blocks)
 
 WINDOW = 13
@@ -300,4 +300,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                         share_inverse: int = SHARE_INVERSE) -> DataFrame:
     """The documents that are not contaminated, with all their columns; a null doc_id stays."""
     bad = contamination(docs, benchmark, window, share_inverse).where("contaminated AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(bad.distinct(), "doc_id", "left_anti")
+    return docs.join(if_few(bad.distinct(), "contaminated"), "doc_id", "left_anti")

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.llm.blocks import (SPACES, Block, each_block, expand, ids_out, kept_bytes, mix, planes, squeeze,
+from tablekeeper.llm.blocks import (SPACES, Block, each_block, expand, ids_out, if_few, kept_bytes, mix, planes, squeeze,
                                     unplanes, write_blocks)
 from tablekeeper.session import materialize
 
@@ -336,5 +336,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that the classifier keeps, with all their columns; rows of one doc_id go if one of them is rejected."""
-    bad = classify(docs, labels, keep).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    bad = if_few(classify(docs, labels, keep).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
     return docs.join(bad, "doc_id", "left_anti")

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeeper.llm.blocks import NULL_ID, SPACES, Block, ids_out, iter_blocks, mix, run_hash
+from tablekeeper.llm.blocks import SPACES, Block, ids_out, if_few, iter_blocks, mix, run_hash, write_bucketed
 from tablekeeper.session import materialize
 
 K, RUN = 64, 3
@@ -351,8 +351,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k: int = K, chunk: int = CHUNK) -> DataFrame:
     """Per document: n_shingles, component_id (smallest doc_id reachable over links) and kept."""
     sk = materialize(sketches(docs, shingle, k), "sketches")
-    classes = materialize(sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2")
-                          .agg(F.min("doc_id").alias("class"), F.min("sketch").alias("sketch")), "classes")
+    classes = write_bucketed(sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2")
+                             .agg(F.min("doc_id").alias("class"), F.min("sketch").alias("sketch")), "class", "classes")
     parts = max(1, classes.count() * k // (1 << 21))
     seen = _overlaps(classes, k, parts)
     often = (seen.where("long").groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_LONG}")
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k
              .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     likely = materialize(_estimated(short, classes, k, percent), "likely-pairs")
     wanted = likely.select(F.col("a").alias("class")).unionAll(likely.select("b")).unionAll(often).distinct()
-    sets = materialize(_whole_sets(docs, wanted, shingle), "whole-sets")
+    sets = write_bucketed(_whole_sets(docs, if_few(wanted, "wanted"), shingle), "class", "whole-sets")
     links = _verified(likely, sets, percent).unionAll(_gathered(long_, sets, size, percent, chunk))
     found = components(materialize(links, "verified-links"))
     of_class = (classes.select("n", "h1", "h2", F.col("class"))
@@ -385,5 +385,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents kept, one of each group, with all their columns; rows of one doc_id stay or go together."""
-    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id").distinct()
+    gone = if_few(near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti")
