@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tablekeeper.functions import text as T
 from tablekeeper.operators.lineage import downstream_impact, trace
-from tablekeeper.session import materialize
 
 
 @dataclass(frozen=True)
