@@ -170,7 +170,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN
     """
     blocks = write_blocks(docs, None, BLOCK_BYTES).drop("note")
     n_blocks = blocks.select("block").count()
-    key_parts = max(1, n_blocks * BLOCK_BYTES // (64 << 20))
+    key_parts = max(1, n_blocks * BLOCK_BYTES // (8 << 20))      # a part has about two million keys at most
     first = blocks.join(materialize(shared_keys(blocks, lambda b: Lines(b, min_words, min_fuzzy).keys(), key_parts),
                                     "variant-answers"), "block", "left")
     parts = max(1, n_blocks * (BLOCK_BYTES // 16) // PART)      # entries sent are fewer than a sixteenth of the bytes
