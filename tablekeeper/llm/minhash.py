@@ -18,9 +18,11 @@ Jaccard similarity of at least ``percent`` / 100, counted on the whole sets.
 
 Longer lists are not paired.  A linked pair that meets in no short list meets
 in long lists only, so both classes are in ``MIN_LONG`` or more of those (the
-chance of fewer is below 1e-5 a pair).  Such classes, say near copies of one
-text or texts that mostly consist of one passage, are gathered by long lists
-and compared exactly: by prefix filtering on their rarest shingles in chunks of
+chance of fewer is below 1e-5 a pair); where one of the sets has K shingles or
+less, and the other so at most K * 100 / percent, one shared list is all that is
+sure, and one long list is enough.  Such classes, say near copies of one text or
+texts that mostly consist of one passage, are gathered by long lists and
+compared exactly: by prefix filtering on their rarest shingles in chunks of
 about ``CHUNK`` shingles, pair of chunks by pair of chunks, and only links that
 join two parts of a pair's graph come out.
 
@@ -251,9 +253,11 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
 
     Classes are compared where they share one of their rarest shingles: of two
     sets with the wanted similarity, the first n - ceil(percent n / 100) + 1 in
-    any fixed order have one in common.  ``side``: classes of side 0 were
-    compared with each other elsewhere, and so were those of side 1, unless
-    all are of one side.
+    any fixed order have one in common.  Sets differ, and each is compared with
+    larger ones and with those of its size, smallest first, so that the base of
+    many short variants joins them before they meet each other.  ``side``:
+    classes of side 0 were compared with each other elsewhere, and so were those
+    of side 1, unless all are of one side.
     """
     size = np.array([s.size for s in sets])
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -265,34 +269,44 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     head = nth < (size - -(-percent * size // 100) + 1)[owner]
     ranked = value[order]
     hv, ho = ranked[head], owner[head]
-    by = np.argsort(hv, kind="stable")
-    hv, ho = hv[by], ho[by]
-    begin, end = np.searchsorted(hv, np.arange(times.size)), np.searchsorted(hv, np.arange(times.size), "right")
-    heads = [ranked[f: f + c] for f, c in zip(first, np.bincount(owner[head], minlength=size.size))]
+    stride = int(size.max(initial=0)) + 1
+    at = hv * stride + size[ho]                                 # by shingle, then by size
+    by = np.argsort(at, kind="stable")
+    at, ho = at[by], ho[by]
+    of = owner[head]
+    low = size + (100 * (size - 1) < percent * (size + 1))      # different sets of one size may be too small for a link
+    high = np.minimum(100 * size // percent, stride - 1)
+    begin = np.searchsorted(at, ranked[head] * stride + low[of])
+    end = np.maximum(begin, np.searchsorted(at, ranked[head] * stride + high[of], "right"))
+    cut = np.searchsorted(of, np.arange(size.size + 1))
     two, flag = bool(side.min(initial=0) != side.max(initial=0)), np.zeros(times.size, np.bool_)
     part, links = np.arange(size.size), []
     label = part.copy()
-    for i in np.argsort(size, kind="stable")[::-1].tolist():
-        near = [ho[begin[v]: end[v]] for v in heads[i].tolist()]
-        other = np.unique(np.concatenate(near)) if near else np.empty(0, np.intp)
+    for i in np.argsort(size, kind="stable").tolist():
+        near = [ho[x:y] for x, y in zip(begin[cut[i]: cut[i + 1]].tolist(), end[cut[i]: cut[i + 1]].tolist()) if x < y]
+        if not near:
+            continue
+        other = np.unique(np.concatenate(near))
         label_i = _find(part, i)
         other = other[label[other] != label_i]
-        ok = (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])) & (other != i)
         if two:
-            ok &= side[other] != side[i]
-        other = other[ok]
+            other = other[side[other] != side[i]]
         if not other.size:
             continue
         own = value[first[i]: first[i] + size[i]]
         flag[own] = True
-        for j in other.tolist():
-            both = int(flag[value[first[j]: first[j] + size[j]]].sum())
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                x, y = _find(part, i), _find(part, j)
-                if x != y:
-                    part[y] = x
-                    links.append((int(ids[i]), int(ids[j])))
+        n = size[other]
+        start = np.cumsum(n) - n
+        both = np.add.reduceat(flag[value[np.repeat(first[other] - start, n) + np.arange(int(n.sum()))]], start, dtype=np.int64)
         flag[own] = False
+        linked = other[100 * both >= percent * (size[i] + n - both)]
+        if not linked.size:
+            continue
+        for j in linked.tolist():
+            x, y = _find(part, i), _find(part, j)
+            if x != y:
+                part[y] = x
+                links.append((int(ids[i]), int(ids[j])))
         while True:                                             # flatten, so that label is the root
             up = part[part]
             if (up == part).all():
@@ -303,7 +317,7 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
 
 
 def _gathered(long_: DataFrame, sets: DataFrame, size: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links between classes of MIN_LONG long lists or more."""
+    """Links between classes that long lists gather."""
     together = components(long_.select("a", "b").distinct())
     member = materialize(together.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "long-lists")
     sizes = (member.join(size, "class").groupBy("cluster").agg(F.sum("n").alias("total"))
@@ -355,11 +369,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k
                              .agg(F.min("doc_id").alias("class"), F.min("sketch").alias("sketch")), "class", "classes")
     parts = max(1, classes.count() * k // (1 << 21))
     seen = _overlaps(classes, k, parts)
-    often = (seen.where("long").groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_LONG}")
-             .select("class"))
-    often = materialize(often, "often")
-    long_ = seen.where("long").join(often.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b")
     size = classes.select(F.col("class"), "n")
+    often = (seen.where("long").groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("lists")).join(size, "class")
+             .where((F.col("lists") >= MIN_LONG) | (F.col("n") * percent <= 100 * k)).select("class"))
+    often = materialize(often, "often")
+    # a task's leader ties the classes that it held back to the list, whether or not it is compared itself
+    ties = often.unionAll(seen.where("long").select(F.col("a").alias("class"))).distinct()
+    long_ = seen.where("long").join(ties.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b")
     short = (seen.where("NOT long").groupBy("a", "b").agg(F.sum("times").alias("times")))
     small = (F.least("na", "nb") <= k)
     short = (short.join(size.withColumnRenamed("n", "na").withColumnRenamed("class", "a"), "a")

@@ -197,6 +197,24 @@ def test_link_group_spans_components():
     assert groups_of(links, 60) == want and len(links) == 60 - len(set(want.values()))
 
 
+def test_links_of_short_documents_in_long_lists(spark):
+    """Stars of a short text and copies with one word more: all links lie in lists of more than SHORT classes."""
+    rows, want = [], {}
+    for n in range(4, 13):
+        base = [f"w{n}x{j}" for j in range(n + 4)]          # n five-word shingles
+        for i in range(220):
+            rows.append((1000 * n + i, " ".join([*base, f"own{i}"])))
+            want[1000 * n + i] = 1000 * n
+        rows.append((1000 * n + 999, " ".join(base)))
+        want[1000 * n + 999] = 1000 * n
+    base = [f"t{j}" for j in range(8)]                      # without the text itself the copies are 4/6 alike
+    for i in range(220):
+        rows.append((50000 + i, " ".join([*base, f"own{i}"])))
+        want[50000 + i] = 50000 + i
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
+
+
 def groups_of(links, n):
     root = list(range(n))
 
