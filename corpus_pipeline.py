@@ -8,11 +8,11 @@ documents; ``n_chars`` follows the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablekeeper.llm.decontaminate import remove_contaminated
 from tablekeeper.llm.kneser_ney import keep_good
-from tablekeeper.llm.lines import line_dedup
+from tablekeeper.llm.lines import drop_repeated_lines
 from tablekeeper.llm.minhash import drop_near_duplicates
 from tablekeeper.llm.packing import pack
 from tablekeeper.llm.queries import importable, table
@@ -26,18 +26,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier line is alike; documents that lose all their lines go.
+    """Texts without the lines that an earlier line is alike; rows that lose all their lines go.
 
-    Documents without such a line pass as they are.
+    Each row keeps its own text, whatever its doc_id; rows without such a line pass as they are.
     """
     importable(spark)
-    cut = (line_dedup(docs, touched_only=True).where("doc_id IS NOT NULL")
-           .select("doc_id", F.col("kept").alias("_kept"), F.col("emptied").alias("_emptied")))
-    kept = F.coalesce("_kept", "text")
-    return (docs.join(cut, "doc_id", "left").where(~F.coalesce("_emptied", F.lit(False)))
-            .select(*[kept.alias("text") if c == "text" else
-                      F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-                      if c == "n_chars" else F.col(c) for c in docs.columns]))
+    return drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

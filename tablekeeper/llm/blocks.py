@@ -18,7 +18,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablekeeper.session import materialize, shared_dir
 
@@ -203,33 +203,60 @@ def read_block(batch: pa.RecordBatch, i: int) -> tuple[int, Block]:
 
 
 def write_blocks(docs: DataFrame, note: Callable[[Block], bytes] | None = None,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, carry: list[Column] | None = None) -> DataFrame:
     """The documents as a written table with one row per block.
 
     Operators that come back to a block need it to be the same each time,
     whichever executor reads it, so the table is written once to the shared
     folder.  Building it needs no shuffle; it is bucketed by block, so that
     joining answers to it moves the answers only.  ``note`` may add a few bytes
-    of statistics per block.
+    of statistics per block; with ``carry`` the note holds these columns of the
+    block's rows instead, for ``carried``.
     """
+    carrying = bool(carry)                  # columns themselves can't go to a task
+    rows: list[pa.RecordBatch] = []         # read and not yet in a block; a block is a run of rows
+
+    def seen(batches):
+        for batch in batches:
+            rows.append(batch)
+            yield batch
+
+    def carry_of(b: Block) -> bytes:
+        table = pa.Table.from_batches(rows)
+        own = table.slice(0, b.ids.size).combine_chunks()
+        rows[:] = table.slice(b.ids.size).to_batches()
+        order = np.argsort(ids_of(pa.concat_arrays(own.column("doc_id").chunks)), kind="stable")
+        sink = pa.BufferOutputStream()
+        own = own.drop_columns(["doc_id", "text"]).take(pa.array(order)).combine_chunks()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        return squeeze(sink.getvalue())
+
     def pack(batches):
         from pyspark import TaskContext
         at = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(iter_blocks(batches, block_bytes)):
+        rows.clear()
+        for k, b in enumerate(iter_blocks(seen(batches) if carrying else batches, block_bytes)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([at + k], pa.int64()), pa.array([b.ids], pa.list_(pa.int64())),
                  pa.array([b.end], pa.list_(pa.int64())), pa.array([squeeze(b.body, 3)], pa.binary()),
-                 pa.array([note(b) if note else b""], pa.binary())], schema=_BLOCK_ARROW)
+                 pa.array([carry_of(b) if carrying else note(b) if note else b""], pa.binary())],
+                schema=_BLOCK_ARROW)
 
     spark = docs.sparkSession
     path = shared_dir(spark, "blocks")
     name = "blocks_" + path.rsplit("-", 1)[1]
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
         .mapInArrow(pack, BLOCK_SCHEMA).write.format("parquet").option("compression", "none")   # bodies are compressed
         .option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
     return spark.table(name)
 
 
+def carried(batch: pa.RecordBatch, i: int) -> pa.Table:
+    """The columns that row i of a block table carries, in the order of its documents."""
+    return pa.ipc.open_stream(expand(batch.column("note")[i].as_buffer())).read_all()
+
+
 def write_bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
     """A written table dealt by key once, so that joins on the key move the other side only."""
     spark = df.sparkSession

@@ -28,9 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tablekeeper.llm.blocks import SPACES, Block, each_block, expand, ids_out, mix, planes, squeeze, unplanes, write_blocks
+from tablekeeper.llm.blocks import (SPACES, Block, carried, each_block, expand, ids_out, mix, planes, squeeze, unplanes,
+                                    write_blocks)
 from tablekeeper.llm.meeting import KEY_BITS, answers_by_block, cuts, key_part, shared_bits, shared_keys
 from tablekeeper.session import materialize
 
@@ -161,14 +162,49 @@ def _unpack(raw):
 OUT = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string, emptied boolean"
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY, texts: bool = True,
-               touched_only: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY, texts: bool = True) -> DataFrame:
     """Per document: n_lines (with a word), n_removed, the sha256 of the kept lines joined by newlines, that text, and
     whether it had lines with a word and lost them all.
 
-    ``texts=False`` leaves ``kept`` null; ``touched_only`` returns documents that lost a line only.
+    ``texts=False`` leaves ``kept`` null.
     """
-    blocks = write_blocks(docs, None, BLOCK_BYTES).drop("note")
+    def rows(batch, i, ids, n, removed, runs):
+        return pa.RecordBatch.from_arrays(
+            [ids_out(ids), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+             pa.array([hashlib.sha256(x).hexdigest() for x in runs], pa.string()),
+             pa.array([x.decode() if texts else None for x in runs], pa.string()), pa.array((n > 0) & (n == removed))],
+            ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept", "emptied"])
+
+    return _judged(write_blocks(docs, None, BLOCK_BYTES).drop("note"), min_words, min_fuzzy, rows, OUT)
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+    """The documents, each row with its own kept lines as text; rows that had lines with a word and lost them all go.
+
+    Rows that lose no line pass as they are; ``n_chars``, if there, follows the
+    texts that do.  The other columns travel in the row's block, as neither a
+    doc_id nor a text need be unique.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    carry = [F.col(c).alias(f"_{k}") for k, c in enumerate(names)] + [F.col("text").isNull().alias("_none")]
+    schema = T.StructType([*docs.select(*carry).schema, T.StructField("_kept", T.BinaryType()), T.StructField("_cut", T.BooleanType())])
+
+    def rows(batch, i, ids, n, removed, runs):
+        own = carried(batch, i)
+        own = (own.append_column("_kept", pa.array(runs, pa.binary())).append_column("_cut", pa.array(removed > 0))
+               .filter(pa.array((n == 0) | (n > removed))).combine_chunks())
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in own.columns], own.column_names)
+
+    out = _judged(write_blocks(docs, None, BLOCK_BYTES, carry), min_words, min_fuzzy, rows, schema)
+    kept = F.when(~F.col("_none"), F.col("_kept").cast("string"))
+    place = {c: F.col(f"_{k}") for k, c in enumerate(names)}
+    if "n_chars" in place:
+        place["n_chars"] = F.when(F.col("_cut"), F.length(kept).cast("long")).otherwise(place["n_chars"])
+    return out.select(*[(kept if c == "text" else place[c]).alias(c) for c in docs.columns])
+
+
+def _judged(blocks: DataFrame, min_words: int, min_fuzzy: int, rows, schema) -> DataFrame:
+    """Rows that ``rows`` makes of each block: (batch, row, ids, lines with a word, lines removed, kept text) of its documents."""
     n_blocks = blocks.select("block").count()
     key_parts = max(1, n_blocks * BLOCK_BYTES // (8 << 20))      # a part has about two million keys at most
     first = blocks.join(materialize(shared_keys(blocks, lambda b: Lines(b, min_words, min_fuzzy).keys(), key_parts),
@@ -198,12 +234,6 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_fuzzy: int = MIN
             size = np.concatenate([[0], np.cumsum(keep)])
             a, b = size[block.start], size[block.end + 1]
             runs = [raw[x: max(x, y - 1)] for x, y in zip(a.tolist(), b.tolist())]
-            some = np.flatnonzero(removed > 0) if touched_only else np.arange(n.size)
-            yield pa.RecordBatch.from_arrays(
-                [ids_out(block.ids[some]), pa.array(n[some], pa.int64()), pa.array(removed[some], pa.int64()),
-                 pa.array([hashlib.sha256(runs[k]).hexdigest() for k in some.tolist()], pa.string()),
-                 pa.array([runs[k].decode() if texts else None for k in some.tolist()], pa.string()),
-                 pa.array((n > 0)[some] & (n == removed)[some])],
-                ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept", "emptied"])
-
-    return first.join(bits.withColumnRenamed("answers", "lines"), "block", "left").mapInArrow(finish, OUT)
+            yield rows(batch, i, block.ids, n, removed, runs)
+
+    return first.join(bits.withColumnRenamed("answers", "lines"), "block", "left").mapInArrow(finish, schema)

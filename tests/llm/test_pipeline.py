@@ -76,6 +76,18 @@ def test_line_stage(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect() if r["doc_id"] in touched)
 
 
+def test_line_stage_on_repeated_rows_and_null_ids(spark):
+    a, b, c, d = ("one two three four five", "six seven eight nine", "ten eleven twelve thirteen", "dog cat cow hen fox")
+    rows = [(7, f"{a}\n{b}", "en", 900), (7, f"{a}\n{b}", "en", 901), (7, f"{b}\n{c}", "de", 902), (3, d, "en", 903),
+            (None, f"{d}\nown words", "fr", 904), (None, a, "fr", 905), (8, None, None, 906), (9, "", "en", 907), (9, "hi", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").coalesce(1)
+    out = corpus_pipeline.dedup_lines(spark, docs, SF)
+    assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+    want = [(7, f"{a}\n{b}", "en", 900), (7, c, "de", len(c)), (3, d, "en", 903), (None, "own words", "fr", 9),
+            (8, None, None, 906), (9, "", "en", 907), (9, "hi", None, None)]
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(want)
+
+
 def test_near_duplicate_stage(stages):
     before, after = stages["near_duplicates"]
     want = groups(sets_of(rows_of(before), 5))
