@@ -1,8 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
 Symbols are the bytes of a document's words in lower case (A-Z), one space
-after each; words with a digit or one of ``@/_=`` are left out, as numbers,
-addresses and keys say nothing about prose.  For each language, n-grams of up to
+after each; all words count, and each digit is read as 0, as which number it is
+says nothing about prose.  For each language, n-grams of up to
 ``ORDER`` symbols are counted over all documents labelled trusted (quality 1,
 not toxic), but for one in ``HELD_OUT``, which calibrate.  A second model of the
 same kind is counted over the documents labelled toxic, for contrast: a
@@ -51,9 +51,9 @@ HELD_OUT, ENOUGH = 5, 50
 KEEP = 0.999
 BLOCK_BYTES = 8 << 20
 _SLICE = 2 << 20
-#: fixed value: symbols of words that are left out
-_SKIP = np.zeros(256, np.bool_)
-_SKIP[list(b"0123456789@/_=")] = True
+#: fixed values: all digits are one symbol
+_SYMBOL = np.arange(256, dtype=np.uint8)
+_SYMBOL[list(b"0123456789")] = ord("0")
 _BODY = np.uint64((1 << 40) - 1)
 _U = np.uint64
 
@@ -66,11 +66,10 @@ class Symbols:
 
     def __init__(self, block: Block):
         w = block.words(SPACES, lower=True)
-        skip = np.concatenate([[0], np.cumsum(_SKIP[w.body])])
         newline = np.flatnonzero(block.body == 10)
         line = newline[np.searchsorted(newline, block.start)]       # the end of each document's first line
-        keep = (skip[w.start + w.length] == skip[w.start]) & (w.start > line[w.doc])
-        lowered = Block(block.ids, block.start, block.end, w.body)
+        keep = w.start > line[w.doc]
+        lowered = Block(block.ids, block.start, block.end, _SYMBOL[w.body])
         self.buffer, self.start, end = kept_bytes(lowered, w, keep)
         self.end = np.append(self.start[1:], self.buffer.size)      # with the space after the last word
         raw = block.body.tobytes()

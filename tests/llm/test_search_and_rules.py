@@ -267,6 +267,19 @@ def test_classifier_on_unlabelled_documents(prose):
     assert np.mean(clean) > 0.95
 
 
+def test_classifier_scores_words_with_digits_and_marks(spark, prose):
+    import random
+    rng = random.Random(4)
+    docs, labels = prose
+    dump = " ".join(f"{rng.getrandbits(32):08x}" for _ in range(80))
+    log = " ".join(f"2024-0{k % 9 + 1}-11T0{k % 10}:15:0{k % 7} level=warn id={k}" for k in range(40))
+    rows = [(2000, dump), (2001, log), (2002, "w1nn3r fr33 c4sh " * 25), (2003, "https://x.test/q?a=b_c " * 25), (2004, "| 17 | 4_2 | 9/8 | " * 20)]
+    more = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    got = {r["doc_id"]: r for r in classify(docs.unionAll(more), labels, keep=0.99).where("doc_id >= 2000").collect()}
+    assert len(got) == 5 and not any(r["kept"] for r in got.values())
+    assert got[2003]["symbols"] == len("https://x.test/q?a=b_c ") * 25 - ORDER + 1
+
+
 def test_classifier_odd_rows(documents, clashing, nothing, prose):
     _, labels = prose
     got = classify(clashing, labels).collect()
