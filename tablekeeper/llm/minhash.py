@@ -13,7 +13,7 @@ Jaccard similarity of at least ``percent`` / 100, counted on the whole sets.
    ``MIN_OVERLAP`` has a chance below 1e-6, and for sets of at most K shingles
    that they share none is impossible.
 3. The sketch of the union, which two sketches give exactly, estimates the
-   similarity; pairs more than four standard errors too low go.
+   similarity; pairs more than six standard errors too low go.
 4. The rest is verified on the whole sets.
 
 Longer lists are not paired.  A linked pair that meets in no short list meets
@@ -182,7 +182,7 @@ def union_estimate(sa: np.ndarray, na: int, sb: np.ndarray, nb: int, k: int = K)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose estimate is not more than four standard errors below the bound."""
+    """Pairs whose estimate is not more than six standard errors below the bound."""
     def run(batches):
         for batch in batches:
             keep = []
@@ -193,7 +193,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
                     continue
                 j, m = union_estimate(np.frombuffer(sa.as_buffer(), "<u8"), na, np.frombuffer(sb.as_buffer(), "<u8"), nb, k)
                 p = percent / 100
-                keep.append(j >= p - 4 * (p * (1 - p) / max(1, m)) ** 0.5 if max(na, nb) > k else j >= p - 1e-9)
+                keep.append(j >= p - 6 * (p * (1 - p) / max(1, m)) ** 0.5 if max(na, nb) > k else j >= p - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))

@@ -183,6 +183,18 @@ def test_union_estimate_whole_sets():
     assert union_estimate(a, 10, b, 10, 64) == (8 / 12, 12)
 
 
+def test_estimate_keeps_pairs_five_errors_low(spark):
+    from tablekeeper.llm.minhash import _estimated
+    for shared, kept in ((35, 1), (30, 0)):                 # of the union's 64; the bound is 51.2, an error 3.2
+        own = (64 - shared) // 2
+        common = np.arange(1000, 1000 + shared)
+        sides = [np.sort(np.concatenate([common, np.arange(x, x + own), np.arange(5000, 5064 - shared - own)])) for x in (100, 500)]
+        rows = [(i, 1000, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(sides)]
+        classes = spark.createDataFrame(rows, "class long, n long, sketch binary")
+        pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+        assert _estimated(pairs, classes, 64, 80).count() == kept
+
+
 def test_link_group_spans_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
