@@ -81,3 +81,25 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
         sum({_escaped('role')} + {_escaped('text')} + length('<s>[INST][/INST]</s>')) AS size FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(size AS BIGINT) AS formatted_chars FROM g"""
+
+FILTER_AUDIT = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, {_words('text', SPACED)} AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+        [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(x, '[A-Z]')) > 2 * length(x),
+         regexp_matches(x, '[#$%&*|]'), coalesce(min(t.doc_id) OVER (PARTITION BY x) < t.doc_id, false)] AS f
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b FROM d GROUP BY part, f),
+i AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+           WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda k: chr(CAST(64 + k AS INTEGER))), '') AS filter_order, s.i AS step FROM orders, i s),
+r AS (SELECT part, filter_order, step, o[step] AS k, n, g, b, f[o[step]] AS fails,
+        len(list_filter(o[1:step - 1], lambda k: f[k])) > 0 AS gone, len(list_filter(f, lambda v: v)) AS n_fails FROM c, steps),
+q AS (SELECT part, filter_order, step, k, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND fails THEN g ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT gone AND fails THEN b ELSE 0 END) AS toxic_lost FROM r GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM q"""

@@ -135,3 +135,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.kneser_ney import classify
     return (classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
             .select("doc_id", "lang", "symbols", F.round("perplexity", 4).alias("perplexity"), F.round("peak", 3).alias("peak"), "kept"))
+
+
+@query("op11_filter_interaction_audit", oracle=oracles.FILTER_AUDIT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.filter_audit import filter_audit
+    return (filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"))
