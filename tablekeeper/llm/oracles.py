@@ -103,3 +103,67 @@ q AS (SELECT part, filter_order, step, k, sum(CASE WHEN NOT gone AND NOT fails T
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM q"""
+
+
+def _edit(state: str, cost: str, initial: str, said: str | None = None) -> str:
+    """A state after one more edit: its cost, its initials and its messages."""
+    out = f"list_append({state}.r, {said})" if said else f"{state}.r"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'r': {out}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _inserted(rows: str) -> str:
+    """e0 to e3: the states v0 to v3 after up to two inserts."""
+    one = f"SELECT *, {_edit(_least('v0', 'v1', 'v3'), '5', 'I', quote('user:'))} AS w2, {_edit('v2', '5', 'I', quote('assistant:'))} AS w3 FROM {rows}"
+    return (f"SELECT *, v0 AS e0, v1 AS e1, {_least('v2', 'w2', _edit('w3', '5', 'I', quote('user:')))} AS e2, "
+            f"{_least('v3', 'w3', _edit('w2', '5', 'I', quote('assistant:')))} AS e3 FROM ({one})")
+
+
+def quote(s: str) -> str:
+    return f"'{s}'"
+
+
+_NEVER = "{'c': CAST(1000000000000 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}"
+_USERS = _least("e0", "e1", "e3")
+_CRC = ("xor(list_reduce(list_concat([4294967295], list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: "
+        "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) "
+        "ELSE x >> 1 END)), 4294967295)")
+
+STRUCTURE = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS way FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+    CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT * FROM base WHERE way <> 0 UNION ALL SELECT * FROM base WHERE way = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS x,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM hurt),
+judged AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS px FROM numbered),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND px || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS v0, {_NEVER} AS v1, {_NEVER} AS v2,
+    {_NEVER} AS v3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_edit('e0', '2', 'D')} AS v0,
+    {_least(_edit('e1', '2', 'D'), "CASE WHEN x = 's' AND stays THEN " + _edit('e0', 'more', 'K', 'whole') + f" ELSE {_NEVER} END")} AS v1,
+    {_least(_edit('e2', '2', 'D'), "CASE WHEN x = 'u' AND stays THEN " + _edit(_USERS, 'more', 'K', 'whole') + f" ELSE {_NEVER} END",
+            "CASE WHEN stays THEN " + _edit(_USERS, '1 + more', 'R', "'user:' || text") + f" ELSE {_NEVER} END")} AS v2,
+    {_least(_edit('e3', '2', 'D'), "CASE WHEN x = 'a' AND stays THEN " + _edit('e2', 'more', 'K', 'whole') + f" ELSE {_NEVER} END",
+            "CASE WHEN stays THEN " + _edit('e2', '1 + more', 'R', "'assistant:' || text") + f" ELSE {_NEVER} END")} AS v3
+  FROM ({_inserted('''(SELECT s.conv_id, j.i, v0, v1, v2, v3, x, text, role || ':' || text AS whole, fault NOT IN ('blank', 'duplicate') AS stays,
+      CAST(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS BIGINT) AS more
+      FROM s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = s.i + 1)''')})),
+ended AS (SELECT conv_id, {_least('e0', 'e3')} AS best
+  FROM ({_inserted('(SELECT s.* FROM s JOIN counts c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n)')}))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""

@@ -142,3 +142,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekeeper.llm.filter_audit import filter_audit
     return (filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
             .select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with rows dropped, emptied, cut, repeated and given to the user, by a checksum of (conv_id, turn)."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.pmod(F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))), F.lit(20))
+    text = (F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace("said", "[.!?]", "")).otherwise(F.col("said")))
+    return (conversations.select("conv_id", "turn", said("role").alias("by"), said("text").alias("said"), way.alias("way")).where("way <> 0")
+            .select("conv_id", "turn", F.when(F.col("way") == 4, "user").otherwise(F.col("by")).alias("role"), text.alias("text"),
+                    F.explode(F.expr("sequence(1, if(way = 3, 2, 1))")).alias("copy")).drop("copy"))
+
+
+@query("op13_conversation_structure_repair", oracle=oracles.STRUCTURE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.structure import audit
+    rows = table(spark, sf_dir, "conversations")
+    told = audit(damaged(rows)).withColumnRenamed("conv_id", "_conv_id")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.join(told, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
+        "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
