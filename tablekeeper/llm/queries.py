@@ -164,3 +164,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(told, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
         "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op12_source_mixing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekeeper.llm.mixing import by_row, mix
+    return by_row(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
