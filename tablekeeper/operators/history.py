@@ -34,20 +34,16 @@ def history_summary(h: DataFrame) -> DataFrame:
                  .alias("total_hours_saved"))
 
 
-def _hour(ts: str):
-    return F.date_trunc("hour", F.col(ts))
-
-
 def fix_sequence(h: DataFrame) -> DataFrame:
     """'Fix n' per table in time order (ties by fix id)."""
-    s = running(h, "table_key", ["fixed_at", "fix_id"], _hour("fixed_at"), seq_name="n")
+    s = running(h, "table_key", ["fixed_at", "fix_id"], seq_name="n")
     return s.select("fix_id", "table_key", "fixed_at", F.concat(F.lit("Fix "), F.col("n").cast("string"))
                     .alias("label"), "rows_affected")
 
 
 def running_hours(h: DataFrame) -> DataFrame:
     """Per table, in time order: fixes so far and hours saved so far."""
-    s = running(h, "table_key", ["fixed_at", "fix_id"], _hour("fixed_at"),
+    s = running(h, "table_key", ["fixed_at", "fix_id"],
                 sums={"hours_so_far": F.coalesce("hours_saved", F.lit(DEFAULT_HOURS)).cast("bigint")},
                 seq_name="fixes_so_far")
     return s.select("fix_id", "table_key", "fixed_at", "fixes_so_far", F.col("hours_so_far").cast("bigint"))
@@ -101,7 +97,7 @@ def audit_text(h: DataFrame) -> DataFrame:
     left as rows instead of being concatenated into one string, so a table
     with a huge history never becomes one oversized value in one task.
     """
-    s = running(h, "table_key", ["fixed_at", "fix_id"], _hour("fixed_at"), seq_name="seq")
+    s = running(h, "table_key", ["fixed_at", "fix_id"], seq_name="seq")
     na = F.lit("N/A")
     sev = F.upper(severity_band(F.coalesce("severity_score", F.lit(0))))
     block = F.format_string(

@@ -12,36 +12,50 @@ as not successful; an attempt without a time lies in no window, so it is not
 allowed, starts none, and comes out with NULL ``window_start`` and
 ``fixes_before``.
 
-So the attempts split into windows [a_i, a_{i+1}) where a_{i+1} is the first
-attempt at or after a_i + span, and inside a window an attempt is allowed
-iff fewer than max_n successful attempts precede it there.  The anchor
-chain is a fold, but it is computed without sorting any key in one task:
-
-1. ``next(x)`` = first attempt of the same key at or after ts(x) + span: an
-   as-of lookup over the key's distinct instants, split minute -> second so
-   that no task sorts more than one key's second (see ``next_attempts``);
-2. anchors = the ``next`` chain from each key's first attempt, by pointer
-   doubling: J_{k+1} = J_k o J_k (self-joins on the unique attempt id, every
-   second level written as a table to the shared checkpoint folder), then the chain set is
-   expanded from the top level down - log2(chain length) joins in all;
-3. each attempt's anchor is in its own span bucket or the one before (two
-   equi-joins on (key, bucket), at most one anchor per bucket);
-4. successful attempts before each attempt in its window come from the
-   bucketed running count of ``ordered.running`` (minute, then second).
+So the attempts of a key split into windows [a_i, a_{i+1}) where a_{i+1} is the
+first attempt at or after a_i + span, and an attempt is allowed iff fewer than
+max_n successful ones precede it in its window.  The chain of anchors is a fold
+over all attempts of a key; it is computed in blocks:
+
+1. attempts are sorted by (key, time, id) over ranges and cut into blocks of
+   consecutive attempts of one key (at most one Arrow batch), written once.
+   Most keys lie inside one block and are decided there;
+2. a block of a key that goes on has a map: whatever anchor enters, the first
+   attempt at or after anchor + span becomes one and the chain goes on to the
+   end of the block.  The map lists, per first attempt, the anchor and count
+   that leave; neighbours with the same result are one entry;
+3. maps of ``GROUP`` neighbouring ranges are composed to one map, for all groups
+   side by side; then one pass over the groups of a key gives each group the
+   anchor and count that enter it;
+4. with these, every block is decided, group by group.
+
+The number of jobs is fixed: neither the time span nor the length of a chain
+changes it.  ``state`` (key, anchor_us, count) carries on from earlier attempts,
+as the streaming form does; attempts older than the anchor then count as inside
+its window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tablekeeper.operators.ordered import running
 from tablekeeper.session import materialize
 
 MAX_FIXES_PER_HOUR = 10    # fixed values: the reference's limiter defaults
 SPAN_SECONDS = 3600
+GROUP = 32                 # ranges whose maps are composed by one task
 
 OUT_COLUMNS = ["key", "attempt_id", "ts", "ok", "window_start", "fixes_before", "allowed", "counted"]
+NO_ANCHOR = -(1 << 61)     # a span after it lies before all times
 
 
 def micros(df: DataFrame, ts: str):
@@ -57,98 +71,241 @@ def micros(df: DataFrame, ts: str):
     return F.unix_micros(c.cast("timestamp"))
 
 
-def next_attempts(att: DataFrame, span_us: int) -> DataFrame:
-    """(attempt_id, nxt) for the first attempt of each instant: first attempt of the same key with
-    t >= t + span (NULL if none).
-
-    Attempts at the same instant collapse first (per (key, t) the smallest id -
-    a partial aggregate, so a burst at one instant is one row).  The as-of
-    lookup over the remaining instants then runs in three levels, none of which
-    sorts more than one key's second in one task: inside (key, second), else
-    the first instant of a later second of the same minute (window over at most
-    60 second-rows), else the first instant of a later minute (window over the
-    key's minute-rows, which grow with its time span only).
-    """
-    inst = att.groupBy("key", "t").agg(F.min("attempt_id").alias("id"))
-    a = inst.select("key", "t", F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("pid"))
-    # only the first attempt of an instant can be an anchor, so only it asks for its successor
-    p = inst.select("key", (F.col("t") + span_us).alias("t"), F.lit(0).alias("kind"),
-                    F.lit(None).cast("bigint").alias("id"), F.col("id").alias("pid"))
-    rows = (a.unionByName(p).withColumn("sec", F.floor(F.col("t") / 1_000_000).cast("bigint"))
-            .withColumn("mnt", F.floor(F.col("t") / 60_000_000).cast("bigint")))
-    cand = F.when(F.col("kind") == 1, F.struct("t", "id"))
-    fwd = Window.partitionBy("key", "sec").orderBy("t", "kind").rowsBetween(Window.currentRow,
-                                                                             Window.unboundedFollowing)
-    here = rows.withColumn("hit", F.first(cand, ignorenulls=True).over(fwd)).filter(F.col("kind") == 0)
-    secs = rows.groupBy("key", "mnt", "sec").agg(F.min(cand).alias("f"))
-    later_sec = Window.partitionBy("key", "mnt").orderBy("sec").rowsBetween(1, Window.unboundedFollowing)
-    secs = secs.select("key", "mnt", "sec", F.first("f", ignorenulls=True).over(later_sec).alias("in_minute"))
-    mins = rows.groupBy("key", "mnt").agg(F.min(cand).alias("f"))
-    later_min = Window.partitionBy("key").orderBy("mnt").rowsBetween(1, Window.unboundedFollowing)
-    mins = mins.select("key", "mnt", F.first("f", ignorenulls=True).over(later_min).alias("after_minute"))
-    j = here.join(secs, ["key", "mnt", "sec"], "left").join(mins, ["key", "mnt"], "left")
-    return j.select(F.col("pid").alias("attempt_id"),
-                    F.coalesce(F.col("hit.id"), F.col("in_minute.id"), F.col("after_minute.id")).alias("nxt"))
-
-
-def chain_anchors(att: DataFrame, nxt: DataFrame, span_us: int) -> DataFrame:
-    """Attempts on the ``next`` chain from each key's first attempt."""
-    bounds = att.groupBy("key").agg(((F.max("t") - F.min("t")) / span_us).cast("bigint").alias("b")) \
-        .agg(F.max("b")).first()[0]
-    longest = int(bounds or 0) + 1
-    top = max(0, (longest - 1).bit_length() - 1)
-    # J_{k+1} reads J_k twice and the chain step reads the chain twice, so each plan
-    # doubles per level; writing every second level as a table keeps them small
-    levels = [materialize(nxt.filter(F.col("nxt").isNotNull()), "limit-next")]
-    for k in range(top):
-        j = levels[-1]
-        b = j.select(F.col("attempt_id").alias("nxt"), F.col("nxt").alias("nxt2"))
-        nj = j.join(b, "nxt", "inner").select("attempt_id", F.col("nxt2").alias("nxt"))
-        levels.append(materialize(nj, "limit-jump") if k % 2 == 1 or k == top - 1 else nj)
-    first = att.groupBy("key").agg(F.min(F.struct("t", "attempt_id")).alias("f")).select(
-        F.col("f.attempt_id").alias("attempt_id"))
-    chain = first
-    for i, level in enumerate(reversed(levels)):
-        step = chain.join(level, "attempt_id", "inner").select(F.col("nxt").alias("attempt_id"))
-        chain = chain.unionByName(step).distinct()
-        if i % 2 == 1 and i < len(levels) - 1:
-            chain = materialize(chain, "limit-chain")
-    return att.join(chain, "attempt_id", "left_semi")
+# ------------------------------------------------------------------ inside a block
+def exit_map(t: np.ndarray, ok: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upto, leave, held) of sorted attempts: where the first attempt at or after anchor + span lies at or before
+    ``upto`` (and after the entry before), the anchor ``leave`` and its count ``held`` leave the block."""
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    u = t[first]
+    after = np.searchsorted(u, u + span)
+    end = np.where(after < len(u), after, np.arange(len(u)))
+    while True:                                   # doubling: each round follows the chain twice as far
+        further = end[end]
+        if np.array_equal(further, end):
+            break
+        end = further
+    oks = np.r_[0, np.cumsum(ok)]
+    last = np.r_[end[:-1] != end[1:], True]
+    return u[last], u[end[last]], oks[-1] - oks[first[end[last]]]
+
+
+def decide(t: np.ndarray, ok: np.ndarray, span: int, anchor: int, count: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(anchor of each attempt, successful attempts before it in its window, anchor and count that leave)."""
+    times, oks = t.tolist(), np.r_[0, np.cumsum(ok)]
+    starts, i = [], bisect_left(times, anchor + span)
+    while i < len(times):
+        starts.append(i)
+        i = bisect_left(times, times[i] + span, i + 1)
+    begun = np.array([0, *starts])
+    window = np.searchsorted(begun[1:], np.arange(len(t)), side="right")
+    anchors = np.r_[anchor, t[begun[1:]]]
+    base = np.r_[-count, oks[begun[1:]]]
+    return anchors[window], oks[:-1] - base[window], int(anchors[-1]), int(oks[-1] - base[-1])
+
+
+def _starts(v: pa.Array) -> np.ndarray:
+    """Where a new key starts in sorted keys; NULLs, and NaNs, are one key each."""
+    a, b = v.slice(1), v.slice(0, len(v) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(v.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return np.flatnonzero(np.r_[True, ~np.asarray(same, dtype=bool)])
+
+
+def _times(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    ok = pc.fill_null(rows.field("ok"), False)
+    return rows.field("t").to_numpy(zero_copy_only=False), ok.to_numpy(zero_copy_only=False)
+
+
+# ------------------------------------------------------------------ blocks, maps, groups
+def _cut(schema: pa.Schema, span: int, prune: bool):
+    """Attempts sorted by key, time and id as blocks.  ``prune``: whatever enters is older than the block, so entries of its
+    map more than a span after its first attempt are never met."""
+    def exits(t, ok):
+        m = exit_map(t, ok, span)
+        return tuple(x[:np.searchsorted(m[0], t[0] + span) + 1] for x in m) if prune else m
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key")
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in ("attempt_id", "ts", "t", "ok")], ["attempt_id", "ts", "t", "ok"])
+            t, ok = _times(rows)
+            start = _starts(key.field(0))
+            n = len(start)
+            bounds = np.r_[start, len(t)]
+            # what stands at an end of the batch may go on in the next one; anything else is a whole key
+            maps = {i: exits(t[bounds[i]:bounds[i + 1]], ok[bounds[i]:bounds[i + 1]]) for i in {0, n - 1}}
+            oks = np.r_[0, np.cumsum(ok)]
+            column = lambda j: pa.array([maps[i][j] if i in maps else [] for i in range(n)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [key.take(pa.array(start)), pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(number, number + n), pa.int64()),
+                 pa.array([i not in maps for i in range(n)]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows),
+                 pa.array(t[start], pa.int64()), column(0), column(1), column(2), pa.array(oks[bounds[1:]] - oks[start], pa.int64())], schema=schema)
+            number += n
+    return cut
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[bool, pa.RecordBatch, int]]:
+    """(whether another group begins, batch, row) of sorted rows; ``by`` names the group's columns."""
+    last = None
+    for batch in batches:
+        told = list(zip(*[batch.column(c).to_pylist() for c in by]))
+        for i, at in enumerate(told):
+            at = repr(at)
+            yield at != last, batch, i
+            last = at
+
+
+def _map(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    read = lambda c: batch.column(c)[i].values.to_numpy()
+    return read("upto"), read("leave"), read("held"), batch.column("oks")[i].as_py()
+
+
+def _through(anchor: np.ndarray, count: np.ndarray, m, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and counts after a map."""
+    upto, leave, held, oks = m
+    i = np.searchsorted(upto, anchor + span)
+    hit = i < len(upto)
+    i = np.minimum(i, len(upto) - 1)
+    return np.where(hit, leave[i], anchor), np.where(hit, held[i], count + oks)
+
+
+def _compose(schema: pa.Schema, span: int, prune: bool):
+    """The maps of each (key, group) as one."""
+    def out(key, group, upto, leave, held, oks):
+        last = np.r_[(leave[:-1] != leave[1:]) | (held[:-1] != held[1:]), True]
+        lists = [pa.array([x[last]], pa.list_(pa.int64())) for x in (upto, leave, held)]
+        return pa.RecordBatch.from_arrays([key, pa.array([group], pa.int32()), *lists, pa.array([oks], pa.int64())], schema=schema)
+
+    def compose(batches):
+        now = first = None
+        for new, batch, i in _grouped(batches, "key", "group"):
+            m = _map(batch, i)
+            if new:
+                if now:
+                    yield out(*now)
+                now = (batch.column("key").slice(i, 1), batch.column("group")[i].as_py(), *m)
+                first = batch.column("first")[i].as_py()
+                continue
+            key, group, upto, leave, held, oks = now
+            leave, held = _through(leave, held, m, span)
+            beyond = m[0] > upto[-1]             # entered before the group, first met in this block
+            if prune and upto[-1] >= first + span:
+                beyond[:] = False
+            now = (key, group, np.r_[upto, m[0][beyond]], np.r_[leave, m[1][beyond]], np.r_[held, m[2][beyond]], oks + m[3])
+        if now:
+            yield out(*now)
+    return compose
+
+
+def _enter(schema: pa.Schema, span: int):
+    """What enters each group of a key, in one pass over the groups' maps."""
+    def enter(batches):
+        anchor = count = None
+        for new, batch, i in _grouped(batches, "key"):
+            if new:
+                anchor, count = np.array([batch.column("anchor_us")[i].as_py()]), np.array([batch.column("count")[i].as_py()])
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), batch.column("group").slice(i, 1),
+                                              pa.array(anchor, pa.int64()), pa.array(count, pa.int64())], schema=schema)
+            anchor, count = _through(anchor, count, _map(batch, i), span)
+    return enter
+
+
+def _decided(schema: pa.Schema, span: int):
+    """The attempts of blocks with the anchor and count of each; a block of the same key and group goes on from the one before."""
+    def run(batches):
+        last = anchor = count = None
+        for batch in batches:
+            told = [repr(x) for x in zip(batch.column("key").to_pylist(), batch.column("group").to_pylist())]
+            start_at, start_n = batch.column("anchor_us").to_pylist(), batch.column("count").to_pylist()
+            column = batch.column("rows")
+            rows = column.flatten()
+            t, ok = _times(rows)
+            bounds = np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy())]
+            at, before = [], []
+            for i, group in enumerate(told):
+                if group != last:
+                    last, anchor, count = group, start_at[i], start_n[i]
+                here = slice(bounds[i], bounds[i + 1])
+                x, n, anchor, count = decide(t[here], ok[here], span, anchor, count)
+                at.append(x)
+                before.append(n)
+            if at:
+                keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(told)), np.diff(bounds))))
+                yield pa.RecordBatch.from_arrays([keys, *[rows.field(c) for c in ("attempt_id", "ts", "t", "ok")],
+                                                  pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(before), pa.int64())], schema=schema)
+    return run
+
+
+def _schemas(att: DataFrame) -> dict[str, T.StructType]:
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("upto", "leave", "held")]
+    key, attempt = att.schema["key"], [att.schema[c] for c in ("attempt_id", "ts", "t", "ok")]
+    group = T.StructField("group", T.IntegerType())
+    return {"block": T.StructType([key, T.StructField("part", T.IntegerType()), *longs("number"), T.StructField("whole", T.BooleanType()),
+                                   T.StructField("rows", T.ArrayType(T.StructType(attempt))), *longs("first"), *lists, *longs("oks")]),
+            "group": T.StructType([key, group, *lists, *longs("oks")]),
+            "enter": T.StructType([key, group, *longs("anchor_us", "count")]),
+            "decided": T.StructType([key, *attempt, *longs("anchor_us", "before")])}
+
+
+def _decisions(att: DataFrame, span: int, state: DataFrame | None) -> DataFrame:
+    """key, attempt_id, ts, t, ok, anchor_us, before of attempts (key struct, attempt_id, ts, t, ok), all timed."""
+    schema = _schemas(att)
+    arrow = {k: to_arrow_schema(v) for k, v in schema.items()}
+    blocks = materialize(att.repartitionByRange("key", "t", "attempt_id").sortWithinPartitions("key", "t", "attempt_id")
+                         .mapInArrow(_cut(arrow["block"], span, prune=state is None), schema["block"]), "limit-blocks")
+    begin = [F.lit(NO_ANCHOR).alias("anchor_us"), F.lit(0).cast("bigint").alias("count")]
+    if state is None:
+        blocks = blocks.select("*", *begin)
+    else:
+        seeds = state.select(F.struct(F.col("key").cast(att.schema["key"].dataType[0].dataType).alias("v")).alias("key"),
+                             F.col("anchor_us").alias("_a"), F.col("count").alias("_n"))
+        blocks = blocks.join(seeds, "key", "left").select(
+            *[c for c in blocks.columns], F.coalesce("_a", F.lit(NO_ANCHOR)).alias("anchor_us"), F.coalesce("_n", F.lit(0)).alias("count"))
+    blocks = blocks.withColumn("group", F.floor(F.col("part") / GROUP).cast("int"))
+    decided = lambda b: b.select("key", "group", "rows", "anchor_us", "count").mapInArrow(_decided(arrow["decided"], span), schema["decided"])
+    here = decided(blocks.filter("whole"))
+    on = blocks.filter("NOT whole")
+    maps = (on.select("key", "group", "part", "number", "first", "upto", "leave", "held", "oks").repartition("key", "group")
+            .sortWithinPartitions("key", "group", "part", "number").mapInArrow(_compose(arrow["group"], span, prune=state is None), schema["group"]))
+    seeds = on.groupBy("key").agg(F.first("anchor_us").alias("anchor_us"), F.first("count").alias("count"))
+    enter = (maps.join(seeds, "key").repartition("key").sortWithinPartitions("key", "group")
+             .mapInArrow(_enter(arrow["enter"], span), schema["enter"]))
+    entered = (on.drop("anchor_us", "count").join(enter, ["key", "group"]).repartition("key", "group")
+               .sortWithinPartitions("key", "group", "part", "number"))
+    return here.unionByName(decided(entered))
 
 
 def rate_limit(attempts: DataFrame, key: str = "key", ts: str = "ts", attempt_id: str = "attempt_id",
-               ok: str = "ok", max_n: int = MAX_FIXES_PER_HOUR, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+               ok: str = "ok", max_n: int = MAX_FIXES_PER_HOUR, span_seconds: int = SPAN_SECONDS,
+               state: DataFrame | None = None) -> DataFrame:
     """Per attempt: window start, successful fixes before it in the window,
-    allowed (not blocked) and counted (allowed and successful)."""
-    span_us = int(span_seconds) * 1_000_000
+    allowed (not blocked) and counted (allowed and successful).
+
+    ``state`` (key, anchor_us, count; one row a key) is what earlier attempts left."""
     # the key travels in a struct, which is never NULL, so that a NULL key joins like any other
     every = attempts.select(F.struct(F.col(key).alias("v")).alias("key"), F.col(ts).alias("ts"), micros(attempts, ts).alias("t"),
                             F.col(attempt_id).alias("attempt_id"), F.col(ok).cast("boolean").alias("ok"))
-    att = every.filter(F.col("t").isNotNull())
     untimed = every.filter(F.col("t").isNull()).select(
         "key.v", "attempt_id", "ts", "ok", F.col("ts").alias("window_start"), F.lit(None).cast("bigint").alias("fixes_before"),
         F.lit(False).alias("allowed"), F.lit(False).alias("counted")).withColumnRenamed("v", "key")
-    nxt = next_attempts(att, span_us)
-    anchors = chain_anchors(att, nxt, span_us)
-    anc = anchors.select("key", F.floor(F.col("t") / span_us).cast("bigint").alias("sb"),
-                         F.col("t").alias("a_t"), F.col("attempt_id").alias("a_id"), F.col("ts").alias("a_ts"))
-    x = att.withColumn("sb", F.floor(F.col("t") / span_us).cast("bigint"))
-    same = anc.select("key", "sb", F.col("a_t").alias("t1"), F.col("a_id").alias("id1"), F.col("a_ts").alias("ts1"))
-    prev = anc.select("key", (F.col("sb") + 1).alias("sb"), F.col("a_t").alias("t2"), F.col("a_id").alias("id2"),
-                      F.col("a_ts").alias("ts2"))
-    j = x.join(same, ["key", "sb"], "left").join(prev, ["key", "sb"], "left")
-    use_same = F.col("id1").isNotNull() & ((F.col("t1") < F.col("t")) | (
-        (F.col("t1") == F.col("t")) & (F.col("id1") <= F.col("attempt_id"))))
-    w = j.select("key", "ts", "t", "attempt_id", "ok",
-                 F.when(use_same, F.col("id1")).otherwise(F.col("id2")).alias("anchor_id"),
-                 F.when(use_same, F.col("ts1")).otherwise(F.col("ts2")).alias("window_start"))
-    r = running(w, ["key", "anchor_id"], ["t", "attempt_id"],
-                [F.floor(F.col("t") / 60_000_000), F.floor(F.col("t") / 1_000_000)],
-                sums={"ok_upto": F.coalesce("ok", F.lit(False)).cast("bigint")}, seq_name="_pos")
-    before = F.col("ok_upto") - F.coalesce("ok", F.lit(False)).cast("bigint")
+    timed = every.filter(F.col("t").isNotNull()).select("key", "attempt_id", "ts", "t", "ok")
+    r = _decisions(timed, int(span_seconds) * 1_000_000, state)
+    allowed = F.col("before") < max_n
     out = r.select(
-        F.col("key.v").alias("key"), "attempt_id", "ts", "ok", "window_start",
-        F.least(before, F.lit(max_n)).cast("bigint").alias("fixes_before"),
-        (before < max_n).alias("allowed"),
-        ((before < max_n) & F.coalesce("ok", F.lit(False))).alias("counted"))
+        F.col("key.v").alias("key"), "attempt_id", "ts", "ok", F.timestamp_add("MICROSECOND", F.col("anchor_us") - F.col("t"), "ts").alias("window_start"),
+        F.least("before", F.lit(max_n)).cast("bigint").alias("fixes_before"), allowed.alias("allowed"),
+        (allowed & F.coalesce("ok", F.lit(False))).alias("counted"))
     return out.unionByName(untimed)
+
+
+def limit_state(decisions: DataFrame, ts: str = "ts") -> DataFrame:
+    """What decisions leave for the attempts after them: key, anchor_us, count, one row a key with a timed attempt."""
+    d = decisions.filter(F.col("window_start").isNotNull())
+    d = d.select("key", micros(d, "window_start").alias("anchor_us"), (F.col("fixes_before") + F.col("counted").cast("bigint")).alias("count"))
+    return d.groupBy("key").agg(F.max(F.struct("anchor_us", "count")).alias("s")).select("key", "s.anchor_us", "s.count")

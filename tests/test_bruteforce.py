@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablekeeper.operators import fixes, lineage
 from tablekeeper.operators.ordered import running
-from tablekeeper.operators.ratelimit import rate_limit
+from tablekeeper.operators.ratelimit import limit_state, rate_limit
 
 SEEDS = [1, 2, 3]
 BASE = dt.datetime(2024, 1, 1)
@@ -61,7 +61,7 @@ def test_rate_limit_equals_sequential_fold(spark, seed):
 def test_running_equals_window(spark, seed):
     rows = _attempt_rows(seed)
     df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, attempt_id long, ok boolean")
-    r = running(df, "key", ["ts", "attempt_id"], F.date_trunc("hour", "ts"),
+    r = running(df, "key", ["ts", "attempt_id"],
                 sums={"oks": F.col("ok").cast("bigint")}, seq_name="n")
     got = {x["attempt_id"]: (x["n"], x["oks"]) for x in r.collect()}
     want = {}
@@ -131,6 +131,54 @@ def test_rate_limit_sub_second_instants(spark, seed):
     assert got == _fold(rows, 2, 1)
 
 
+@pytest.fixture
+def tiny_blocks(spark):
+    """Blocks of a few attempts, more ranges than one task composes."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.shuffle.partitions": "45"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("span", [1, 40, 600, 100_000])
+def test_rate_limit_across_blocks_and_groups(spark, tiny_blocks, span):
+    rnd = random.Random(span)
+    rows = [(rnd.choice([0, 0, 0, 1, 2, 3 + i]), BASE + dt.timedelta(seconds=rnd.choice([rnd.randrange(9000), 500])), i, rnd.random() < 0.6)
+            for i in range(1100)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, attempt_id long, ok boolean").repartition(6)
+    got = {r["attempt_id"]: (r["window_start"], r["fixes_before"], r["allowed"]) for r in rate_limit(df, max_n=2, span_seconds=span).collect()}
+    assert got == _fold(rows, 2, span)
+
+
+def test_rate_limit_goes_on_from_state(spark, tiny_blocks):
+    """Attempts in three parts, each from what the part before left; the last one has attempts older than the anchor."""
+    rnd = random.Random(5)
+    at = lambda lo, hi: BASE + dt.timedelta(seconds=rnd.randrange(lo, hi))
+    parts = [[(rnd.choice([0, 0, 1, 2]), at(lo, hi), 1000 * p + i, rnd.random() < 0.6) for i in range(150)]
+             for p, (lo, hi) in enumerate([(0, 3000), (3000, 7000), (6000, 9000)])]
+    want, state, got, kept = {}, {}, {}, None
+    for part in parts:
+        for key in {r[0] for r in part}:
+            for _, ts, i, ok in sorted((r for r in part if r[0] == key), key=lambda r: (r[1], r[2])):
+                anchor, count = state.get(key, (ts, 0))
+                if (ts - anchor).total_seconds() >= 700:
+                    anchor, count = ts, 0
+                want[i] = (anchor, min(count, 3), count < 3)
+                state[key] = (anchor, count + (ok and count < 3))
+        df = spark.createDataFrame(part, "key long, ts timestamp_ntz, attempt_id long, ok boolean").repartition(4)
+        out = rate_limit(df, max_n=3, span_seconds=700, state=kept).cache()
+        got.update({r["attempt_id"]: (r["window_start"], r["fixes_before"], r["allowed"]) for r in out.collect()})
+        left = {r["key"]: r for r in limit_state(out).collect()}
+        kept = spark.createDataFrame([(k, int((a - BASE).total_seconds()) * 10 ** 6 + 1704067200 * 10 ** 6, n) for k, (a, n) in state.items()],
+                                     "key long, anchor_us long, count long")
+        assert {(r["key"], r["anchor_us"], r["count"]) for r in kept.collect() if r["key"] in left} == {tuple(r) for r in left.values()}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", [11, 12])
 def test_exact_share_equals_md5_order(spark, seed):
     import hashlib

@@ -1,15 +1,16 @@
 """NULL keys, times and flags; hot failing nodes; versions that survive a crash; the flow's decisions."""
 
+import contextlib
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tablekeeper import schemas
 from tablekeeper.operators import diagnose, history, lineage
 from tablekeeper.operators.apply import Fix, apply_fix, rollback
 from tablekeeper.operators.flow import approve_and_apply
-from tablekeeper.operators.ordered import running
+from tablekeeper.operators.ordered import ranges, running
 from tablekeeper.operators.ratelimit import rate_limit
 from tablekeeper.plans.q_fixes import rule_table
 from tablekeeper.session import shared_dir
@@ -20,6 +21,18 @@ from tablekeeper.streaming import monitor as M
 BASE = dt.datetime(2024, 1, 1)
 
 
+@contextlib.contextmanager
+def _conf(spark, settings):
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def attempts(spark, rows):
     at = [(k, None if s is None else BASE + dt.timedelta(seconds=s), i, ok) for i, (k, s, ok) in enumerate(rows)]
     return spark.createDataFrame(at, "key long, ts timestamp_ntz, attempt_id long, ok boolean")
@@ -59,10 +72,27 @@ def test_rate_limit_all_untimed(spark):
 def test_running_keeps_null_keys_and_times(spark):
     rows = [("a", 3, 10), ("a", None, 1), (None, 2, 5), ("a", 1, 2), (None, None, 7), ("a", None, 1)]
     df = spark.createDataFrame([(k, t, i, v) for i, (k, t, v) in enumerate(rows)], "k string, t long, i long, v long")
-    out = running(df, "k", ["t", "i"], [F.floor(F.col("t") / 2), F.col("t")], sums={"s": F.col("v")})
+    out = running(df, "k", ["t", "i"], sums={"s": F.col("v")})
     assert {(r["i"], r["seq"], r["s"]) for r in out.collect()} == {(1, 1, 1), (5, 2, 2), (3, 3, 4), (0, 4, 14), (4, 1, 7), (2, 2, 12)}
 
 
+def test_running_splits_a_hot_instant(spark):
+    """A third of the rows in one second of one key: they lie in several ranges, and no task numbers more than a range."""
+    hot = spark.range(6000).select(F.lit("hot").alias("k"), F.lit(7).alias("t"), (F.col("id") * 7919 % 6007).alias("i"))
+    rest = spark.range(12000).select(F.format_string("k%02d", F.col("id") % 40).alias("k"), (F.col("id") % 500).cast("int").alias("t"), "id")
+    df = hot.union(rest).withColumn("v", F.when(F.col("i") % 3 > 0, F.col("i"))).repartition(9)
+    with _conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}):
+        cut = ranges(df, ["k", "t", "i"], "hot-ranges")
+        sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+        assert len(sizes) >= 10 and max(sizes) < 4000
+        assert cut.where("k = 'hot'").select("_range").distinct().count() >= 3
+        out = running(df, "k", ["t", "i"], sums={"s": F.col("v")})
+        w = Window.partitionBy("k").orderBy("t", "i")
+        want = df.select("*", F.row_number().over(w).cast("bigint").alias("seq"), F.sum("v").over(w).alias("s"))
+        assert out.columns == ["k", "t", "i", "v", "seq", "s"]
+        assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+
+
 def test_hot_failing_node_shared_by_many_roots(spark):
     roots = spark.range(1, 41).select(F.col("id").alias("root"))
     edges = roots.select(F.lit(1000).alias("src"), F.col("root").alias("dst"))       # one source of all roots
