@@ -14,6 +14,9 @@ Scale notes
   aggregation again), then join only those distinct keys against the
   distinct parent keys (a left join with a match flag; ``orphan_keys`` is the
   anti-join form): a hot foreign key costs one row in the join.
+* A suite over several tables reads each table once (``SharedScan``): grouping
+  sets give the row-local failures and the distinct keys of all keyed rules
+  together, and a reference's parent may be another table of the suite.
 * SQL semantics for NULL: UNIQUE, FOREIGN KEY and CHECK all pass on NULL.
 """
 
@@ -231,26 +234,165 @@ def orphan_assets(nodes: DataFrame, edges: DataFrame, node_id: str = "id",
     return out.join(b, out[node_id] == b["_e"], "left_anti")
 
 
+# ------------------------------------------------------------ one scan per table
+Spec = tuple[str, str]          # a key column and the type that it is compared in
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def common_type(a: str, b: str) -> str:
+    """The type in which a foreign key and the parent's key are compared."""
+    if a == b:
+        return a
+    if a in _WHOLE and b in _WHOLE:
+        return "bigint"
+    numeric = lambda t: t in _WHOLE or t in ("float", "double") or t.startswith("decimal")
+    return "double" if numeric(a) and numeric(b) else "string"
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _digested(spec: Spec) -> bool:
+    """Long values (text, binary) are grouped as their SHA-256 digest, so that they are never shuffled."""
+    return spec[1] in ("string", "binary")
+
+
+def key_value(spec: Spec) -> str:
+    """SQL of a key column as it is grouped."""
+    c = f"CAST(`{spec[0]}` AS {spec[1]})"
+    return f"unhex(sha2(CAST({c} AS BINARY), 256))" if _digested(spec) else c
+
+
+@dataclass(frozen=True)
+class KeySet:
+    """A key of a table: its columns with their types."""
+    specs: tuple[Spec, ...]
+
+    @property
+    def name(self) -> str:
+        return ",".join(f"{c}:{t}" for c, t in self.specs)
+
+
+def key_of(df: DataFrame, rule: Rule, pk_type: str | None = None) -> KeySet:
+    """The key that a unique or reference rule looks at."""
+    columns = (rule.columns or [rule.column]) if rule.kind == "unique" else [rule.column]
+    return KeySet(tuple((c, common_type(type_of(df, c), pk_type) if pk_type else type_of(df, c)) for c in columns))
+
+
+class SharedScan:
+    """All rules of one table from one scan.
+
+    GROUPING SETS over every key that a rule needs (its distinct keys with
+    their numbers of rows serve uniqueness, the child's and the parent's side of
+    references) and the empty set (totals and failures of the row-local rules).
+    Partial aggregates combine before the shuffle, so a hot key is one row a
+    task, and long keys travel as digests.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[KeySet], local: list[Rule]):
+        self.keys, self.local = list(dict.fromkeys(keys)), local
+        self.specs = list(dict.fromkeys(s for k in self.keys for s in k.specs))
+        at = {s: f"_k{i}" for i, s in enumerate(self.specs)}
+        self.columns = {k: [at[s] for s in k.specs] for k in self.keys}
+        rows = df.select(*[F.expr(key_value(s)).alias(at[s]) for s in self.specs], *[_failure_expr(r).alias(f"_l{i}") for i, r in enumerate(local)])
+        told = [F.expr("count(1) AS n"), *[F.expr(f"count_if(_l{i}) AS _f{i}") for i in range(len(local))]]
+        if not self.keys:
+            self.counts = rows.agg(*told).withColumn("_set", F.lit(0).cast("bigint"))
+            return
+        sets = [self.columns[k] for k in self.keys] + [[]]
+        self.counts = rows.groupingSets(sets, *at.values()).agg(F.expr("grouping_id() AS _set"), *told)
+
+    # the rest is SQL over ``counts``, as text: plans of many rules are built far faster so
+    def set_id(self, key: KeySet | None) -> int:
+        """What ``_set`` holds for a key (None: the empty set): a bit for each column that is not in it, first column highest."""
+        within = self.columns[key] if key else []
+        return sum(1 << (len(self.specs) - 1 - i) for i in range(len(self.specs)) if f"_k{i}" not in within)
+
+    def is_set(self, key: KeySet | None) -> str:
+        return f"_set = {self.set_id(key)}"
+
+    def full(self, key: KeySet) -> str:
+        """No part of the key is NULL."""
+        return "(" + " AND ".join(f"{c} IS NOT NULL" for c in self.columns[key]) + ")"
+
+    def text(self, key: KeySet) -> str:
+        """The key as one value that differs for different keys."""
+        own = [f"hex({c})" if _digested(spec) else c for c, spec in zip(self.columns[key], key.specs)]
+        if len(own) == 1:
+            return f"CAST({own[0]} AS STRING)"
+        return "to_json(struct(" + ", ".join(f"{c} AS c{i}" for i, c in enumerate(own)) + "))"
+
+
+def _part(when: str, rule: int, key: str = "NULL", child: str = "0", parent: str = "false", failed: str = "0", total: str = "0") -> str:
+    """SQL of what a row of counts says about a rule, where ``when`` holds."""
+    number = lambda c: f"CAST({c} AS BIGINT)"
+    return (f"IF({when}, named_struct('rule', {rule}, 'key', CAST({key} AS STRING), 'child', {number(child)}, 'parent', {parent}, "
+            f"'failed', {number(failed)}, 'total', {number(total)}), NULL)")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def result_rows(found: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
+    """Check rows from (rule, failed, total), rule being a place in ``names``."""
+    named = [F.expr(f"array({', '.join(_quoted(n[j]) for n in names)})[rule]").alias(c) for j, c in enumerate(("table_fqn", "column", "test_name"))]
+    return (found.select(*named, F.expr("CAST(failed AS BIGINT) AS failed_rows"), F.expr("CAST(total AS BIGINT) AS total_rows"))
+            .selectExpr("concat_ws('.', table_fqn, column, test_name) AS test_fqn", "table_fqn", "column", "test_name",
+                        f"IF(failed_rows > 0, '{FAILED}', '{SUCCESS}') AS status", "failed_rows", "total_rows",
+                        "format_string('%d of %d rows failed %s', failed_rows, total_rows, test_name) AS result"))
+
+
+def rule_name(fqn: str, rule: Rule) -> tuple[str, str, str]:
+    column = "_".join(rule.columns or [rule.column]) if rule.kind == "unique" else rule.column
+    return fqn, column, rule.test_name
+
+
 def run_suite(tables: dict[str, DataFrame], rules: dict[str, list[Rule]]) -> DataFrame:
-    """Run every rule; row-local rules of a table share one aggregate pass."""
-    parts = []
-    for fqn, rs in rules.items():
-        df = tables[fqn]
-        local = [r for r in rs if r.kind in ROW_LOCAL]
-        if local:
-            parts.append(fused_row_checks(df, fqn, local))
-        for r in rs:
-            if r.kind == "unique":
-                parts.append(check_unique(df, r.columns or [r.column], fqn, r.test_name))
-            elif r.kind == "reference":
-                parent, pk = r.arg
-                parts.append(check_reference(df, r.column, parent, pk, fqn, r.test_name))
-    if not parts:
-        spark = next(iter(tables.values())).sparkSession if tables else None
-        if spark is None:
-            raise ValueError("run_suite needs at least one table")
+    """Run every rule with one scan per table.
+
+    A reference's parent is a table of the suite by its name, (name, key), which
+    then gives its keys from its own scan, or a DataFrame, (df, key), which is
+    one table more.  The distinct keys of child and parent meet in one
+    aggregate by (rule, key); all other results are sums of what the scans give.
+    """
+    if not tables:
+        raise ValueError("run_suite needs at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    listed = [(fqn, r) for fqn, rs in rules.items() for r in rs]
+    if not listed:
         return spark.createDataFrame([], CHECK_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*CHECK_COLUMNS)
+    frames, keys, parts = dict(tables), {fqn: [] for fqn in tables}, {fqn: [] for fqn in tables}
+    for i, (fqn, r) in enumerate(listed):
+        if r.kind == "unique":
+            k = key_of(frames[fqn], r)
+            keys[fqn].append(k)
+            parts[fqn].append(lambda s, k=k, i=i: _part(s.is_set(k), i, total="n", failed=f"IF({s.full(k)}, n - 1, 0)"))
+        elif r.kind == "reference":
+            parent, pk = r.arg
+            if not isinstance(parent, str):
+                name = f"parent {i}"
+                frames[name], keys[name], parts[name], parent = parent, [], [], name
+            kind = common_type(type_of(frames[fqn], r.column), type_of(frames[parent], pk))
+            child, own = KeySet(((r.column, kind),)), KeySet(((pk, kind),))
+            keys[fqn].append(child)
+            keys[parent].append(own)
+            parts[fqn] += [lambda s, k=child, i=i: _part(f"{s.is_set(k)} AND {s.full(k)}", i, key=s.text(k), child="n"),
+                           lambda s, k=child, i=i: _part(f"{s.is_set(k)} AND NOT {s.full(k)}", i, total="n")]
+            parts[parent].append(lambda s, k=own, i=i: _part(f"{s.is_set(k)} AND {s.full(k)}", i, key=s.text(k), parent="true"))
+        else:
+            j = sum(x.kind in ROW_LOCAL for f, x in listed[:i] if f == fqn)
+            parts[fqn].append(lambda s, i=i, j=j: _part(s.is_set(None), i, failed=f"_f{j}", total="n"))
+    # a row of nothing for every rule, so that rules over empty tables come out too
+    told = spark.range(len(listed)).selectExpr("CAST(id AS INT) AS rule", "CAST(NULL AS STRING) AS key", "0L AS child", "false AS parent",
+                                               "0L AS failed", "0L AS total")
+    for fqn, df in frames.items():
+        if parts[fqn]:
+            scan = SharedScan(df, keys[fqn], [r for f, r in listed if f == fqn and r.kind in ROW_LOCAL])
+            said = f"filter(array({', '.join(p(scan) for p in parts[fqn])}), x -> x IS NOT NULL)"
+            told = told.unionByName(scan.counts.selectExpr(f"inline({said})"))
+    met = told.groupBy("rule", "key").agg(F.expr("sum(child) AS child"), F.expr("max(parent) AS parent"), F.expr("sum(failed) AS failed"),
+                                          F.expr("sum(total) AS total"))
+    found = met.groupBy("rule").agg(F.expr("sum(failed + IF(parent, 0, child)) AS failed"), F.expr("sum(total + child) AS total"))
+    return result_rows(found, [rule_name(*x) for x in listed]).select(*CHECK_COLUMNS)

@@ -141,7 +141,7 @@ def suite_inputs(spark, d):
                Rule("format", "email", "email_format_check", EMAIL_FORMAT),
                Rule("unique", "c_custkey", "id_duplicate_check"),
                Rule("expression", "c_acctbal", "balance_not_negative", "c_acctbal >= 0")],
-        ORD: [Rule("reference", "o_custkey", "customer_exists", (table(spark, d, "customer"), "c_custkey")),
+        ORD: [Rule("reference", "o_custkey", "customer_exists", (CUST, "c_custkey")),
               Rule("unique", "o_orderkey", "id_duplicate_check"),
               Rule("expression", "o_totalprice", "price_positive", "o_totalprice > 0")],
         ITEMS: [Rule("unique", "l_orderkey", "line_duplicate_check", columns=["l_orderkey", "l_linenumber"]),
