@@ -13,7 +13,7 @@ from tablekeeper.operators.checks import Rule
 from tablekeeper.operators.ratelimit import rate_limit
 from tablekeeper.plans import standins as S
 from tablekeeper.plans.arrivals import arrival_files
-from tablekeeper.plans.q_checks import EMAIL_FORMAT
+from tablekeeper.plans.q_checks import EMAIL_FORMAT, _row_sql, _unique_sql
 from tablekeeper.plans.q_profile import pct_sql
 from tablekeeper.plans.registry import query, table
 from tablekeeper.session import shared_dir
@@ -117,22 +117,35 @@ def q_stream_null_rate(spark, d):
 MONITOR_TABLE = "svc.db.mart.customer"
 
 
-@query("stream_monitor", oracle=f"""
-SELECT '{MONITOR_TABLE}.email.email_not_null' AS test_fqn, '{MONITOR_TABLE}' AS table_fqn, 'email' AS "column",
-  'email_not_null' AS test_name, count(*) FILTER (WHERE email IS NULL) AS failed_rows, count(*) AS total_rows,
-  CASE WHEN count(*) FILTER (WHERE email IS NULL) > 0 THEN 'Failed' ELSE 'Success' END AS status
-FROM {S.CUSTOMER_SPIKED_SQL} c
-UNION ALL
-SELECT '{MONITOR_TABLE}.email.email_format_check', '{MONITOR_TABLE}', 'email', 'email_format_check',
-  count(*) FILTER (WHERE email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}')), count(*),
-  CASE WHEN count(*) FILTER (WHERE email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}')) > 0
-       THEN 'Failed' ELSE 'Success' END
-FROM {S.CUSTOMER_SPIKED_SQL} c""")
+MONITOR_NATIONS = 20      # the parent table lacks the nations from here on
+
+
+def monitor_rules(spark, d):
+    """One rule of every kind that a stream has: row-local, unique over two columns, reference."""
+    nations = table(spark, d, "nation").filter(F.col("n_nationkey") < MONITOR_NATIONS)
+    return [Rule("not_null", "email", "email_not_null"), Rule("format", "email", "email_format_check", EMAIL_FORMAT),
+            Rule("expression", "c_acctbal", "balance_not_negative", "c_acctbal >= 0"),
+            Rule("unique", "c_nationkey", "segment_unique", columns=["c_nationkey", "c_mktsegment"]),
+            Rule("unique", "email", "email_unique"), Rule("reference", "c_nationkey", "nation_exists", (nations, "n_nationkey"))]
+
+
+MONITOR_SQL = " UNION ALL ".join([
+    _row_sql(MONITOR_TABLE, "email", "email_not_null", "email IS NULL", S.CUSTOMER_SPIKED_SQL + " c"),
+    _row_sql(MONITOR_TABLE, "email", "email_format_check", f"email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}')",
+             S.CUSTOMER_SPIKED_SQL + " c"),
+    _row_sql(MONITOR_TABLE, "c_acctbal", "balance_not_negative", "(c_acctbal >= 0) = false", S.CUSTOMER_SPIKED_SQL + " c"),
+    _unique_sql(MONITOR_TABLE, ["c_nationkey", "c_mktsegment"], "segment_unique", S.CUSTOMER_SPIKED_SQL + " c"),
+    _unique_sql(MONITOR_TABLE, ["email"], "email_unique", S.CUSTOMER_SPIKED_SQL + " c"),
+    _row_sql(MONITOR_TABLE, "c_nationkey", "nation_exists",
+             f"c_nationkey IS NOT NULL AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < {MONITOR_NATIONS})",
+             S.CUSTOMER_SPIKED_SQL + " c")])
+
+
+@query("stream_monitor", oracle=f'SELECT test_fqn, table_fqn, "column", test_name, failed_rows, total_rows, status FROM ({MONITOR_SQL}) m')
 def q_stream_monitor(spark, d):
-    """Checks run on each arriving batch of the customer table; totals over all batches."""
+    """Checks run on each arriving batch of the customer table, keyed ones against all batches before; totals over all batches."""
     stream = _arrive(spark, S.customer_spiked(spark, d), "c_custkey")
     sink = shared_dir(spark, "monitor-sink")
-    rules = [Rule("not_null", "email", "email_not_null"), Rule("format", "email", "email_format_check", EMAIL_FORMAT)]
-    q = M.monitor(stream, MONITOR_TABLE, rules, sink, trigger={"availableNow": True})
+    q = M.monitor(stream, MONITOR_TABLE, monitor_rules(spark, d), sink, trigger={"availableNow": True})
     q.awaitTermination()
     return M.monitor_totals(spark, sink).drop("batches")
