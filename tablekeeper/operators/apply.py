@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,32 +35,40 @@ class Fix:
     replacement: str | None = None
 
 
-def repaired(df: DataFrame, fix: Fix) -> tuple[DataFrame, DataFrame]:
-    """(new table, one-row DataFrame with rows_affected)."""
+def changes(fix: Fix) -> Column | None:
+    """What tells of a row that the repair changes it; None where it removes rows."""
+    c = F.col(fix.column)
     if fix.kind == "fill_null":
-        out = fixes.fill_nulls(df, fix.column, fix.value)
-        n = df.agg(F.count_if(F.col(fix.column).isNull()).alias("rows_affected"))
-    elif fix.kind == "dedupe":
-        out = fixes.dedupe(df, fix.keys or [fix.column], fix.id_col, fix.null_keys)
-        n = df.agg(F.count(F.lit(1)).alias("b")).select(
-            (F.col("b") - out.agg(F.count(F.lit(1))).scalar()).alias("rows_affected"))
-    elif fix.kind == "fix_format":
-        out = fixes.fix_format(df, fix.column, fix.valid, fix.pattern, fix.replacement)
-        c = F.col(fix.column)
-        n = df.agg(F.count_if(c.isNotNull() & ~c.rlike(fix.valid)
-                              & (F.regexp_replace(c, fix.pattern, fix.replacement) != c)).alias("rows_affected"))
-    else:
-        raise ValueError(fix.kind)
-    return out, n
+        return c.isNull()
+    if fix.kind == "fix_format":
+        return c.isNotNull() & ~c.rlike(fix.valid) & (F.regexp_replace(c, fix.pattern, fix.replacement) != c)
+    return None
+
+
+def repaired(df: DataFrame, fix: Fix) -> DataFrame:
+    if fix.kind == "fill_null":
+        return fixes.fill_nulls(df, fix.column, fix.value)
+    if fix.kind == "dedupe":
+        return fixes.dedupe(df, fix.keys or [fix.column], fix.id_col, fix.null_keys)
+    if fix.kind == "fix_format":
+        return fixes.fix_format(df, fix.column, fix.valid, fix.pattern, fix.replacement)
+    raise ValueError(fix.kind)
 
 
 def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str) -> DataFrame:
+    """Write the repaired table as its next version; the repair runs once, its changed rows are observed on the way.
+
+    A repair of values is one pass from the old version to the new one, so what
+    is observed is what is written.  For a repair that removes rows the count
+    is that of the old version's files less that of the new one's.
+    """
     before = table.current()
     try:
         src = table.read()
-        out, n = repaired(src, fix)
-        affected = n.first()["rows_affected"]
-        after = table.commit(out)
+        seen, changed = Observation(), changes(fix)
+        watched = src if changed is None else src.observe(seen, F.count_if(changed).alias("rows_affected"))
+        after = table.commit(repaired(watched, fix))
+        affected = table.rows(before) - table.rows(after) if changed is None else seen.get["rows_affected"]
         row = (name, before, after, True, int(affected), f"Fix applied: {affected} rows affected")
     except (AnalysisException, NumberFormatException, ArithmeticException, IllegalArgumentException, ValueError, KeyError) as e:
         # the fix itself is wrong: reported, the old version stays current; a lost executor or store raises

@@ -6,10 +6,11 @@ test_name, status ('Success' / 'Failed'), failed_rows, total_rows, result.
 Scale notes
 * Row-local checks (not-null, expression, format, generated column) over one
   table are fused into ONE aggregate: one scan, partial counts per task.
-* Uniqueness first counts rows per 64-bit key hash (map-side partial counts:
-  a key holding a third of the table collapses before the shuffle, and only
-  8-byte hashes move); only rows whose hash repeats are grouped by their real
-  key values, which keeps the result exact without shuffling long unique keys.
+* Uniqueness counts rows per key with partial aggregates (a key holding a third
+  of the table collapses before the shuffle); long key values are counted by
+  their 256-bit digests, so they never move.  Where the duplicate keys
+  themselves are asked for, rows are first counted per 64-bit hash and only
+  those whose hash repeats are grouped by their real key values.
 * Referential checks first count child rows per foreign key (partial
   aggregation again), then join only those distinct keys against the
   distinct parent keys (a left join with a match flag; ``orphan_keys`` is the
@@ -177,30 +178,11 @@ def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
 def check_unique(df: DataFrame, columns: list[str], table_fqn: str, test_name: str | None = None) -> DataFrame:
     """failed_rows = surplus rows (rows beyond the first of each duplicate key).
 
-    Two stages: rows are counted per key hash (8-byte shuffle, partial counts
-    map-side, so a hot key collapses too); only rows whose hash repeats are
-    grouped by their real key, so the surplus is exact while long key values
-    of unique rows are never shuffled.
+    One scan: rows are counted per key, partial counts first, so a hot key is
+    one row a task; long key values are counted by their digests.
     """
-    name = test_name or f"{'_'.join(columns)}_unique"
-    if not has_wide_key(df, columns):
-        # fixed-width keys: one scan, counts per key give both the total and the surplus
-        per_key = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        agg = per_key.agg(
-            F.coalesce(F.sum(F.when(_all_not_null(columns) & (F.col("n") > 1), F.col("n") - 1)), F.lit(0))
-            .alias("failed_rows"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"))
-        return _row(agg, table_fqn, "_".join(columns), name)
-    counts = key_hash_counts(df, columns)
-    total = counts.agg(F.coalesce(F.sum("_hn"), F.lit(0))).scalar()
-    dups = duplicate_keys_from(duplicate_candidates(df, columns, counts), columns)
-    agg = dups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failed_rows")).select(
-        "failed_rows", total.alias("total_rows"))
-    return _row(agg, table_fqn, "_".join(columns), name)
-
-
-def duplicate_keys_from(cand: DataFrame, columns: list[str]) -> DataFrame:
-    return cand.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    rule = Rule("unique", columns[0], test_name or f"{'_'.join(columns)}_unique", columns=columns)
+    return run_suite({table_fqn: df}, {table_fqn: [rule]})
 
 
 def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:

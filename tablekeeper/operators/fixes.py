@@ -6,10 +6,10 @@ DataFrame (a new table version when written through ``sources.versions``);
 nothing is updated in place.
 
 Scale notes
-* ``dedupe`` finds the minimum id per key with a partial aggregate (a hot
-  key collapses map-side), only among rows whose key hash repeats, and drops
-  the losers with an anti join on (key, id) - no window sorts a hot key
-  inside one task and long unique keys are not shuffled.
+* ``dedupe`` reads the table twice: once for a slim table of keys and ids, in
+  which the losers are found by an aggregate per key, and once to drop them
+  with an anti join - no window sorts a hot key inside one task and long key
+  values are not shuffled.
 * ``before_after`` joins two versions on the row id; ``fix_impact`` profiles
   both versions with one aggregate each.
 """
@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeeper.functions import text as T
+from tablekeeper.operators.checks import _all_not_null, key_value, type_of
 from tablekeeper.operators.profile import pct
+from tablekeeper.session import materialize
 
 # Default fill value and the rule table used in place of generated fixes.
 DEFAULT_FILL = "unknown@example.com"
@@ -39,6 +41,27 @@ def fill_nulls(df: DataFrame, column: str, value) -> DataFrame:
                          .otherwise(F.col(column)))
 
 
+def losers(df: DataFrame, keys: list[str], id_col: str, null_keys: str = "keep") -> DataFrame:
+    """(_key, _id) of the rows that a dedupe removes, ``_key`` as ``key_struct`` makes it.
+
+    One scan writes key and id of every row that can lose; long key values go
+    into it as 256-bit digests, fixed-width ones as they are.  The minimum per
+    key is a partial aggregate (a hot key is one row a task), and the
+    candidates meet it by key.
+    """
+    can = F.col(id_col).isNotNull()
+    if null_keys == "keep":
+        can = can & _all_not_null(keys)
+    cand = materialize(df.filter(can).select(key_struct(df, keys).alias("_key"), F.col(id_col).alias("_id")), "dedupe-candidates")
+    first = cand.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return cand.join(first, "_key").filter(F.col("_id") != F.col("_first")).select("_key", "_id").distinct()
+
+
+def key_struct(df: DataFrame, keys: list[str]) -> Column:
+    """The key as one value that is never NULL, so that keys with NULL parts meet as GROUP BY has it."""
+    return F.struct(*[F.expr(key_value((k, type_of(df, k)))).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
 def dedupe(df: DataFrame, keys: list[str], id_col: str, null_keys: str = "keep") -> DataFrame:
     """Keep, per key, the rows carrying the minimum id (``DELETE ... WHERE id NOT IN
     (SELECT MIN(id) ... GROUP BY key)`` as a keep-set).
@@ -47,27 +70,14 @@ def dedupe(df: DataFrame, keys: list[str], id_col: str, null_keys: str = "keep")
     null_keys="group": NULL keys form one group, as GROUP BY does.
     Rows with a NULL id are kept (``NULL NOT IN (...)`` is not true).
 
-    Keep mode looks for losers only among rows whose key hash repeats
-    (``checks.duplicate_candidates``: an 8-byte-hash count first), groups those
-    by their real key values (exact), and removes the losers with an anti join
-    - broadcast by AQE when they are few, so long unique keys never move.
+    A second scan drops the losers with an anti join on (key, id) - broadcast by
+    AQE when they are few; no exchange on the way holds a long key value.
     """
     if null_keys not in ("keep", "group"):
         raise ValueError(null_keys)
-    if null_keys == "group":
-        mins = df.groupBy(*keys).agg(F.min(id_col).alias("_min_id"))
-        cond = None
-        for k in keys:
-            c = df[k].eqNullSafe(mins[k])
-            cond = c if cond is None else cond & c
-        kept = df.join(mins, cond & (df[id_col] == mins["_min_id"]), "left_semi")
-        return kept.unionByName(df.filter(F.col(id_col).isNull()))
-    from tablekeeper.operators.checks import _all_not_null, duplicate_candidates
-    cand = duplicate_candidates(df.filter(_all_not_null(keys)), keys)
-    mins = cand.groupBy(*keys).agg(F.min(id_col).alias("_min_id"))
-    losers = (cand.filter(F.col(id_col).isNotNull()).join(mins, keys, "inner")
-              .filter(F.col(id_col) != F.col("_min_id")).select(*keys, id_col).distinct())
-    return df.join(losers, [*keys, id_col], "left_anti").select(*df.columns)
+    gone = losers(df, keys, id_col, null_keys)
+    rows = df.withColumn("_key", key_struct(df, keys))
+    return rows.join(gone, (rows["_key"] == gone["_key"]) & (rows[id_col] == gone["_id"]), "left_anti").select(*df.columns)
 
 
 def fix_format(df: DataFrame, column: str, valid: str, pattern: str, replacement: str) -> DataFrame:

@@ -74,6 +74,10 @@ class VersionedTable:
             raise FileNotFoundError(f"no version of {self.root}")
         return self.spark.read.parquet(self.version_path(v))
 
+    def rows(self, version: int) -> int:
+        """Rows of a version, from the footers of its files."""
+        return self.spark.read.parquet(self.version_path(version)).count()
+
     def commit(self, df: DataFrame, expected_rows: int | None = None) -> int:
         """Write ``df`` as the next version, verify its row count, then move the pointer.
 
@@ -85,7 +89,7 @@ class VersionedTable:
         seen = Observation(f"version-{n}")
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
         want = seen.get["rows"] if expected_rows is None else expected_rows
-        got = self.spark.read.parquet(path).count()
+        got = self.rows(n)
         if got != want:
             raise RuntimeError(f"version {n} of {self.root} has {got} rows, expected {want}")
         self._point_to(n)

@@ -264,3 +264,30 @@ def test_edge_all_null_unknown_test_missing_node(spark):
     names = {r["id"]: r["name"] for r in lineage.resolve_name(spark.createDataFrame([(0,), (1,)], "id long"),
                                                               nodes).collect()}
     assert names == {0: "svc.db.mart.a", 1: "1"}
+
+
+def test_apply_fix_runs_the_repair_once(spark, tmp_path, monkeypatch):
+    """One call of the repair, one write; a fill and a format rewrite count their rows as they pass."""
+    from tablekeeper.operators import apply
+    rows = [(1, "a@x.com"), (2, None), (3, "A B"), (4, None), (5, "a@x.com"), (6, "a@x.com"), (7, "Q")]
+    vt = VersionedTable(spark, str(tmp_path / "once"))
+    vt.commit(spark.createDataFrame(rows, "id long, email string").repartition(3))
+    calls, real = [], apply.repaired
+    monkeypatch.setattr(apply, "repaired", lambda df, fix: calls.append(fix.kind) or real(df, fix))
+    got = [apply.apply_fix(spark, vt, fix, "t").first() for fix in (
+        Fix("fix_format", "email", valid="^[a-z]+@x[.]com$", pattern="[A-Z ]+", replacement="z"), Fix("fill_null", "email"),
+        Fix("dedupe", "email", keys=["email"], id_col="id"))]
+    assert [(r["success"], r["rows_affected"], r["version_after"]) for r in got] == [(True, 2, 2), (True, 2, 3), (True, 4, 4)]
+    assert calls == ["fix_format", "fill_null", "dedupe"]
+    assert {r["id"] for r in vt.read().collect()} == {1, 2, 3}
+
+
+def test_dedupe_moves_no_key_text(spark):
+    """The losers come from two narrow tables: the aggregate and its exchange hold digests, the table is scanned twice."""
+    df = spark.createDataFrame([(i, "long text " * 50 + str(i % 7)) for i in range(50)] + [(None, "x"), (99, None), (98, None)], "id long, body string")
+    gone = fixes.losers(df, ["body"], "id")
+    assert gone.schema["_key"].dataType.simpleString() == "struct<k0:binary>"
+    assert {r["_id"] for r in gone.collect()} == set(range(7, 50))
+    assert "body" not in gone._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"] for r in fixes.dedupe(df, ["body"], "id").collect()} == {*range(7), None, 98, 99}
+    assert {r["id"] for r in fixes.dedupe(df, ["body"], "id", "group").collect()} == {*range(7), None, 98}
