@@ -13,7 +13,6 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablekeeper import schemas
 from tablekeeper.operators import fixes, history
@@ -55,12 +54,21 @@ def repaired(df: DataFrame, fix: Fix) -> DataFrame:
     raise ValueError(fix.kind)
 
 
-def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str) -> DataFrame:
+def _entry(spark: SparkSession, values: dict, path: str) -> None:
+    fields = schemas.struct(schemas.HISTORY_ENTRY)
+    history.append_entries(spark.createDataFrame([tuple(values.get(f.name) for f in fields)], fields), path)
+
+
+def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str, entry: dict | None = None,
+              history_path: str | None = None) -> DataFrame:
     """Write the repaired table as its next version; the repair runs once, its changed rows are observed on the way.
 
     A repair of values is one pass from the old version to the new one, so what
     is observed is what is written.  For a repair that removes rows the count
     is that of the old version's files less that of the new one's.
+
+    With ``history_path`` the history gets an entry with action 'applied' (or
+    'failed'); ``entry`` has fields of ``schemas.HISTORY_ENTRY``.
     """
     before = table.current()
     try:
@@ -73,6 +81,10 @@ def apply_fix(spark: SparkSession, table: VersionedTable, fix: Fix, name: str) -
     except (AnalysisException, NumberFormatException, ArithmeticException, IllegalArgumentException, ValueError, KeyError) as e:
         # the fix itself is wrong: reported, the old version stays current; a lost executor or store raises
         row = (name, before, before, False, 0, f"Fix failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+    if history_path:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        _entry(spark, {"table_fqn": name, "column_name": fix.column, **(entry or {}), "action": "applied" if row[3] else "failed", "fixed_at": now,
+                       "rows_affected": row[4], "allowed": True, "version_before": before, "version_after": row[2]}, history_path)
     return spark.createDataFrame([row], RESULT_SCHEMA)
 
 
@@ -90,8 +102,7 @@ def rollback(spark: SparkSession, table: VersionedTable, to_version: int, id_col
     table.restore(to_version)
     if history_path:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        own = {"table_fqn": name, **(entry or {}), "action": "reverted", "reverted_at": now, "fixed_at": now, "rows_affected": restored}
-        fields = T._parse_datatype_string(schemas.HISTORY_ENTRY).names
-        history.append_history(spark.createDataFrame([tuple(own.get(f) for f in fields)], schemas.HISTORY_ENTRY), history_path)
+        _entry(spark, {"table_fqn": name, **(entry or {}), "action": "reverted", "reverted_at": now, "fixed_at": now, "rows_affected": restored,
+                       "version_before": current, "version_after": to_version}, history_path)
     return spark.createDataFrame([(name, current, to_version, True, restored, "reverted")],
                                  schemas.ROLLBACK_RESULT)

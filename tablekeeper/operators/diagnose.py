@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tablekeeper.functions import text as T
 from tablekeeper.operators.lineage import downstream_impact, trace
+from tablekeeper.sources.files import DIAGNOSIS
 
 
 @dataclass(frozen=True)
@@ -112,31 +113,87 @@ def severity(results: DataFrame, edges: DataFrame, roots: DataFrame, params: Sev
     impact = impact if impact is not None else downstream_impact(edges, roots, down_depth)
     r = roots.select("root").distinct()
     j = r.join(per_root, "root", "left").join(impact, "root", "left")
-    p = params
     failed = F.col("failing_tests_count").isNotNull()
-    itype = F.coalesce(F.col("typed.cls"), F.lit(T.ISSUE_UNKNOWN))
-    type_score = F.lit(0)
+    return scored(j.select("root", failed.alias("failed"), failed.alias("traced"), "failing_tests_count", F.col("typed.cls").alias("cls"),
+                           "downstream_edges", "downstream_assets"), params)
+
+
+def scored(j: DataFrame, params: SeverityParams = DEFAULT_SEVERITY) -> DataFrame:
+    """Scores from (root, failed, traced, failing_tests_count, cls, downstream_edges, downstream_assets).
+
+    ``traced``: there is a failing node.  A failure without one scores 0; its
+    breakdown shows the base score and zeros.
+    """
+    p = params
+    failed, traced = F.col("failed"), F.col("traced")
+    none = F.lit(0)
+    itype = F.when(traced, F.coalesce("cls", F.lit(T.ISSUE_UNKNOWN))).otherwise(F.lit(T.ISSUE_UNKNOWN))
+    type_score = none
     for k, v in p.issue_type_scores.items():
         type_score = F.when(itype == k, F.lit(v)).otherwise(type_score)
-    tests_score = F.least(F.lit(p.max_failing_test_score), F.col("failing_tests_count") * p.failing_test_points)
-    down_score = F.least(F.lit(p.max_downstream_impact_score), F.col("downstream_edges") * p.downstream_impact_points)
+    tests = F.when(traced, F.col("failing_tests_count")).otherwise(none)
+    edges = F.when(traced, F.col("downstream_edges")).otherwise(none)
+    tests_score = F.least(F.lit(p.max_failing_test_score), tests * p.failing_test_points)
+    down_score = F.least(F.lit(p.max_downstream_impact_score), edges * p.downstream_impact_points)
     total = F.least(F.lit(p.max_total_score), F.lit(p.base_score) + tests_score + type_score + down_score)
     out = j.select(
         "root",
         F.when(failed, "failed").otherwise("success").alias("status"),
-        F.when(failed, total).otherwise(0).cast("int").alias("severity_score"),
+        F.when(failed & traced, total).otherwise(0).cast("int").alias("severity_score"),
         F.when(failed, F.lit(p.base_score)).cast("int").alias("base_score"),
         F.when(failed, tests_score).cast("int").alias("failing_tests_score"),
         F.when(failed, type_score).cast("int").alias("issue_type_score"),
         F.when(failed, down_score).cast("int").alias("downstream_impact_score"),
-        F.when(failed, F.col("failing_tests_count")).cast("bigint").alias("failing_tests_count"),
+        F.when(failed, tests).cast("bigint").alias("failing_tests_count"),
         F.when(failed, itype).alias("issue_type"),
-        F.when(failed, F.col("downstream_edges")).cast("bigint").alias("downstream_count"),
+        F.when(failed, edges).cast("bigint").alias("downstream_count"),
         F.col("downstream_assets").cast("bigint").alias("downstream_assets"),
     )
     return out.withColumn("severity", severity_band("severity_score"))
 
 
+# ---------------------------------------------------------------- from diagnosis payloads
+def read_payloads(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
+    """Diagnosis payloads (JSON text) as root, failed, nodes, first (the first failing node), edges.
+
+    Order is the payload's own: of the failing nodes the first one counts, of its
+    tests the first, and for the type the first whose name classifies.  A payload
+    that cannot be read, or says anything but "failed", did not fail.  All that
+    follows is a projection of a payload's own arrays: nothing is shuffled.
+    """
+    d = df.select(F.col(id_col).alias("root"), F.from_json(F.col(json_col), DIAGNOSIS).alias("d"))
+    nodes = F.coalesce("d.upstreamAnalysis.failingUpstreamNodes", F.array())
+    return d.select("root", F.coalesce(F.col("d.status") == "failed", F.lit(False)).alias("failed"), nodes.alias("nodes"),
+                    F.get(nodes, F.lit(0)).alias("first"), F.coalesce("d.lineage.downstreamEdges", F.array()).alias("edges"))
+
+
+def _tests(node) -> "F.Column":
+    return F.coalesce(node["failingTestCases"]["testCaseResults"], F.array())
+
+
+def payload_severity(payloads: DataFrame, params: SeverityParams = DEFAULT_SEVERITY) -> DataFrame:
+    """The severity of each payload of ``read_payloads``, in the columns of ``severity``."""
+    tests = _tests(F.col("first"))
+    typed = F.filter(F.transform(tests, lambda t: T.classify_issue(t["name"])), lambda c: c != T.ISSUE_UNKNOWN)
+    targets = F.array_distinct(F.filter(F.transform("edges", lambda e: e["toEntity"]), lambda x: x.isNotNull()))
+    return scored(payloads.select("root", "failed", (F.size("nodes") > 0).alias("traced"), F.size(tests).cast("bigint").alias("failing_tests_count"),
+                                  F.get(typed, F.lit(0)).alias("cls"), F.size("edges").cast("bigint").alias("downstream_edges"),
+                                  F.size(targets).cast("bigint").alias("downstream_assets")), params)
+
+
+def payload_cause(payloads: DataFrame) -> DataFrame:
+    """The root cause of each payload: status, failing nodes and tests, the first node's name and its first test."""
+    test = F.get(_tests(F.col("first")), F.lit(0))
+    each = F.transform("nodes", lambda n: F.size(_tests(n)))
+    told = lambda c: F.when(F.col("failed"), c)
+    return payloads.select(
+        "root", F.when(F.col("failed"), "failed").otherwise("success").alias("status"),
+        F.when(F.col("failed"), F.size("nodes")).otherwise(0).cast("bigint").alias("failing_nodes"),
+        F.when(F.col("failed"), F.aggregate(each, F.lit(0), lambda a, b: a + b)).otherwise(0).cast("bigint").alias("failing_results"),
+        told(F.col("first")["fullyQualifiedName"]).alias("node_fqn"), told(test["name"]).alias("test_name"),
+        told(test["testCaseFQN"]).alias("test_fqn"), told(test["result"]).alias("result"))
+
+
 def diagnosis_text(rc: DataFrame, table_fqn_col: str = "table_fqn") -> DataFrame:
     """Sentence naming problem, table and column of each root's first failing test."""
     table_name = T.last_part(F.col(table_fqn_col))

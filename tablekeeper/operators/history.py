@@ -4,15 +4,18 @@ text, notifications and column tags.
 History rows (``fix_history``): fix_id, fixed_at, table_fqn, table_key,
 rows_affected, ai_generated, hours_saved (NULL = unknown), before_nulls,
 after_nulls, severity_score; full entries (``schemas.HISTORY_ENTRY``) also have
-action, reverted_at, issue, test, column_name, fix_sql, confidence_score, model
-and nested before / after metrics.
+action, reverted_at, issue, test, column_name, fix_sql, confidence_score, model,
+nested before / after metrics, whether the rate limit allowed the fix, and the
+table's versions.  The flow, applied repairs and rollbacks all write full
+entries (``append_entries``); ``read_history`` gives both kinds the flat columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablekeeper import schemas
 from tablekeeper.operators.diagnose import severity_band
 from tablekeeper.operators.ordered import running
 
@@ -26,6 +29,34 @@ def append_history(df: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("fix_date").parquet(path))
 
 
+def entries(df: DataFrame) -> DataFrame:
+    """Rows as full entries (``schemas.HISTORY_ENTRY``): fields that are not there are NULL, flat metrics become nested ones."""
+    metric = lambda when, m: F.col(f"{when}_{m}") if f"{when}_{m}" in df.columns else F.lit(None)
+    out = []
+    for f in schemas.struct(schemas.HISTORY_ENTRY):
+        if f.name in df.columns:
+            c = F.col(f.name)
+        elif f.name in ("before", "after"):
+            c = F.struct(*[metric(f.name, m).alias(m) for m in f.dataType.names])
+        else:
+            c = F.lit(None)
+        out.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*out)
+
+
+def append_entries(df: DataFrame, path: str) -> None:
+    """Append rows of any kind (flow, applied repair, rollback) as full entries, so that one history holds them all."""
+    append_history(entries(df), path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of a history, whatever version of the schema their files have, with the nested metrics also as flat columns."""
+    h = spark.read.option("mergeSchema", "true").parquet(path)
+    flat = {f"{when}_{m}": F.col(f"{when}.{m}") for when in ("before", "after") if when in h.columns for m in ("rows", "nulls", "failed")
+            if f"{when}_{m}" not in h.columns}
+    return h.withColumns(flat)
+
+
 def history_summary(h: DataFrame) -> DataFrame:
     """Total fixes, total rows fixed, total hours saved (NULL hours count as the default)."""
     return h.agg(F.count(F.lit(1)).alias("total_fixes"),

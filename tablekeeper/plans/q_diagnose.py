@@ -91,6 +91,47 @@ def q_severity_example(spark, d):
     return G.severity(res, edges, roots(spark, d), G.EXAMPLE_SEVERITY)
 
 
+def diagnosis_payloads(spark, d):
+    """The scan of every root as a JSON payload: its failing nodes with their tests, in order, and its downstream edges.
+    Every fifth root that passes says that it failed, without a node."""
+    res, edges = _scan(spark, d)
+    r = roots(spark, d)
+    tests = (G.upstream_reach(edges, r).join(res.filter(F.col("status") == "Failed"), "node").groupBy("root", "depth", "node")
+             .agg(F.sort_array(F.collect_list(F.struct("test_fqn", "result_id", "test_name", "result"))).alias("t")))
+    case = lambda t: F.struct(t["test_name"].alias("name"), t["test_fqn"].alias("testCaseFQN"), t["result"].alias("result"))
+    node = F.struct(F.format_string("svc.db.mart.t%d", "node").alias("fullyQualifiedName"),
+                    F.struct(F.transform("t", case).alias("testCaseResults")).alias("failingTestCases"))
+    nodes = (tests.select("root", F.struct("depth", "node", node.alias("json")).alias("n")).groupBy("root")
+             .agg(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["json"]).alias("nodes")))
+    impact = G.downstream_impact(edges, r, 2).withColumnRenamed("root", "_root")
+    edge = lambda i: F.struct(F.lit("here").alias("fromEntity"), F.concat(F.lit("to "), i % F.col("downstream_assets")).alias("toEntity"))
+    down = F.when(F.col("downstream_edges") > 0, F.transform(F.sequence(F.lit(1).cast("long"), "downstream_edges"), edge)).otherwise(F.array())
+    status = F.when(F.col("nodes").isNotNull() | (F.col("root") % 5 == 0), "failed").otherwise("success")
+    every = r.select("root").distinct().join(nodes, "root", "left").join(impact, F.col("root") == F.col("_root"))
+    return every.select("root", F.to_json(F.struct(
+        status.alias("status"), F.struct(F.size("nodes").alias("failingUpstreamNodesCount"), F.col("nodes").alias("failingUpstreamNodes")).alias("upstreamAnalysis"),
+        F.struct(down.alias("downstreamEdges")).alias("lineage"))).alias("payload"))
+
+
+@query("severity_payloads", oracle=f"""
+SELECT * EXCLUDE (untraced) REPLACE (CASE WHEN untraced THEN 'failed' ELSE status END AS status, CASE WHEN untraced THEN {G.DEFAULT_SEVERITY.base_score} ELSE base_score END AS base_score,
+  CASE WHEN untraced THEN 0 ELSE failing_tests_score END AS failing_tests_score, CASE WHEN untraced THEN 0 ELSE issue_type_score END AS issue_type_score,
+  CASE WHEN untraced THEN 0 ELSE downstream_impact_score END AS downstream_impact_score,
+  CASE WHEN untraced THEN 0 ELSE failing_tests_count END AS failing_tests_count, CASE WHEN untraced THEN 'unknown' ELSE issue_type END AS issue_type,
+  CASE WHEN untraced THEN 0 ELSE downstream_count END AS downstream_count)
+FROM (SELECT *, status = 'success' AND root % 5 = 0 AS untraced FROM {_severity_sql(G.DEFAULT_SEVERITY)} x) y""")
+def q_severity_payloads(spark, d):
+    """Severity from payloads: as from the tables; failures without a failing node score 0 and show the base score."""
+    return G.payload_severity(G.read_payloads(diagnosis_payloads(spark, d), "payload", "root"))
+
+
+@query("root_cause_payloads", oracle=f"""
+SELECT root, CASE WHEN root % 5 = 0 THEN 'failed' ELSE status END AS status, failing_nodes, failing_results,
+  'svc.db.mart.t' || CAST(first_node AS VARCHAR) AS node_fqn, test_name, test_fqn, result FROM {ROOT_CAUSE_SQL} x""")
+def q_root_cause_payloads(spark, d):
+    return G.payload_cause(G.read_payloads(diagnosis_payloads(spark, d), "payload", "root"))
+
+
 @query("severity_band", oracle=f"""
 SELECT root, severity_score, severity FROM {_severity_sql(G.EXAMPLE_SEVERITY)} x""")
 def q_severity_band(spark, d):

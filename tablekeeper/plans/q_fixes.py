@@ -8,8 +8,9 @@ from tablekeeper.functions import text as T
 from tablekeeper.operators import diagnose as G
 from tablekeeper.operators import fixes
 from tablekeeper.operators.apply import Fix, apply_fix, rollback
+from tablekeeper.operators.checks import Rule
 from tablekeeper.plans import standins as S
-from tablekeeper.plans.q_checks import URL_FORMAT
+from tablekeeper.plans.q_checks import EMAIL_FORMAT, URL_FORMAT
 from tablekeeper.plans.q_profile import pct_sql
 from tablekeeper.plans.q_diagnose import ROOT_CAUSE_SQL, _classify_sql, _column_sql
 from tablekeeper.plans.q_lineage import roots
@@ -269,31 +270,66 @@ def q_rollback_dedupe(spark, d):
 
 # ---------------------------------------------------------------- approve-and-apply flow
 FLOW_TABLE = "svc.db.mart.customer"
-FLOW_COLUMNS = ["c_custkey", "c_name", "email"]
 FLOW_DECIDED_AT = "2024-01-31 00:00:00"
+FLOW_KEY = ["c_nationkey", "c_mktsegment"]
+
+
+def flow_customers(spark, d):
+    """Customers with missing e-mails, some in capitals behind a blank, some that are none, and repeated (nation, segment) keys."""
+    k = F.col("c_custkey")
+    email = F.when(k % 7 == 0, F.concat(F.lit(" "), F.upper("email"))).when(k % 11 == 0, F.lit("none at all")).otherwise(F.col("email"))
+    return S.customer_spiked(spark, d).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.when(F.col("email").isNotNull(), email).alias("email"))
+
+
+FLOW_CUSTOMERS_SQL = f"""(SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CASE WHEN email IS NULL THEN NULL WHEN c_custkey % 7 = 0
+  THEN ' ' || upper(email) WHEN c_custkey % 11 = 0 THEN 'none at all' ELSE email END AS email FROM {S.CUSTOMER_SPIKED_SQL} c)"""
+FLOW_RULES = [Rule("not_null", "email", "email_not_null"), Rule("format", "email", "email_format_check", EMAIL_FORMAT),
+              Rule("unique", FLOW_KEY[0], "key_duplicate_check", columns=FLOW_KEY), Rule("unique", "c_mktsegment", "segment_duplicate_check"),
+              Rule("unique", "c_nationkey", "nation_duplicate_check"), Rule("not_null", "c_name", "c_name_not_null"),
+              Rule("unique", "c_custkey", "id_duplicate_check")]
+#: one decision a minute; the limit lets three pass
+FLOW_DECISIONS = ["approve", "approve", "approve", "reject", "approve", "approve", "approve"]
+FLOW_MAX = 3
 
 
 def _flow_sql() -> str:
-    parts = []
-    for c in FLOW_COLUMNS:
-        test = f"{FLOW_TABLE}.{c}.{c}_not_null"
-        sql = fixes.FIX_RULES[0][1].replace("{table}", FLOW_TABLE).replace("{column}", c).replace("'", "''")
-        parts.append(f"""SELECT TIMESTAMP '{FLOW_DECIDED_AT}' AS fixed_at, '{FLOW_TABLE}' AS table_fqn, '{test}' AS test,
-  'approved' AS action, '{c}' AS column_name, '{sql}' AS fix_sql, true AS allowed, n AS before_nulls,
-  CAST(0 AS BIGINT) AS after_nulls, n AS rows_affected, 1 AS version_before, 2 AS version_after
-FROM (SELECT count(*) FILTER (WHERE {c} IS NULL) AS n FROM {S.CUSTOMER_SPIKED_SQL} c) x WHERE n > 0""")
-    return " UNION ALL ".join(parts)
+    failed = {"not_null": lambda r: f"count(*) FILTER (WHERE {r.column} IS NULL)",
+              "format": lambda r: f"count(*) FILTER (WHERE email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_FORMAT}'))",
+              "unique": lambda r: f"count(*) - count(DISTINCT ({', '.join(r.columns or [r.column])}))"}
+    of_class = {"not_null": 0, "unique": 1, "format": 2}
+    parts, allowed = [], 0
+    for i, (r, decision) in enumerate(zip(FLOW_RULES, FLOW_DECISIONS)):
+        columns = r.columns or [r.column]
+        test, (_, template, conf, hours) = f"{FLOW_TABLE}.{'_'.join(columns)}.{r.test_name}", fixes.FIX_RULES[of_class[r.kind]]
+        sql = template.replace("{table}", FLOW_TABLE).replace("{column}", ", ".join(columns)).replace("'", "''")
+        pass_ = i < FLOW_MAX and decision == "approve"
+        parts.append(f"""SELECT TIMESTAMP '{FLOW_DECIDED_AT}' + INTERVAL {i} MINUTE AS fixed_at, '{FLOW_TABLE}' AS table_fqn, '{test}' AS test,
+  CAST(b.failed AS VARCHAR) || ' of ' || CAST(b.n AS VARCHAR) || ' rows failed {r.test_name}' AS issue,
+  '{'approved' if decision == 'approve' else 'rejected'}' AS action, '{', '.join(columns)}' AS column_name, '{sql}' AS fix_sql, {pass_} AS allowed,
+  CAST({conf} AS INTEGER) AS confidence_score, CAST({hours} AS INTEGER) AS hours_saved, '{fixes.RULES_MODEL}' AS model,
+  b.n AS before_rows, b.nulls AS before_nulls, b.failed AS before_failed, a.n AS after_rows, a.nulls AS after_nulls, a.failed AS after_failed,
+  CAST({'b.failed - a.failed' if pass_ else '0'} AS BIGINT) AS rows_affected, 1 AS version_before, 2 AS version_after
+FROM (SELECT count(*) AS n, count(*) - count({columns[0]}) AS nulls, {failed[r.kind](r)} AS failed FROM t) b,
+     (SELECT count(*) AS n, count(*) - count({columns[0]}) AS nulls, {failed[r.kind](r)} AS failed FROM fixed) a WHERE b.failed > 0""")
+    return f"""WITH t AS (SELECT * FROM {FLOW_CUSTOMERS_SQL} x),
+fixed AS (SELECT * REPLACE (coalesce(trim(lower(email)), '{fixes.DEFAULT_FILL}') AS email) FROM t
+          WHERE c_custkey IN (SELECT min(c_custkey) FROM t GROUP BY {', '.join(FLOW_KEY)}))
+{' UNION ALL '.join(parts)}"""
 
 
 @query("fix_flow", oracle=_flow_sql())
 def q_fix_flow(spark, d):
-    """Check the customer table, suggest fixes, approve every proposal, rate limit,
-    apply the allowed ones as one new version, verify and append the history."""
+    """Check the customer table, suggest repairs of all three classes, decide, rate limit, apply the allowed ones as one new
+    version (one rejected, the later ones blocked), verify and append the history; the entries as read back from it."""
     from tablekeeper.operators.flow import approve_and_apply
-    vt = _versioned_customers(spark, d)
-    decisions = spark.createDataFrame(
-        [(f"{FLOW_TABLE}.{c}.{c}_not_null", "approve", FLOW_DECIDED_AT) for c in FLOW_COLUMNS],
-        "test string, decision string, decided_at string").withColumn(
-        "decided_at", F.to_timestamp_ntz("decided_at"))
-    return approve_and_apply(spark, vt, FLOW_TABLE, FLOW_COLUMNS, decisions, rule_table(spark),
-                             history_path=shared_dir(spark, "flow-history"))
+    from tablekeeper.operators.history import read_history
+    vt = VersionedTable(spark, shared_dir(spark, "flow-versions"))
+    vt.commit(flow_customers(spark, d))
+    tests = [f"{FLOW_TABLE}.{'_'.join(r.columns or [r.column])}.{r.test_name}" for r in FLOW_RULES]
+    decisions = spark.createDataFrame([(t, x, i) for i, (t, x) in enumerate(zip(tests, FLOW_DECISIONS))], "test string, decision string, i int").select(
+        "test", "decision", F.expr(f"timestampadd(MINUTE, i, TIMESTAMP_NTZ '{FLOW_DECIDED_AT}')").alias("decided_at"))
+    path = shared_dir(spark, "flow-history")
+    approve_and_apply(spark, vt, FLOW_TABLE, FLOW_RULES, decisions, rule_table(spark), max_n=FLOW_MAX, history_path=path, id_col="c_custkey")
+    return read_history(spark, path).select(
+        "fixed_at", "table_fqn", "test", "issue", "action", "column_name", "fix_sql", "allowed", "confidence_score", "hours_saved", "model",
+        *[f"{when}_{m}" for when in ("before", "after") for m in ("rows", "nulls", "failed")], "rows_affected", "version_before", "version_after")

@@ -37,7 +37,8 @@ FIX_RESULT = ("table_name string, version_before int, version_after int, success
 HISTORY_ENTRY = ("fix_id bigint, fixed_at timestamp_ntz, table_fqn string, table_key bigint, rows_affected bigint, "
                  "ai_generated boolean, hours_saved int, severity_score int, action string, reverted_at timestamp_ntz, "
                  "issue string, test string, column_name string, fix_sql string, confidence_score int, model string, "
-                 "before struct<rows:bigint,nulls:bigint>, after struct<rows:bigint,nulls:bigint>")
+                 "before struct<rows:bigint,nulls:bigint,failed:bigint>, after struct<rows:bigint,nulls:bigint,failed:bigint>, "
+                 "allowed boolean, version_before int, version_after int")
 ROLLBACK_RESULT = ("table_name string, version_before int, version_after int, success boolean, "
                    "rows_restored bigint, action string")
 FIX_IMPACT = ("column_name string, before_nulls bigint, after_nulls bigint, nulls_fixed bigint, "

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tablekeeper import schemas
 from tablekeeper.functions import text as T
 from tablekeeper.operators import checks, diagnose, faults, fixes, lineage, profile
 from tablekeeper.operators.apply import Fix, apply_fix, rollback
@@ -291,3 +292,53 @@ def test_dedupe_moves_no_key_text(spark):
     assert "body" not in gone._jdf.queryExecution().optimizedPlan().toString()
     assert {r["id"] for r in fixes.dedupe(df, ["body"], "id").collect()} == {*range(7), None, 98, 99}
     assert {r["id"] for r in fixes.dedupe(df, ["body"], "id", "group").collect()} == {*range(7), None, 98}
+
+
+def test_payload_severity_and_cause(spark):
+    import json
+    case = lambda n: {"name": n, "testCaseFQN": f"s.d.m.t.c.{n}", "result": "r"}
+    node = lambda n, *tests: {"fullyQualifiedName": n, "failingTestCases": {"testCaseResults": [case(t) for t in tests]}}
+    edges = lambda *to: {"downstreamEdges": [{"fromEntity": "a", "toEntity": t} for t in to]}
+    full = {"status": "failed", "upstreamAnalysis": {"failingUpstreamNodes": [node("n1", "row_count", "x_duplicate", "x_null"), node("n2", "y_null")]},
+            "lineage": edges("b", "b", "c")}
+    rows = [(1, json.dumps(full)), (2, json.dumps({"status": "failed", "lineage": edges("b")})), (3, json.dumps({"status": "success"})),
+            (4, json.dumps({"status": "failed", "upstreamAnalysis": {"failingUpstreamNodes": [node("n3")]}})), (5, "no json"), (6, None),
+            (7, json.dumps({"status": "failed", "upstreamAnalysis": {"failingUpstreamNodes": []}}))]
+    p = diagnose.read_payloads(spark.createDataFrame(rows, "id long, j string"), "j", "id")
+    got = {r["root"]: tuple(r)[1:] for r in diagnose.payload_severity(p).collect()}
+    assert got[1] == ("failed", 30 + 15 + 15 + 9, 30, 15, 15, 9, 3, "duplicates", 3, 2, "medium")
+    assert got[2] == ("failed", 0, 30, 0, 0, 0, 0, "unknown", 0, 1, "low")           # no failing node: 0, the base shown
+    assert got[7] == ("failed", 0, 30, 0, 0, 0, 0, "unknown", 0, 0, "low")
+    assert got[4] == ("failed", 30, 30, 0, 0, 0, 0, "unknown", 0, 0, "low")          # a node without tests
+    for i in (3, 5, 6):
+        assert got[i] == ("success", 0, None, None, None, None, None, None, None, 0, "low")
+    cause = {r["root"]: tuple(r)[1:] for r in diagnose.payload_cause(p).collect()}
+    assert cause[1] == ("failed", 2, 4, "n1", "row_count", "s.d.m.t.c.row_count", "r") and cause[2] == ("failed", 0, 0, None, None, None, None)
+    assert cause[3] == ("success", 0, 0, None, None, None, None)
+
+
+def test_one_history_for_flow_repairs_and_rollbacks(spark):
+    """Entries of all three feed the timeline, the audit and the summary together."""
+    from tablekeeper.operators import history
+    from tablekeeper.operators.flow import approve_and_apply
+    from tablekeeper.plans.q_fixes import rule_table
+    vt, path = VersionedTable(spark, shared_dir(spark, "history-table")), shared_dir(spark, "history")
+    vt.commit(spark.createDataFrame([(1, "A@x.com"), (2, None), (3, " a@x.com"), (4, None), (5, "dup"), (6, "dup"), (7, "dup")], "id long, email string"))
+    rules = [Rule("not_null", "email", "email_not_null"), Rule("format", "email", "email_format", "^[a-z]+@x.com$"), Rule("unique", "email", "email_duplicate")]
+    at = dt.datetime(2024, 1, 1)
+    decisions = spark.createDataFrame([(f"s.t.email.{n}", "approve", at + dt.timedelta(minutes=i)) for i, n in
+                                       enumerate(("email_not_null", "email_format", "email_duplicate"))], "test string, decision string, decided_at timestamp_ntz")
+    out = {r["test"]: r for r in approve_and_apply(spark, vt, "s.t", rules, decisions, rule_table(spark), history_path=path, id_col="id").collect()}
+    assert {r["id"]: r["email"] for r in vt.read().collect()} == {1: "a@x.com", 2: fixes.DEFAULT_FILL, 3: "a@x.com", 4: fixes.DEFAULT_FILL, 5: "dup"}
+    assert {t.split(".")[-1]: r["rows_affected"] for t, r in out.items()} == {"email_not_null": 2, "email_format": 2, "email_duplicate": 2}
+    assert (out["s.t.email.email_duplicate"]["before"]["rows"], out["s.t.email.email_duplicate"]["after"]["rows"]) == (7, 5)
+    apply_fix(spark, vt, Fix("dedupe", "email", keys=["email"], id_col="id"), "s.t", {"fix_id": 77, "test": "s.t.email.email_duplicate"}, path)
+    rollback(spark, vt, 1, "id", ["email"], "s.t", {"fix_id": 78}, path)
+    h = history.read_history(spark, path)
+    assert set(schemas.struct(schemas.HISTORY_ENTRY).names) <= set(h.columns)
+    line = [r["action"] for r in history.fix_timeline(h).collect()]
+    assert line[:2] == ["REVERTED", "APPLIED"] and line[2:] == ["APPROVED"] * 3
+    assert history.history_summary(h).first()["total_fixes"] == 5
+    told = [r["audit"] for r in history.audit_text(h).collect()]
+    assert len(told) == 5 and any("- Before: 2 nulls" in a and "Fix SQL: UPDATE" in a for a in told)
+    assert history.running_hours(h.withColumn("hours_saved", F.coalesce("hours_saved", F.lit(2)))).count() == 5
