@@ -1,9 +1,9 @@
 """Substring de-duplication with prefix-partitioned suffix trees over words.
 
 Suffixes start at words and matter down to a depth of ``window`` words, cut at
-three depths (4, 8 and ``window`` words) where the tree may have nodes; an edge
-is labelled by a hash of its words (32, 32 and 24 bits), so a path of full depth
-has 88 bits.
+two depths (4 and ``window`` words) where the tree may have nodes; the first
+edge is labelled by a hash of its words (32 bits), the node at full depth by one
+of all words down to it (64 bits).
 
 1. Each block sorts its suffixes and keeps one per path: the first, which has
    the smallest doc_id, as the block's documents are in order of doc_id.
@@ -17,7 +17,9 @@ has 88 bits.
 4. One bit per entry goes back to its block: whether the path also starts in a
    smaller doc_id.  The block marks the windows and their words.
 
-Among a billion windows, two different ones share a path with a chance of 2e-9.
+Two different windows share a path with a chance of 2^-64 if they begin with the
+same four words, and of 2^-96 otherwise: a beginning with a million
+continuations errs with a chance of 3e-8, one with a billion of 3 percent.
 
 Nulls and odd rows: a null text has no words; rows with one doc_id never remove
 each other's words; a null doc_id counts as larger than all others and is kept
@@ -41,14 +43,13 @@ GROUP = 1 << 21
 
 
 def _paths(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each full window: its first word, the labels of the first two edges, and that of the third."""
+    """For each full window: its first word, the label of the first edge with half of the node's, and the other half."""
     at = w.whole_windows(window)
     if not at.size:
         return at, np.empty(0, np.uint64), np.empty(0, np.uint32)
     top = np.uint64(32)
-    first = max(1, window // 3)
-    four, rest = run_hash(w.hash, first), run_hash(w.hash, window - 2 * first)
-    return (at, (four[at] >> top << top) | (four[at + first] >> top), (rest[at + 2 * first] >> np.uint64(40)).astype(np.uint32))
+    first, whole = run_hash(w.hash, max(1, window // 3))[at], run_hash(w.hash, window)[at]
+    return at, (first >> top << top) | (whole >> top), whole.astype(np.uint32)
 
 
 def _entries(block: Block, window: int):
@@ -110,8 +111,8 @@ def _groups(head: np.ndarray, tail: np.ndarray, first: np.ndarray, parts: np.nda
 def _subtree(head: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which suffixes lie below an internal node of full depth that holds a smaller document.
 
-    Neighbours in sorted order have a common prefix of 0 to 3 edges; the
-    maximal runs with all 3 in common are the deepest internal nodes.
+    Neighbours in sorted order have a common prefix of 0 to 2 edges; the
+    maximal runs with both in common are the deepest internal nodes.
     """
     order = np.lexsort((tail, head))
     h, t, d = head[order], tail[order], doc[order]
@@ -157,15 +158,15 @@ def _pack(head: np.ndarray, tail: np.ndarray, ids: np.ndarray, doc: np.ndarray)
     """Sorted paths with their doc_ids: steps from path to path, the ids that occur, and one index into them per path."""
     seen, index = np.unique(doc, return_inverse=True)
     return squeeze(np.array([head.size, seen.size], "<u4").tobytes() + planes(np.diff(head, prepend=np.uint64(0)))
-                   + planes(tail)[: 3 * tail.size] + planes(np.diff(ids[seen], prepend=0)) + planes(index.astype("<u4")))
+                   + planes(tail) + planes(np.diff(ids[seen], prepend=0)) + planes(index.astype("<u4")))
 
 
 def _unpack(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = expand(raw)
     n, docs = np.frombuffer(raw, "<u4", 2).tolist()
-    tail = unplanes(raw[8 + 8 * n: 8 + 11 * n] + bytes(n), "<u4", n)
-    ids = np.cumsum(unplanes(raw, "<i8", docs, 8 + 11 * n))
-    return np.cumsum(unplanes(raw, "<u8", n, 8)), tail, ids[unplanes(raw, "<u4", n, 8 + 11 * n + 8 * docs)]
+    tail = unplanes(raw, "<u4", n, 8 + 8 * n)
+    ids = np.cumsum(unplanes(raw, "<i8", docs, 8 + 12 * n))
+    return np.cumsum(unplanes(raw, "<u8", n, 8)), tail, ids[unplanes(raw, "<u4", n, 8 + 12 * n + 8 * docs)]
 
 
 def _covered(w: Words, start: np.ndarray, window: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablekeeper.llm.lines import line_dedup
 from tablekeeper.llm.minhash import components, link_group, near_duplicates, union_estimate
@@ -273,3 +274,10 @@ def test_line_dedup(spark, documents):
 def test_line_dedup_null_id_and_repeated_rows(clashing):
     r = {(x["doc_id"], x["emptied"]) for x in line_dedup(clashing).where("doc_id IS NULL OR doc_id = 7").collect()}
     assert (None, True) in r and (7, True) in r          # the second row of 7 loses its lines to the first
+
+
+def test_substrings_with_many_continuations_of_one_beginning(spark):
+    """60,000 windows that share their first eight words and differ in the last five: none repeats."""
+    docs = spark.range(60000).selectExpr("id AS doc_id", "concat('a b c d e f g h i', id % 40, ' j', id % 43, ' k', id, ' l', id % 7, ' m') AS text")
+    out = substring_dedup(docs, window=13, texts=False)
+    assert out.agg(F.sum("n_removed"), F.count("*")).first() == (0, 60000)
