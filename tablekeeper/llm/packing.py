@@ -6,9 +6,11 @@ pieces are sequences of their own.  The others are dealt into groups of about
 ``GROUP`` pieces, and each group is packed by branch and bound: the largest
 piece opens a sequence; its undominated fillings are tried in order of waste; a
 branch whose waste shows that it can't beat the incumbent is cut; the incumbent
-starts as the best-fit-decreasing packing.  The search of a group ends at the
-lower bound, or after two openings a sequence and ``nodes`` more, with the best
-packing found by then.
+starts as the best-fit-decreasing packing, or where that misses the lower bound
+as the better one of it and ``folded``.  Of the fillings of an opening the
+search tries the largest single piece, the ``wide`` fullest pairs and a few
+triples, filled up.  The search of a group ends at the lower bound, or after two
+openings a sequence and ``nodes`` more, with the best packing found by then.
 
 Pieces are dealt by their place in the written piece table, so a doc_id or a
 source that holds a third of the rows fills all groups alike.  A group can lose
@@ -22,6 +24,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -37,21 +40,31 @@ GROUP = 8192
 END_ID = 2
 #: fixed value: the special token of the vocabulary and its id
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+LONG_RUN = 10_000
+BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 @lru_cache(maxsize=4)
 def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
     """The ids of byte_bpe_50k.json without added tokens, from the same vocabulary's rank file.
 
-    The special token's own string becomes its id, as that file has it.
+    The special token's own string becomes its id, as that file has it.  Texts
+    with a run of ``LONG_RUN`` blanks go to the tokenizers library with that
+    file itself: the rank file's matcher backtracks through such a run, and ends
+    the process on one of a million.
     """
     import public_tokenizers as P
     import tiktoken
+    from tokenizers import Tokenizer
     with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(P.path("byte_bpe_50k.json")))
+
     def encode(text: str) -> list[int]:
+        if BLANKS.search(text):
+            return whole().encode(text, add_special_tokens=False).ids
         head, *rest = text.split(SPECIAL)
         ids = plain(head)
         for part in rest:
@@ -130,6 +143,51 @@ def best_fit(count: np.ndarray, size: int) -> list[tuple[int, ...]]:
     return [tuple(b) for b in bins]
 
 
+def _folds(items: np.ndarray, k: int) -> np.ndarray:
+    """k * t ascending lengths as t rows of k with sums as equal as their ranks make them.
+
+    Pairs: the smallest with the largest.  Threes: the largest third turned by
+    half its length beside the smallest one, so that the ranks of these pairs
+    add up to each number once; the largest such sum meets the smallest of the
+    middle third.  More: pairs in one order beside rows of the rest in the other.
+    """
+    t = items.size // k
+    if k == 1:
+        return items[:, None]
+    if k == 3:
+        pairs = np.column_stack([items[:t], np.roll(items[2 * t:], -(t // 2))])
+        return np.hstack([pairs[np.argsort(pairs.sum(1), kind="stable")], items[t: 2 * t][::-1, None]])
+    outer = np.column_stack([items[:t], items[::-1][:t]])
+    if k == 2:
+        return outer
+    inner = _folds(items[t: items.size - t], k - 2)
+    return np.hstack([outer[np.argsort(outer.sum(1), kind="stable")], inner[np.argsort(-inner.sum(1), kind="stable")]])
+
+
+def folded(count: np.ndarray, size: int) -> list[tuple[int, ...]]:
+    """The smallest pieces in sequences of k alike, as many as have room, and best fit for the rest; the best k and share.
+
+    Best fit spends the small pieces beside the largest ones, which is wasteful
+    where hardly any two middling pieces fit together.
+    """
+    items = np.repeat(np.arange(count.size), count)
+    best: list[tuple[int, ...]] = []
+    for k in range(2, min(9, items.size + 1)):
+        low, high = 0, items.size // k
+        while low < high:                      # the most rows of which all have room, as far as bisection sees
+            t = (low + high + 1) // 2
+            low, high = (t, high) if _folds(items[: k * t], k).sum(1).max() <= size else (low, t - 1)
+        for t in {low, (low + items.size // k) // 2, low * 9 // 10} - {0}:
+            rows = _folds(items[: k * t], k)
+            rows = rows[rows.sum(1) <= size]
+            rest = count.copy()
+            np.subtract.at(rest, rows.ravel(), 1)
+            found = [*map(tuple, np.sort(rows, axis=1)[:, ::-1].tolist()), *best_fit(rest, size)]
+            if not best or len(found) < len(best):
+                best = found
+    return best
+
+
 def _pairs(have: np.ndarray, before: np.ndarray, count: np.ndarray, room: int, wide: int) -> list[tuple[int, ...]]:
     """The fullest pairs for ``room``: for each larger piece the largest smaller one that fits beside it."""
     a = np.flatnonzero(have[: room + 1])
@@ -188,6 +246,9 @@ def bin_completion(count: np.ndarray, size: int, nodes: int = 2000) -> list[tupl
     bound = lower_bound(count, size)
     if len(best) <= bound or not best:
         return best
+    best = min(best, folded(count, size), key=len)
+    if len(best) <= bound:
+        return best
     nodes += 2 * len(best)
     count = count.copy()
     total = int((np.arange(count.size) * count).sum())
@@ -259,8 +320,9 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, pa
         return pa.table({"deal": table.column("deal"), "sequence_id": pa.array(2 * (key[0].as_py() * (1 << 32) + sequence)),
                          "offset": pa.array(offset)})
 
+    # a task a group: by their size alone, few tasks would get all of them
     placed = (short.select("deal", "length", F.expr(f"pmod(xxhash64(deal), {groups})").alias("part"))
-              .groupBy("part").applyInArrow(solve, "deal long, sequence_id long, offset long"))
+              .repartition(groups, "part").groupBy("part").applyInArrow(solve, "deal long, sequence_id long, offset long"))
     full = (cut.where(F.col("length") == max_tokens)
             .select(*[c for c in cut.columns if c != "deal"], (2 * F.col("deal") + 1).alias("sequence_id"),
                     F.lit(0).cast("long").alias("offset")))
