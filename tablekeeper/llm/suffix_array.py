@@ -43,7 +43,7 @@ from tablekeeper.llm.meeting import KEY_BITS, answers_by_block, cuts, shared_bit
 from tablekeeper.session import materialize
 
 LENGTH, GRAM = 100, 16
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 SHARD = 4 << 20
 
 
@@ -142,6 +142,36 @@ def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
     return least(out[: x.size - n + 1], out[n - have:]) if n > have else out
 
 
+def _minima(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the block's grams, the least of each window, and which windows lie inside one document."""
+    body = block.body
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eight = np.ndarray(body.size + 1, np.dtype("<u8"), padded, strides=(1,))
+    h = eight[: body.size - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= eight[gram - 8: body.size - 7]
+    h = mix(h)
+    least = _sliding(h, length - gram + 1, np.minimum)
+    ok = np.zeros(body.size + 1, np.int8)
+    has = block.end - block.start >= length
+    ok[block.start[has]] += 1
+    ok[block.end[has] - length + 1] -= 1
+    return h, least, np.cumsum(ok[: least.size], dtype=np.int8) > 0
+
+
+def _begins(least: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    new = ok.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
+    return new
+
+
+def block_keys(block: Block, length: int, gram: int) -> np.ndarray:
+    """The short keys of the block's segments, as ``Segments.keys`` has them, without what only the segments need."""
+    if block.body.size <= length:
+        return np.empty(0, np.uint64)
+    _, least, ok = _minima(block, length, gram)
+    return np.unique(least[_begins(least, ok)] >> np.uint64(64 - KEY_BITS))
+
+
 class Segments:
     """The block's segments: first window, windows, key, document; and which must be looked at at all."""
 
@@ -153,31 +183,25 @@ class Segments:
         if body.size <= length:
             pass
         else:
-            padded = np.concatenate([body, np.zeros(8, np.uint8)])
-            eight = np.ndarray(body.size + 1, np.dtype("<u8"), padded, strides=(1,))
-            h = mix(eight[: body.size - gram + 1] * np.uint64(0x9E3779B97F4A7C15) ^ eight[gram - 8: body.size - 7])
-            least = _sliding(h, grams, np.minimum)
-            ok = np.zeros(body.size + 1, np.int8)
-            has = block.end - block.start >= length
-            ok[block.start[has]] += 1
-            ok[block.end[has] - length + 1] -= 1
-            ok = np.cumsum(ok[: least.size], dtype=np.int8) > 0
-            new = ok.copy()
-            new[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
+            h, least, ok = _minima(block, length, gram)
+            new = _begins(least, ok)
             last = ok.copy()
             last[:-1] &= new[1:] | ~ok[1:]
             self.start = np.flatnonzero(new)
             self.count = np.flatnonzero(last) - self.start + 1
             self.key = least[self.start]
             self.doc = np.searchsorted(block.end, self.start, side="right")
+            del ok, new, last
             # segments that hold one gram twice may repeat within themselves
             most = _sliding(least, grams, np.maximum) if least.size >= grams else np.empty(0, np.uint64)
             inner = h[grams - 1: grams - 1 + most.size]
             at = np.concatenate([np.arange(min(grams - 1, h.size)), np.flatnonzero(inner == most) + grams - 1,
                                  np.arange(max(grams - 1, grams - 1 + most.size), h.size)])
+            del least, most, inner
             by = at[np.argsort(h[at], kind="stable")]
             same = np.flatnonzero(h[by[1:]] == h[by[:-1]])
             a, b = by[same], by[same + 1]
+            del h, at, by, same
             lo = np.searchsorted(self.start + self.count + grams - 2, b, "left")
             hi = np.searchsorted(self.start, a, "right")
             mark = np.zeros(self.start.size + 1, np.int64)
@@ -322,7 +346,7 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
     n_blocks = blocks.select("block").count()
     total = n_blocks * block_bytes
     key_parts = max(1, total // (64 << 20))
-    answers = materialize(shared_keys(blocks, lambda b: Segments(b, length, gram).keys, key_parts), "key-answers")
+    answers = materialize(shared_keys(blocks, lambda b: block_keys(b, length, gram), key_parts), "key-answers")
     parts = max(1, total // shard)       # segments overlap, but only those that may repeat are sent
     first = blocks.join(answers, "block", "left")
     bits = materialize(answers_by_block(_earlier(first, length, gram, key_parts, parts)), "window-answers")
