@@ -44,7 +44,7 @@ from tablekeeper.session import materialize
 
 LENGTH, GRAM = 100, 16
 BLOCK_BYTES = 1 << 20
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 # ---- induced sorting -------------------------------------------------------------------------------------------
