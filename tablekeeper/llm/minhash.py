@@ -103,8 +103,17 @@ def _runs(sketch: np.ndarray, n: int, k: int) -> np.ndarray:
     return run_hash(np.concatenate([sketch, sketch[: RUN - 1]]) if n <= k else sketch, RUN)
 
 
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each is there."""
+    pairs, times = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    return pairs[0], pairs[1], times
+
+
 def _overlaps(classes: DataFrame, k: int, parts: int) -> DataFrame:
-    """Rows (a, b) for each pair of a short list, and (leader, a, null) for each class of a long list.
+    """Rows (a, b) with the number of short lists that a pair shares, and of long lists in which class b has leader a.
+
+    A list's leader is its smallest class, so the lists of one large cluster
+    have few leaders among them: a class comes out once a leader, not once a list.
 
     Each task sends at most SHORT + 1 classes of a key on; more are enough to
     call the list long.  The task itself names those it holds back.
@@ -128,15 +137,15 @@ def _overlaps(classes: DataFrame, k: int, parts: int) -> DataFrame:
             p, kk, ww = part[sent][by], key[sent][by], who[sent][by]
             cut = np.flatnonzero(np.diff(p, prepend=-1))
             ends = np.append(cut[1:], p.size)
-            held = ~sent
-            lead = who[start][np.cumsum(new) - 1]
+            lead = who[start][np.cumsum(new) - 1] if start.size else who
+            lead, held, times = _counted(lead[~sent], who[~sent])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(p[cut], np.full(int(held.sum()), -1))),
-                 pa.array([kk[a:b].tobytes() for a, b in zip(cut, ends)] + [None] * int(held.sum()), pa.binary()),
-                 pa.array([ww[a:b].astype("<i8").tobytes() for a, b in zip(cut, ends)] + [None] * int(held.sum()), pa.binary()),
-                 pa.array(np.append(np.zeros(cut.size, np.int64), lead[held])),
-                 pa.array(np.append(np.zeros(cut.size, np.int64), who[held]))],
-                ["part", "keys", "classes", "leader", "class"])
+                [pa.array(np.append(p[cut], np.full(held.size, -1))),
+                 pa.array([kk[a:b].tobytes() for a, b in zip(cut, ends)] + [None] * held.size, pa.binary()),
+                 pa.array([ww[a:b].astype("<i8").tobytes() for a, b in zip(cut, ends)] + [None] * held.size, pa.binary()),
+                 pa.array(np.append(np.zeros(cut.size, np.int64), lead)), pa.array(np.append(np.zeros(cut.size, np.int64), held)),
+                 pa.array(np.append(np.zeros(cut.size, np.int64), times))],
+                ["part", "keys", "classes", "leader", "class", "times"])
 
     def meet(key, table):
         keys = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")])
@@ -155,20 +164,17 @@ def _overlaps(classes: DataFrame, k: int, parts: int) -> DataFrame:
             b.append(who[own[:, None] + j].ravel())
         a, b = np.concatenate(a), np.concatenate(b)
         apart = a != b
-        pairs, times = np.unique(np.stack([a[apart], b[apart]]), axis=1, return_counts=True)
+        a, b, times = _counted(a[apart], b[apart])
         long_ = np.repeat(size > SHORT, size)
-        lead = np.repeat(who[start], size)[long_]
-        m = int(long_.sum())
-        return pa.table({"a": pa.array(np.append(pairs[0], lead)), "b": pa.array(np.append(pairs[1], who[long_])),
-                         "times": pa.array(np.append(times, np.ones(m, np.int64))),
-                         "long": pa.array(np.append(np.zeros(times.size, np.bool_), np.ones(m, np.bool_)))})
+        lead, of, lists = _counted(np.repeat(who[start], size)[long_], who[long_])
+        return pa.table({"a": pa.array(np.append(a, lead)), "b": pa.array(np.append(b, of)), "times": pa.array(np.append(times, lists)),
+                         "long": pa.array(np.append(np.zeros(a.size, np.bool_), np.ones(lead.size, np.bool_)))})
 
     sent = materialize(classes.select("class", "n", "sketch").mapInArrow(
-        send, "part long, keys binary, classes binary, leader long, class long"), "sketch-lists")
+        send, "part long, keys binary, classes binary, leader long, class long, times long"), "sketch-lists")
     met = (sent.where("part >= 0").select("part", "keys", "classes").groupBy("part")
            .applyInArrow(meet, "a long, b long, times long, long boolean"))
-    held = sent.where("part < 0").select(F.col("leader").alias("a"), F.col("class").alias("b"),
-                                         F.lit(1).cast("long").alias("times"), F.lit(True).alias("long"))
+    held = sent.where("part < 0").select(F.col("leader").alias("a"), F.col("class").alias("b"), "times", F.lit(True).alias("long"))
     return materialize(met.unionAll(held), "sketch-overlaps")
 
 
@@ -370,12 +376,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, k
     parts = max(1, classes.count() * k // (1 << 21))
     seen = _overlaps(classes, k, parts)
     size = classes.select(F.col("class"), "n")
-    often = (seen.where("long").groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("lists")).join(size, "class")
+    led = materialize(seen.where("long").groupBy("a", "b").agg(F.sum("times").alias("lists")), "long-list-leaders")
+    often = (led.groupBy(F.col("b").alias("class")).agg(F.sum("lists").alias("lists")).join(size, "class")
              .where((F.col("lists") >= MIN_LONG) | (F.col("n") * percent <= 100 * k)).select("class"))
     often = materialize(often, "often")
     # a task's leader ties the classes that it held back to the list, whether or not it is compared itself
-    ties = often.unionAll(seen.where("long").select(F.col("a").alias("class"))).distinct()
-    long_ = seen.where("long").join(ties.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b")
+    ties = often.unionAll(led.select(F.col("a").alias("class"))).distinct()
+    long_ = led.join(ties.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b")
     short = (seen.where("NOT long").groupBy("a", "b").agg(F.sum("times").alias("times")))
     small = (F.least("na", "nb") <= k)
     short = (short.join(size.withColumnRenamed("n", "na").withColumnRenamed("class", "a"), "a")
