@@ -44,24 +44,22 @@ def unescape(c: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages: conv_id, message, role, text."""
-    e = F.struct(F.col("seq"), F.col("kind"), F.coalesce("role", F.lit("")).alias("role"),
+    """Final messages: conv_id, message, role, text.
+
+    A message's text is that of its last event that is no delta, with the deltas
+    after it; so its log is looked through for three places and cut once.
+    """
+    e = F.struct(F.col("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"),
                  F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNotNull().alias("named"))
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("text"), F.lit(False).alias("there"))
-
-    def step(s: Column, x: Column) -> Column:
-        kind = x["kind"]
-        grows, cleared, gone = kind == "delta", kind == "regenerate", kind == "delete"
-        text = (F.when(grows, F.concat(s["text"], F.array(x["text"])))
-                .when(cleared | gone, F.array().cast("array<string>")).otherwise(F.array(x["text"])))
-        role = F.when(x["named"] & ~gone, x["role"]).otherwise(s["role"])
-        return F.struct(role.alias("role"), text.alias("text"),
-                        F.when(gone, F.lit(False)).when(grows | cleared, s["there"]).otherwise(F.lit(True)).alias("there"))
-
-    return (events.select("conv_id", "message", e.alias("e")).groupBy("conv_id", "message")
-            .agg(F.sort_array(F.collect_list("e")).alias("log"))
-            .select("conv_id", "message", F.aggregate("log", start, step).alias("m"))
-            .where("m.there").select("conv_id", "message", F.col("m.role").alias("role"), F.array_join("m.text", "").alias("text")))
+    log = events.select("conv_id", "message", e.alias("e")).groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("e")).alias("log"))
+    last = lambda holds: F.expr(f"array_max(transform(log, (x, i) -> IF({holds}, i, -1)))")
+    placed = log.select("conv_id", "message", "log", last("x.kind <> 'delta'").alias("reset"), last("x.named AND x.kind <> 'delete'").alias("named"),
+                        last("x.kind NOT IN ('delta', 'regenerate')").alias("stands"))
+    at = lambda i, field: F.expr(f"IF({i} < 0, NULL, log[{i}].{field})")
+    start = F.when(at("reset", "kind").isin("regenerate", "delete"), "").otherwise(F.coalesce(at("reset", "text"), F.lit("")))
+    grown = F.array_join(F.expr("transform(slice(log, reset + 2, size(log)), x -> x.text)"), "")
+    return placed.where(at("stands", "kind") != "delete").select(
+        "conv_id", "message", F.coalesce(at("named", "role"), F.lit("")).alias("role"), F.concat(start, grown).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

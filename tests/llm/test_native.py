@@ -137,3 +137,39 @@ def test_conversation_events_keep_every_row(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "z" * 700)], "conv_id long, turn long, role string, text string")
     e = [(r["seq"], r["kind"], len(r["text"])) for r in conversation_events(df).where("conv_id = 1").orderBy("seq").collect()]
     assert e == [(0, "message", 0), (1, "delta", 256), (2, "delta", 256), (3, "delta", 188)]
+
+
+def folded_by_rules(log):
+    """The docstring's rules one event after another; None for a message that is out."""
+    role, text, there = "", "", False
+    for kind, r, t in log:
+        kind = kind or "message"
+        if kind == "delete":
+            text, there = "", False
+            continue
+        role = r if r is not None else role
+        if kind == "delta":
+            text += t or ""
+        elif kind == "regenerate":
+            text = ""
+        else:
+            text, there = t or "", True
+    return (role, text) if there else None
+
+
+def test_fold_against_rules(spark):
+    rng = random.Random(12)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate", "delete", None, "other"]
+    logs = {(c, m): [(rng.choice(kinds), rng.choice([None, "user", "assistant"]), rng.choice([None, "a", "bc", ""])) for _ in range(rng.randrange(1, 9))]
+            for c in range(40) for m in range(4)}
+    rows = [(c, i, m, *x) for (c, m), log in logs.items() for i, x in enumerate(log)]
+    rng.shuffle(rows)
+    got = {(r["conv_id"], r["message"]): (r["role"], r["text"]) for r in fold(events_of(spark, rows)).collect()}
+    assert got == {k: v for k, log in logs.items() if (v := folded_by_rules(log))}
+
+
+def test_fold_of_very_many_deltas(spark):
+    """One streamed message of 200,000 deltas: its log is gone through a fixed number of times."""
+    df = spark.range(200_000).selectExpr("1L AS conv_id", "id AS seq", "0L AS message", "if(id = 0, 'message', 'delta') AS kind",
+                                         "if(id = 0, 'assistant', NULL) AS role", "concat('d', id % 10) AS text")
+    assert fold(df).selectExpr("role", "length(text) n", "right(text, 4) t").first() == ("assistant", 400_000, "d8d9")
