@@ -4,9 +4,16 @@ Each document's rule statistics are counted over its whole text.  Documents
 that break a base rule fail outright.  The others are judged by an isolation
 forest: trees split a random statistic at a random value, and documents that
 are isolated after few splits are anomalous.  The forest is grown from about
-``FIT_ROWS`` documents labelled good (a fixed share of them by the hash of
-their ids, never more than twice that; ``TREE_ROWS`` for each tree); the
-threshold is the ``KEEP`` quantile of the scores of all documents labelled good.
+``FIT_ROWS`` labelled documents that pass the base rules (a share of them by the
+hash of their ids, at most half; ``TREE_ROWS`` for each tree), of which
+``BAD_SHARE`` are labelled bad: few enough to be isolated, and there at all, as
+a statistic that never varies among good documents could not be split.
+
+The threshold is calibrated on the labelled documents that the forest has not
+seen, of both classes: from a histogram of their scores, the one of the largest
+recall less ``COST`` times the share of good ones that go, of which there may be
+``FALSE_REJECTIONS`` at most.  Without any bad label among them it is the
+``KEEP`` quantile of the good ones.
 
 Nulls and odd rows: a null text has no words and fails; a null doc_id stays
 null and has no label; of several labels of a document the lowest quality
@@ -26,8 +33,10 @@ from tablekeeper.session import materialize
 
 REPEAT_WINDOW = 8
 FIT_ROWS = 8192
-TREES, TREE_ROWS = 100, 256
-KEEP = 0.998
+TREES, TREE_ROWS = 200, 256
+BAD_SHARE = 0.02
+KEEP, FALSE_REJECTIONS, COST = 0.998, 0.01, 5
+CELLS = 2000        # of the histogram of scores
 #: fixed values of the base rules
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 20, 30
@@ -161,18 +170,31 @@ class Forest:
         return 2.0 ** -(total / len(self.roots) / max(self.norm, 1e-9))
 
 
+def best_threshold(cells: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float = KEEP) -> float:
+    """The score above which documents go, from counts by cell of the score."""
+    rejected = lambda n: (n.sum() - np.cumsum(n)) / max(1, n.sum())  # noqa: E731   share above each cell
+    edges, good_lost = (cells + 1) / CELLS, rejected(good)
+    if not bad.sum():
+        return float(edges[np.flatnonzero(good_lost <= 1 - keep)[0]])
+    worth = np.where(good_lost <= FALSE_REJECTIONS, rejected(bad) - COST * good_lost, -1.0)
+    return float(edges[int(np.argmax(worth))])
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
     """Per document its statistics, base_failed, the forest's score and kept."""
     spark = docs.sparkSession
     stats = materialize(rule_statistics(docs), "rule-statistics")
-    good = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-            .agg(F.min("quality").alias("quality")).where("quality > 0").select("doc_id"))
-    trusted = stats.where(f"n_words >= {MIN_WORDS}").join(good, "doc_id")
+    told = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+            .agg((F.min("quality") > 0).alias("good")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    share = int(min(1.0, fit_rows / max(1, trusted.count())) * (1 << 31))
-    drawn = trusted.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 31}L) < {share}L"))
-    sample = drawn.limit(2 * fit_rows).toPandas().sort_values(["doc_id", *COUNTS])   # about FIT_ROWS rows reach the driver
-    if sample.empty:
+    labelled = materialize(stats.where(~base).join(told, "doc_id"), "labelled-statistics")
+    n = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
+    share = min(0.5, fit_rows / max(1, n.get(True, 0)))
+    bad_share = min(0.5, BAD_SHARE * share * n.get(True, 0) / max(1, n.get(False, 0)))
+    at = F.expr(f"pmod(xxhash64(doc_id), {1 << 31}L) / {float(1 << 31)}D")
+    drawn = at < F.when(F.col("good"), share).otherwise(bad_share)
+    sample = labelled.where(drawn).limit(2 * fit_rows).toPandas().sort_values(["doc_id", *COUNTS])   # about FIT_ROWS rows reach the driver
+    if not sample["good"].any():
         return stats.select("*", base.alias("base_failed"), F.lit(None).cast("double").alias("score"), (~base).alias("kept"))
     forest = spark.sparkContext.broadcast(Forest(features({k: sample[k].to_numpy() for k in COUNTS})))
 
@@ -181,7 +203,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
             x = features({k: b.column(k).to_numpy() for k in COUNTS})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.value.score(x))], [*b.schema.names, "score"])
 
-    scored = lambda d: d.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
-    limit = scored(trusted).select(F.percentile_approx("score", F.lit(keep), F.lit(100_000))).first()[0]
-    return (scored(stats).select("*", base.alias("base_failed"))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("score") <= F.lit(float(limit)))))
+    columns = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+    cell = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1)).alias("cell")
+    counts = (labelled.where(~drawn).mapInArrow(run, columns + ", good boolean, score double").groupBy(cell)
+              .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("cell").toPandas())   # CELLS rows at most
+    if not counts["good"].sum():
+        return stats.select("*", base.alias("base_failed"), F.lit(None).cast("double").alias("score"), (~base).alias("kept"))
+    limit = best_threshold(*[counts[c].to_numpy() for c in ("cell", "good", "bad")], keep)
+    return (stats.mapInArrow(run, columns + ", score double").select("*", base.alias("base_failed"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("score") <= F.lit(limit))))

@@ -12,7 +12,7 @@ import pytest
 from tablekeeper.llm.decontaminate import contamination, longest_matches, remove_contaminated
 from tablekeeper.llm.kneser_ney import Base, ORDER, classify, discounts, keep_good
 from tablekeeper.llm.packing import best_fit, bin_completion, byte_bpe, lower_bound, pack, pieces, sequences
-from tablekeeper.llm.quality_rules import Forest, quality_rules
+from tablekeeper.llm.quality_rules import CELLS, Forest, best_threshold, quality_rules
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -181,6 +181,32 @@ def test_quality_rules(spark, documents, nothing, clashing):
         assert r["kept"] == (not r["base_failed"])
 
 
+def test_forest_rejects_unlabelled_junk(spark):
+    """Junk of several kinds that passes the base rules, a few of each labelled: the forest rejects the unlabelled rest and leaves prose."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 10)))
+    prose = lambda n: " ".join(word() + ("." if rng.random() < 0.08 else "") + ("\n" if rng.random() < 0.02 else "") for _ in range(n))
+    kinds = [lambda n: " ".join(word() + "$$$" for _ in range(n)), lambda n: " | ".join(word() for _ in range(n)),
+             lambda n: " ".join(str(rng.integers(10 ** 6, 10 ** 9)) for _ in range(n))]
+    rows = [(i, prose(int(rng.integers(30, 400)))) for i in range(900)]
+    rows += [(1000 + i, kinds[i % 3](int(rng.integers(30, 200)))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(700)] + [(1000 + i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    junk, clean = [got[1060 + i] for i in range(60)], [got[i] for i in range(700, 900)]
+    assert not any(r["base_failed"] for r in junk)
+    for kind in range(3):
+        assert sum(not r["kept"] for r in junk[kind::3]) >= 14
+    assert sum(r["kept"] for r in clean) >= 190
+
+
+def test_threshold_weighs_both_classes():
+    cells = np.arange(10)
+    good, bad = np.array([0, 500, 400, 95, 4, 1, 0, 0, 0, 0]), np.array([0, 0, 0, 2, 3, 20, 30, 5, 0, 0])
+    assert best_threshold(cells, good, bad) == 4 / CELLS                    # five of a thousand good ones for 58 of 60 bad
+    assert best_threshold(cells, 4 * good + 40 * (cells == 4), bad) == 5 / CELLS     # there it would be more than one in a hundred
+    assert best_threshold(cells, good, 0 * bad, keep=0.995) == 4 / CELLS
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(1)
     f = Forest(rng.normal(size=(500, 3)))
