@@ -42,7 +42,7 @@ from tablekeeper.llm.decontaminate import suffix_array as rank_names
 from tablekeeper.llm.meeting import KEY_BITS, answers_by_block, cuts, shared_bits, shared_keys
 from tablekeeper.session import materialize
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 BLOCK_BYTES = 1 << 20
 SHARD = 2 << 20
 
@@ -147,9 +147,18 @@ def _minima(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     body = block.body
     padded = np.concatenate([body, np.zeros(8, np.uint8)])
     eight = np.ndarray(body.size + 1, np.dtype("<u8"), padded, strides=(1,))
-    h = eight[: body.size - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= eight[gram - 8: body.size - 7]
+    odd, n = np.uint64(0x9E3779B97F4A7C15), body.size - gram + 1
+    h = eight[:n] * odd
+    h ^= eight[gram - 8: gram - 8 + n]
     h = mix(h)
+    if gram > 16:                                      # the middle: bytes 8 to gram - 8
+        inner = eight[8: 8 + n] * odd
+        inner ^= eight[gram - 16: gram - 16 + n]
+        inner = mix(inner)
+        inner *= odd
+        h ^= inner
+        del inner
+        h = mix(h)
     least = _sliding(h, length - gram + 1, np.minimum)
     ok = np.zeros(body.size + 1, np.int8)
     has = block.end - block.start >= length
@@ -338,10 +347,11 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), the sha256 of the kept bytes, and those bytes.
 
-    ``texts=False`` leaves ``kept`` null.  8 <= gram <= 16, gram <= length.
+    ``texts=False`` leaves ``kept`` null.  8 <= gram <= 32, gram <= length.  The
+    longer the grams, the fewer keys are shared by texts that have no window in common.
     """
-    if not 8 <= gram <= min(16, length):
-        raise ValueError("grams have 8 to 16 bytes and are no longer than windows")
+    if not 8 <= gram <= min(32, length):
+        raise ValueError("grams have 8 to 32 bytes and are no longer than windows")
     blocks = write_blocks(docs, lambda b: np.array([b.body.size], "<i8").tobytes(), block_bytes).drop("note")
     n_blocks = blocks.select("block").count()
     total = n_blocks * block_bytes
