@@ -47,8 +47,13 @@ def shared_keys(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], parts
         for x in table.column("keys"):
             raw = expand(x.as_buffer())
             each.append(np.cumsum(unplanes(raw, "<u8", int(np.frombuffer(raw, "<u4", 1)[0]), 4)))
-        _, which, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        bits = np.split(times[which] > 1, np.cumsum([x.size for x in each])[:-1])
+        every = np.concatenate(each)
+        every.sort()
+        shared = every[1:][every[1:] == every[:-1]]
+        del every
+        shared = shared[np.diff(shared, prepend=~shared[:1]) != 0]       # each once
+        here = lambda x: shared[np.minimum(np.searchsorted(shared, x), shared.size - 1)] == x
+        bits = [here(x) if shared.size else np.zeros(x.size, np.bool_) for x in each]
         return pa.table({"block": table.column("block"), "part": pa.array([key[0].as_py()] * len(each), pa.int64()),
                          "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 

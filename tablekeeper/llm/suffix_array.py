@@ -355,7 +355,7 @@ def byte_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: i
     blocks = write_blocks(docs, lambda b: np.array([b.body.size], "<i8").tobytes(), block_bytes).drop("note")
     n_blocks = blocks.select("block").count()
     total = n_blocks * block_bytes
-    key_parts = max(1, total // (64 << 20))
+    key_parts = max(1, total // (32 << 20))
     answers = materialize(shared_keys(blocks, lambda b: block_keys(b, length, gram), key_parts), "key-answers")
     parts = max(1, total // shard)       # segments overlap, but only those that may repeat are sent
     first = blocks.join(answers, "block", "left")
