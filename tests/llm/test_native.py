@@ -59,6 +59,63 @@ def test_random_tokens_are_found_and_plain_ones_are_not(spark):
     assert {(s["start"], s["end"]) for i in range(120) for s in got[i]} == {(7, 47)}
 
 
+def test_identifiers_are_not_secrets_and_secrets_are(spark, documents):
+    rng = random.Random(11)
+    from tablekeeper.llm import secret_scan as S
+    parts = ("date edge list price account order node build index server client value table number remote path cache user group "
+             "thread buffer stream state count result request response handler factory").split()
+    names = ["".join(rng.choice(parts).capitalize() for _ in range(5)) + str(rng.randrange(10, 100)) for _ in range(1000)]
+    secrets = ["".join(rng.choice(S.ENCODINGS[5][1]) for _ in range(rng.randrange(24, 48))) for _ in range(200)]
+    prose = [(5000 + i, " ".join(rng.choice(parts) for _ in range(60))) for i in range(50)]
+    rows = [(i, f"x {t} y") for i, t in enumerate(names)] + [(2000 + i, f"x {t} y") for i, t in enumerate(secrets)] + prose
+    docs = documents.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100000).unionAll(
+        spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"] for r in scan(docs).where(F.size("random") > 0).select("doc_id").collect()}
+    assert sum(i in got for i in range(1000)) < 10
+    assert sum(2000 + i in got for i in range(200)) > 180
+
+
+def test_normal_tail_and_battery_against_another_computation(spark):
+    import math
+    from tablekeeper.llm import secret_scan as S
+    rows = [(z / 4,) for z in range(-40, 100)]
+    for z, p in spark.createDataFrame(rows, "z double").select("z", S._normal_tail(F.col("z"))).collect():
+        want = math.erfc(z / math.sqrt(2)) / 2
+        assert abs(p - want) <= max(1e-5 * want, 1.5e-7 if z < 3 else 0)
+    rng = random.Random(5)
+    tokens = [("".join(rng.choice(S.ENCODINGS[3][1][:k]) for _ in range(n)),) for n in (20, 33, 64, 200) for k in (3, 11, 36)]
+    got = spark.createDataFrame(tokens, "t string").select("t", S._p_random(F.col("t"), F.lit(S.ENCODINGS[3][1]))).collect()
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    for t, p in got:
+        x, n, a = [S.ENCODINGS[3][1].index(c) + 1 for c in t], len(t), 36
+        chi = sum((x.count(v) - n / a) ** 2 / (n / a) for v in range(1, a + 1))
+        df, up = a - 1, sum(v > a / 2 for v in x)
+        ps = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+        mean = 2 * up * (n - up) / n + 1
+        runs = 1 + sum((u > a / 2) != (v > a / 2) for u, v in zip(x, x[1:]))
+        ps.append(2 * tail(abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))))
+        m = sum(x) / n
+        r = sum((u - m) * (v - m) for u, v in zip(x, x[1:])) / sum((v - m) ** 2 for v in x)
+        ps.append(2 * tail(abs(r + 1 / n) * math.sqrt(n)))
+        assert p == pytest.approx(max(1e-16, min(1, 3 * min(ps))), rel=1e-4, abs=1e-6)
+
+
+def test_many_matches_in_one_text_and_one_long_token(spark):
+    import time
+    rng = random.Random(7)
+    run = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    dump = "\n".join(run(rng.choice([24, 33, 40])) for _ in range(64000))
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300000))
+    docs = spark.createDataFrame([(1, dump), (2, token), (3, "some plain words of a text")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in scan(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in got[1]["hex"]] == [(a, b) for a, _, b in base_spans(dump)]
+    inside = {(m.start(), m.end()) for m in re.finditer("[0-9a-f]{20,}", dump)} - {(s["start"], s["end"]) for s in got[1]["hex"]}
+    assert {(s["start"], s["end"]) for s in got[1]["random"]} <= inside
+    assert [(s["start"], s["end"]) for s in got[2]["random"]] == [(0, 300000)]
+
+
 def test_scan_odd_tables(clashing, nothing):
     assert scan(nothing).count() == 0
     assert scan(clashing).count() == clashing.count()
